@@ -49,15 +49,26 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-
-    def learn(self, words: set[str]) -> dict[str, bytes]:
-        """Encodes new words in one call; long ones and those beyond the bound are returned and not kept."""
-        if len(self) + len(words) > self.remembered:
-            self.clear()
+        ends = [number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[ends] = True
+
+    def encoded(self, words: list[str], single: bool) -> list[bytes]:
+        """The ids of each word. ``single``: each is one word to the tokenizer too, so one call takes all and the ids that end words part them."""
+        if single and words:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            at = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(at) == len(words):
+                data = ids.tobytes()
+                return [data[i:j] for i, j in zip([0, *at], at, strict=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: set[str], single: bool) -> dict[str, bytes]:
+        """Encodes new words; long ones and those beyond the bound are returned and not kept."""
         once: dict[str, bytes] = {}
         new = list(words)
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            (self if len(word) <= 64 and len(self) < self.remembered else once)[word] = np.array(found.ids, "<u4").tobytes()
+        for word, ids in zip(new, self.encoded(new, single), strict=True):
+            (self if len(word) <= 64 and len(self) < self.remembered else once)[word] = ids
         return once
 
 
@@ -69,15 +80,23 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     if path not in _words:
         _words[path] = Words(path)
     known = _words[path]
-    split = [text.translate(SPLIT_AT).split(" ") if ODD.search(text) else TOKENS.findall(text.lower()) for text in texts]
+    odd = [bool(ODD.search(text)) for text in texts]
+    split = [text.translate(SPLIT_AT).split(" ") if x else TOKENS.findall(text.lower()) for text, x in zip(texts, odd, strict=True)]
     found = [list(map(known.get, words)) for words in split]
-    new = {word for words, ids in zip(split, found, strict=True) if None in ids for word, x in zip(words, ids, strict=True) if x is None}
-    once = known.learn(new - {""}) | {"": b""}
+    new: tuple[set[str], set[str]] = set(), set()
+    for words, ids, x in zip(split, found, odd, strict=True):
+        if None in ids:
+            new[x].update(word for word, i in zip(words, ids, strict=True) if i is None)
+    if len(known) + len(new[0]) + len(new[1]) > known.remembered:
+        known.clear()
+    once = known.learn(new[False], True)
+    once |= known.learn(new[True] - {""} - known.keys() - once.keys(), False) | {"": b""}
     for words, ids in zip(split, found, strict=True):
         if None in ids:
             for i, x in enumerate(ids):
                 if x is None:
-                    ids[i] = once[words[i]] if words[i] in once else known[words[i]]
+                    word = words[i]
+                    ids[i] = once[word] if word in once else known[word]
     return [b"".join(ids) for ids in found]
 
 

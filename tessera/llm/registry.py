@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, secret_scan, toxicity
+from . import line_dedup, media, minhash, secret_scan, toxicity
 from .exact_topk import top_k
 from .packing import pack_documents
 from .sentencepiece_bpe import encode_documents
@@ -20,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -28,6 +32,10 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.with_features(media.with_metadata(media.store(table(spark, sf_dir, "documents"))))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(table(spark, sf_dir, "documents"), words=2)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
@@ -59,8 +67,8 @@ SELECT * FROM ranked WHERE "rank" <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_toxicity, op4_packing, op5_media, op8_secrets, op9_topk, op10_sentencepiece)}
+    return {x.__name__: x for x in (op1_toxicity, op2_line_dedup, op4_packing, op5_media, op6_minhash, op8_secrets, op9_topk, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op2_line_dedup": line_dedup.LINE_SQL, "op9_topk": OP9_SQL}

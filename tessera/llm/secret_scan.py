@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import doc_texts, sha256_hex
+from .shared import doc_texts, utf8
 
 #: A query is True, a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
@@ -191,15 +191,6 @@ class Index:
         return (np.logical_and if query[0] == "and" else np.logical_or).reduce([self.candidates(x) for x in query[1]])
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column without nulls."""
-    column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, column.offset * 8)
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
-
-
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
 SPAN_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 

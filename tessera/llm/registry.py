@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, secret_scan, toxicity
+from . import line_dedup, media, minhash, secret_scan, suffix_dedup, toxicity
 from .exact_topk import top_k
 from .packing import pack_documents
 from .sentencepiece_bpe import encode_documents
@@ -24,6 +24,10 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -67,7 +71,7 @@ SELECT * FROM ranked WHERE "rank" <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_toxicity, op2_line_dedup, op4_packing, op5_media, op6_minhash, op8_secrets, op9_topk, op10_sentencepiece)}
+    return {x.__name__: x for x in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_packing, op5_media, op6_minhash, op8_secrets, op9_topk, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,12 +1,53 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline over ``documents``: toxic documents go, repeated lines go,
+one of each group of near-duplicates stays, secrets are masked, the rest is packed.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
+and returns the columns of documents, the last one its pieces. ``run`` writes
+each stage's rows as Parquet in the shared folder and reads them again.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from tessera.llm import line_dedup, minhash, packing, secret_scan, toxicity
+from tessera.llm.shared import table, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.7; the lexicon is learnt from labelled training rows."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds are taken out; documents stay, even if nothing is left."""
+    return line_dedup.deduplicate(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of near-duplicates, by five words and a similarity of 0.8."""
+    return minhash.keep_one(docs, words=5, percent=80)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every secret is replaced by a mask."""
+    return secret_scan.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in windows of at most 2048."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]
+
+#: The learnt lexicon, the similarity classes and the tokenizer aren't expressible in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

@@ -95,9 +95,13 @@ class Chunk:
         return mixed(self.digests(self.low, self.high + self.length) + (self.at - self.low).astype(U))
 
     def suffixes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Leading bytes; 32 bits of the gram below tags of the bytes left and right of it; block."""
         if not len(self.at):
             return (np.zeros(0, U),) * 3
-        return leading(self.data, self.at), self.grams[self.at] & U(0xFFFFFFFF), self.blocks()
+        side, end = (self.length - GRAM + 1) // 2, self.at + GRAM
+        left = self.digests(np.maximum(self.at - side, 0), self.at) & U(0xFF)
+        right = self.digests(end, np.minimum(end + side, len(self.data))) & U(0xFF)
+        return leading(self.data, self.at), (self.grams[self.at] & U(0xFFFFFFFF)) | (left << U(32)) | (right << U(40)), self.blocks()
 
     def windows(self, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text, start, leading bytes and digest of the windows of some suffixes."""
@@ -194,7 +198,7 @@ def dealt(lead: np.ndarray, gram: np.ndarray, block: np.ndarray, doc: np.ndarray
     """One record of each block for its bucket; replies about the others go along, with a group."""
     if not len(doc):
         return _rows([], [], [])
-    order, first, start = compared(lead, gram, block, doc)
+    order, first, start = compared(lead, gram & U(0xFFFFFFFF), block, doc)
     docs = doc[order]
     repeated = docs > docs[start]
     out: tuple[list, list, list] = ([], [], [])
@@ -219,16 +223,22 @@ def _resolve(groups: int, ask: bool) -> Callable[[pa.Table], pa.Table]:
         told = [(g, b) for g, b in zip(group, blob, strict=True) if g >= 0]
         lead, gram, block, doc = unpacked([b for g, b in zip(group, blob, strict=True) if g < 0], 4)
         if len(doc):
-            order, first, start = compared(lead, gram, block, doc)
+            order, first, start = compared(lead, gram & U(0xFFFFFFFF), block, doc)
             docs = doc[order]
             status = np.where(docs > docs[start], REPEATED, 0)
             if ask:
+                tags, gram = gram >> U(32), gram & U(0xFFFFFFFF)
                 grams = np.concatenate([[True], (lead[order][1:] != lead[order][:-1]) | (gram[order][1:] != gram[order][:-1])])
                 run_of = np.cumsum(grams) - 1
                 heads = np.flatnonzero(first)
                 low = np.minimum.reduceat(docs[heads], np.flatnonzero(grams[heads]))
                 high = np.maximum.reduceat(docs[heads], np.flatnonzero(grams[heads]))
-                status[first & (low < high)[run_of]] = ASKED
+                run, tag = run_of[heads], tags[order][heads]
+                agree = np.zeros(len(heads), bool)
+                for part in (tag & U(0xFF), tag >> U(8)):
+                    _, which, count = np.unique(run * 256 + part.astype(np.int64), return_inverse=True, return_counts=True)
+                    agree |= count[which] > 1
+                status[heads[agree & (low < high)[run]]] = ASKED
             found = status > 0
             told += _replies(docs[found], block[order][found], status[found].astype(U), groups)
         return _rows([-1] * len(told), [g for g, _ in told], [b for _, b in told])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, media, minhash, secret_scan, suffix_dedup, toxicity
+from . import chat, line_dedup, media, minhash, secret_scan, suffix_dedup, toxicity
 from .exact_topk import top_k
 from .packing import pack_documents
 from .sentencepiece_bpe import encode_documents
@@ -40,6 +40,17 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.components(table(spark, sf_dir, "documents"), words=2)
 
 
+#: Schemas of the tools that calls are checked against; calls of other tools are taken as they are.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"]},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"], "additionalProperties": False},
+}
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.span_digests(secret_scan.scan_documents(table(spark, sf_dir, "documents")))
 
@@ -71,7 +82,7 @@ SELECT * FROM ranked WHERE "rank" <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_packing, op5_media, op6_minhash, op8_secrets, op9_topk, op10_sentencepiece)}
+    return {x.__name__: x for x in (op1_toxicity, op2_line_dedup, op3_suffix_dedup, op4_packing, op5_media, op6_minhash, op7_chat, op8_secrets, op9_topk, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

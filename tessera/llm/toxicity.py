@@ -4,8 +4,9 @@ Texts are folded first: lower case, characters of other scripts that look like
 Latin letters, and digits or signs that stand for letters inside a word. The
 lexicon holds whole words and word beginnings. Its weights are log-odds from
 labelled documents; terms with too little evidence don't enter. A document's
-weight is the sum over its matched words, without those inside an exception
-phrase; a logistic curve turns the weight, alone and by length, into a score.
+weight is the sum over its distinct matched terms, so that a repeated word counts
+once, without matches inside an exception phrase; a logistic curve turns the
+weight, alone and by length, into a score.
 
 Learning uses at most ``sample_docs`` labelled training rows, chosen by a hash
 of the id: the bound of everything that reaches the driver. Scoring is one
@@ -65,10 +66,10 @@ def terms_of(text: str) -> set[str]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weights of terms, and the logistic curve: intercept, of the summed weight, of the weight by length."""
+    """Weights of terms, and the logistic curve: of the ``features``."""
 
     weights: dict[str, float]
-    curve: tuple[float, float, float]
+    curve: tuple[float, ...]
     exceptions: tuple[str, ...] = EXCEPTIONS
 
     def automaton(self) -> ahocorasick.Automaton:
@@ -82,24 +83,27 @@ class Lexicon:
         return found
 
 
-def weigh(text: str, automaton: ahocorasick.Automaton) -> tuple[float, int]:
-    """Summed weight of the matched words, the heaviest term of each, and the number of words."""
+def weigh(text: str, automaton: ahocorasick.Automaton) -> tuple[float, float, int]:
+    """Summed and highest weight of the distinct terms that match, the heaviest at each word, and the number of words."""
     text = folded(text)
-    hits: dict[int, float] = {}
+    hits: dict[int, tuple[float, str]] = {}
     safe: list[tuple[int, int]] = []
     if len(automaton):
         for end, (term, weight) in automaton.iter(text):
             start = end - len(term) + 1
             if weight is None:
                 safe.append((start, end))
-            elif weight > hits.get(start, 0.0):
-                hits[start] = weight
-    total = sum(weight for start, weight in hits.items() if not any(a <= start < b for a, b in safe))
-    return total, text.count(" ") - 1
+            elif start not in hits or weight > hits[start][0]:
+                hits[start] = weight, term
+    if safe:
+        hits = {start: hit for start, hit in hits.items() if not any(a <= start < b for a, b in safe)}
+    found = [weight for weight, _ in set(hits.values())]
+    return sum(sorted(found)), max(found, default=0.0), text.count(" ") - 1
 
 
-def features(total: float, words: int) -> tuple[float, float, float]:
-    return 1.0, math.log1p(total), math.log1p(100 * total / (words + 50))
+def features(total: float, most: float, words: int) -> tuple[float, float, float, float]:
+    """Constant, strongest term, summed weight, and summed weight by length."""
+    return 1.0, most, math.log1p(total), math.log1p(100 * total / (words + 50))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -123,6 +127,8 @@ def _count_terms(rows: DataFrame, wanted: frozenset[str] | None) -> dict[str, in
 
 #: Toxic documents that must have a term, and the least log-odds in standard errors.
 MIN_DOCS, MIN_Z = 3, 2.5
+#: Weights of terms that few toxic documents have are drawn to 0: halved at so many documents.
+SHRINK = 8
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Lexicon:
@@ -133,7 +139,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Lexico
     counts = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     toxic, clean = counts.get(1, 0), counts.get(0, 0)
     if not toxic or not clean:
-        return Lexicon({}, (math.log((toxic + 0.5) / (clean + 0.5)), 0.0, 0.0))
+        return Lexicon({}, (math.log((toxic + 0.5) / (clean + 0.5)), 0.0, 0.0, 0.0))
     in_toxic = _count_terms(sample.where("toxic = 1"), None)
     in_clean = _count_terms(sample.where("toxic = 0"), frozenset(in_toxic))
     weights = {}
@@ -141,17 +147,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Lexico
         b = in_clean.get(term, 0)
         odds = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (clean - b + 0.5))
         if odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) >= MIN_Z and odds > 2:
-            weights[term] = odds
-    lexicon = Lexicon(weights, (0.0, 0.0, 0.0))
+            weights[term] = odds * a / (a + SHRINK)
+    lexicon = Lexicon(weights, (0.0,) * 4)
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         for batch in items:
             found = [weigh(text, automaton) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int64())], names=["toxic", "total", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())], names=["toxic", "total", "most", "words"])
 
-    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, total double, words long").collect()
-    x, y = np.array([features(r.total, r.words) for r in rows]), np.array([r.toxic for r in rows], float)
+    rows = sample.select("toxic", "text").mapInArrow(run, "toxic int, total double, most double, words long").collect()
+    x, y = np.array([features(r.total, r.most, r.words) for r in rows]), np.array([r.toxic for r in rows], float)
     return Lexicon(weights, tuple(_logistic(x, y).tolist()))
 
 

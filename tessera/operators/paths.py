@@ -46,7 +46,7 @@ def beam_paths(edges: DataFrame, starts: DataFrame, similarity: DataFrame, max_s
     tips, who takes a neighbour first and when enough paths are found, is decided per
     start over that depth's few rows. ``similarity`` (query_id, node, sim) scores nodes;
     a missing one counts as 0. Ties go to the smaller name."""
-    ways = adjacency(edges)
+    ways, similarity = cut_lineage(adjacency(edges), "adjacency"), cut_lineage(similarity, "similarity")  # each depth reads them again
     tips = starts.select("query_id", "start", F.array("start").alias("path"), F.lit(0).alias("turn"), F.array("start").alias("visited"), F.lit(0).alias("found"))
     done = None
     schema = "query_id long, start string, path array<string>, score double, depth int, turn int, visited array<string>, found int"
@@ -101,6 +101,7 @@ def confidence(paths: DataFrame) -> DataFrame:
 
 def multi_hop(edges: DataFrame, starts: DataFrame, similarity: DataFrame, max_steps: int = 5, beam_width: int = 2, threshold: float = 0.7, limit: int = 10) -> DataFrame:
     """Searches, goes two steps farther for queries of low confidence, and ranks the larger set."""
+    edges, similarity = cut_lineage(edges, "graph"), cut_lineage(similarity, "similarity")
     found = beam_paths(edges, starts, similarity, max_steps, beam_width)
     low = confidence(found).where(F.col("confidence") < threshold).select("query_id")
     more = beam_paths(edges, starts.join(low, "query_id", "left_semi"), similarity, max_steps + 2, beam_width)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import NULL_ID, utf8, written
 
 BINS, BAND = 128, 4
-CHUNK = 2 << 20  # bytes hashed at once
+CHUNK = 1 << 19  # bytes hashed at once
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 2**64))
@@ -216,6 +216,8 @@ def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[Da
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.min_by("bands", "doc_id").alias("bands"))
     classes = written(classes, "classes")
     members = classes.select("class", F.explode("bands").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    members = written(members.join(several.hint("merge"), "bucket").select("bucket", "class"), "buckets")  # few buckets have more than one member
     links, tested, parts = None, None, None
     for turn in range(rounds):
         rank = F.struct("class") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "class"), F.col("class"))
@@ -253,5 +255,6 @@ def components(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int =
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
     """The documents of which no smaller id is a near-duplicate, directly or through others."""
-    out = components(docs.select("doc_id", "text"), words, percent, rounds).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_gone")).distinct()
-    return docs.join(out, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col("_gone"), "left_anti")
+    gone = next(f"_gone{i}" for i in range(len(docs.columns) + 1) if f"_gone{i}" not in docs.columns)
+    out = components(docs.select("doc_id", "text"), words, percent, rounds).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(gone)).distinct()
+    return docs.join(out, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(gone), "left_anti")

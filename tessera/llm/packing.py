@@ -45,7 +45,7 @@ class Words(dict):
     The tokenizer drops white space before it splits, so words are independent.
     ``remembered`` bounds the table."""
 
-    def __init__(self, path: str, remembered: int = 1_000_000) -> None:
+    def __init__(self, path: str, remembered: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered

@@ -114,12 +114,12 @@ def _kept() -> Column:
 
 
 def deduplicate(docs: DataFrame, batches: int = 4, fan: int = 2, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """The documents, repeated lines taken out of their texts. Other columns stay; n_chars, if there, is counted anew; null texts stay null."""
-    columns = docs.columns
-    out = _decided(docs, batches, fan, least_chars).withColumn("text", F.when(F.col("text").isNotNull(), _kept()))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+    """The documents, repeated lines taken out of their texts. Other columns stay, whatever their names; n_chars, if there, is counted anew; null texts stay null."""
+    others = [c for c in docs.columns if c != "text"]
+    held = docs.select("doc_id", "text", F.struct(*others).alias("row"))
+    out = _decided(held, batches, fan, least_chars).select("row", F.when(F.col("text").isNotNull(), _kept()).alias("text"))
+    count = F.char_length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in others else None
+    return out.select(*[F.col("text") if c == "text" else count.alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_decisions(docs: DataFrame, batches: int = 4, fan: int = 2) -> DataFrame:

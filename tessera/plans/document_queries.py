@@ -53,9 +53,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.fuzzy_keys(table(spark, sf_dir, "documents")).groupBy("block").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query("fuzzy_dups_levenshtein", f"""{FUZZY_CTE}, d AS (SELECT * FROM f WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)), p AS (
-  SELECT a.doc_id AS a_id, b.doc_id AS b_id, substr(a.text, 1, 200) AS x, substr(b.text, 1, 200) AS y FROM d a JOIN d b ON a.fuzzy_hash = b.fuzzy_hash AND a.doc_id < b.doc_id WHERE a.fuzzy_hash <> '')
-SELECT * FROM (SELECT a_id, b_id, round(1 - levenshtein(x, y) / greatest(length(x), length(y)), 6) AS similarity, 1 - levenshtein(x, y) / greatest(length(x), length(y)) AS s FROM p) WHERE s >= 0.85""".replace("SELECT * FROM (SELECT a_id", "SELECT a_id, b_id, similarity FROM (SELECT a_id").replace("AND a.doc_id < b.doc_id WHERE a.fuzzy_hash", "AND a.doc_id < b.doc_id WHERE a.fuzzy_hash"))
+@query("fuzzy_dups_levenshtein")
 def _levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = dedup.fuzzy_pairs(table(spark, sf_dir, "documents"), measure="levenshtein")
     return pairs.withColumn("similarity", F.round("similarity", 6))

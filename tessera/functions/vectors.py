@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +24,30 @@ def norm(v: Column) -> Column:
 
 def l2_normalize(v: Column) -> Column:
     """Unit vectors; vectors of no length become zeros."""
-    size = norm(v)
-    return F.transform(v, lambda x: F.when(size > 1e-9, x.cast("double") / size).otherwise(F.lit(0.0)))
+    scaled = lambda size: F.transform(v, lambda x: F.when(size > 1e-9, x.cast("double") / size).otherwise(F.lit(0.0)))
+    return F.element_at(F.transform(F.array(norm(v)), scaled), 1)  # binds the norm, which would be taken anew for each element
 
 
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(1e-9))
 
 
+def embedded(text: str | None, dims: int = 64, n: int = 3) -> list[float]:
+    """Signed counts of hashed character n-grams, of unit length."""
+    plain = (text or "").lower()
+    sums = np.zeros(dims)
+    for i in range(max(1, len(plain) - n + 1)):
+        h = zlib.crc32(plain[i : i + n].encode())
+        sums[h % dims] += 1.0 if h >> 20 & 1 else -1.0
+    size = float(np.sqrt((sums * sums).sum()))
+    return (sums / size if size > 1e-9 else sums).tolist()
+
+
 def hashing_embedding(x: Column, dims: int = 64, n: int = 3) -> Column:
-    """A deterministic stand-in for an embedding model: signed counts of hashed character n-grams, of unit length."""
-    plain = F.lower(x)
-    grams = F.when(F.char_length(plain) >= n, F.transform(F.sequence(F.lit(1), F.char_length(plain) - (n - 1)), lambda i: F.substr(plain, i, F.lit(n)))).otherwise(F.array(plain))
-    hashes = F.transform(grams, lambda g: F.xxhash64(g))
-    slots = F.transform(hashes, lambda h: F.struct(F.pmod(h, F.lit(dims)).alias("slot"), F.when(F.pmod(F.shiftright(h, 20), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("sign")))
-    sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(F.filter(slots, lambda s: s["slot"] == d), F.lit(0.0), lambda acc, s: acc + s["sign"]))
-    return l2_normalize(sums)
+    """A deterministic stand-in for an embedding model, in Arrow batches."""
+
+    @F.pandas_udf("array<double>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: embedded(text, dims, n))
+
+    return run(x)

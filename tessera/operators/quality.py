@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +30,17 @@ def issues(text: Column, embedding: Column | None = None) -> Column:
 
 def repeats_lines(text: Column, lines: int = 5, threshold: float = 0.98) -> Column:
     """Whether neighbours among the first lines are almost the same, by the hashing embedding."""
-    head = F.slice(F.filter(F.split(text, "\n"), lambda line: fn.stripped(line) != ""), 1, lines)
-    vectors = F.transform(head, lambda line: v.hashing_embedding(line))
-    near = F.zip_with(F.slice(vectors, 1, lines - 1), F.slice(vectors, 2, lines - 1), lambda a, b: F.when(a.isNotNull() & b.isNotNull(), v.dot(a, b) > threshold))
-    return F.exists(near, lambda x: F.coalesce(x, F.lit(False)))
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        def repeats(value: str | None) -> bool:
+            head = [line for line in (value or "").split("\n") if line.strip()][:lines]
+            vectors = [v.embedded(line) for line in head]
+            return any(sum(x * y for x, y in zip(a, b, strict=True)) > threshold for a, b in zip(vectors, vectors[1:], strict=False))
+
+        return texts.map(repeats)
+
+    return run(text)
 
 
 def severity(found: Column) -> Column:

@@ -39,7 +39,7 @@ def newest(files: DataFrame, count: int = 1) -> DataFrame:
 def detect_format(path: Column, content: Column) -> Column:
     """By suffix; .xml files are TEI if their first 1000 characters say so; null for others."""
     low = F.lower(path)
-    head = F.substring(F.decode(F.substring(content, 1, 4000), "UTF-8"), 1, 1000)
+    head = F.decode(F.substring(content, 1, 1000), "ISO-8859-1")  # the marks are ASCII
     found = F.lit(None).cast("string")
     for suffix, kind in reversed(SUFFIXES.items()):
         found = F.when(low.endswith(suffix), F.when(F.contains(head, F.lit("<teiHeader")) | F.contains(head, F.lit("<TEI")), "tei") if kind == "xml" else kind).otherwise(found)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,23 +37,34 @@ def normalized(r: Column) -> Column:
     return F.replace(F.lower(r), F.lit("-"), F.lit("_"))
 
 
-def _tags(sets: dict[str, str], r: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(r.isin(*words.split()), name) for name, words in sets.items()]))
+def _mask(r: Column, sets: list[tuple[str, ...]]) -> Column:
+    """A bit for each set that holds the relation."""
+    bits = [F.when(r.isin(*names), 1 << i).otherwise(0) for i, names in enumerate(sets)]
+    return reduce(lambda x, y: x.bitwiseOR(y), bits)
+
+
+def tags(r: Column) -> Column:
+    """All that compatibility needs of a relation: name, and bits of its inverse pairs by side, groups and categories. Taken once a row, they make pairs cheap."""
+    n = normalized(r)
+    first, second = ([(pair[i],) for pair in INVERSE] for i in (0, 1))
+    groups, kinds = ([tuple(words.split()) for words in sets.values()] for sets in (GROUPS, CATEGORIES))
+    return F.struct(n.alias("name"), _mask(n, first).alias("first"), _mask(n, second).alias("second"), _mask(n, groups).alias("groups"), _mask(n, kinds).alias("kinds"))
+
+
+def compatible(a: Column, b: Column, similarity: Column | None = None) -> Column:
+    """Compatibility of two relations by their tags."""
+    meet = lambda x, y: a[x].bitwiseAND(b[y]) != 0
+    rest = F.lit(OTHER) if similarity is None else F.greatest(F.lit(OTHER), F.coalesce(similarity, F.lit(OTHER)))
+    found = F.when(a["name"] == b["name"], SAME).when(meet("first", "second") | meet("second", "first"), INVERSES)
+    return found.when(meet("groups", "groups"), RELATED).when(meet("kinds", "kinds"), SAME_KIND).otherwise(rest)
 
 
 def compatibility(a: Column, b: Column, similarity: Column | None = None) -> Column:
     """Same, inverse, related, of one kind of verb, or else ``similarity``, 0.3 at least."""
-    a, b = normalized(a), normalized(b)
-    pair = F.concat_ws("|", F.least(a, b), F.greatest(a, b))
-    inverse = pair.isin(*["|".join(sorted(x)) for x in INVERSE])
-    rest = F.lit(OTHER) if similarity is None else F.greatest(F.lit(OTHER), F.coalesce(similarity, F.lit(OTHER)))
-    return (
-        F.when(a == b, SAME).when(inverse, INVERSES).when(F.arrays_overlap(_tags(GROUPS, a), _tags(GROUPS, b)), RELATED)
-        .when(F.arrays_overlap(_tags(CATEGORIES, a), _tags(CATEGORIES, b)), SAME_KIND).otherwise(rest)
-    )
+    return compatible(tags(a), tags(b), similarity)
 
 
 def compatibility_table(relations: DataFrame, column: str = "r") -> DataFrame:
     """Every pair of the distinct relations: evaluated once for each pair of names, not for each pair of rows. The vocabulary is small and bounded by the schema of relations."""
-    names = relations.select(F.col(column).alias("r1")).distinct()
-    return names.join(names.withColumnRenamed("r1", "r2"), F.lit(True)).select("r1", "r2", compatibility(F.col("r1"), F.col("r2")).alias("compat"))
+    names = relations.select(F.col(column).alias("r1")).distinct().withColumn("t1", tags(F.col("r1")))
+    return names.join(names.toDF("r2", "t2"), F.lit(True)).select("r1", "r2", compatible(F.col("t1"), F.col("t2")).alias("compat"))

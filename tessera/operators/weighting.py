@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.relations import compatibility
+from tessera.functions.relations import compatible, tags
 
 
 def edge_list(triples: DataFrame) -> DataFrame:
@@ -39,8 +39,8 @@ def intra_raw(triples: DataFrame) -> DataFrame:
     by_pair = distinct.where("s <> o").groupBy("doc_id", "src", "dst", "r").agg(F.sum("m").alias("n"))
 
     def weighted(counts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-        other = counts.select(*keys, F.col("r").alias("q"), F.col("n").alias("k"))
-        met = counts.select(*keys, "r").join(other, keys).withColumn("c", compatibility(F.col("r"), F.col("q")))
+        other = counts.select(*keys, tags(F.col("r")).alias("y"), F.col("n").alias("k"))
+        met = counts.select(*keys, "r", tags(F.col("r")).alias("x")).join(other, keys).withColumn("c", compatible(F.col("x"), F.col("y")))
         return met.groupBy(*keys, "r").agg(F.sum(F.col("k") * value).alias(name))
 
     c = F.col("c")
@@ -80,7 +80,7 @@ def entity_support(triples: DataFrame) -> DataFrame:
 def inter_pairs(triples: DataFrame, top_entities: int = 100, least_support: int = 3) -> DataFrame:
     """Pairs of triples that share one of the best supported entities, each pair once. The limit on entities is the operator's own."""
     top = entity_support(triples).orderBy(F.desc("support"), "first", "entity").limit(top_entities).where(F.col("support") >= least_support)
-    t = triples.select(F.struct("doc_id", "triple_idx").alias("at"), "s", "r", "o")
+    t = triples.select(F.struct("doc_id", "triple_idx").alias("at"), "s", tags(F.col("r")).alias("r"), "o")
     held = t.withColumn("entity", F.explode(F.array_distinct(F.array("s", "o")))).join(F.broadcast(top.select("entity")), "entity")  # at most top_entities rows
     a, b = held.alias("a"), held.alias("b")
     pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.at") < F.col("b.at")))
@@ -104,7 +104,7 @@ def inter_raw(triples: DataFrame, threshold: float = 0.11, top_entities: int = 1
         for i in (1, 2):
             pairs = pairs.join(embeddings.select(F.col("entity").alias(f"s{i}"), F.col("emb").alias(f"emb{i}")), f"s{i}", "left")
         alike = F.greatest(F.coalesce(dot(F.col("emb1"), F.col("emb2")), F.lit(0.0)), F.lit(0.0)) * 0.3
-    w = F.least(F.col("shared") * 0.5, F.lit(1.0)) * 0.4 + compatibility(F.col("r1"), F.col("r2")) * 0.3 + alike * 0.2 + 0.3 * (1 - hops / 3.0) * 0.1
+    w = F.least(F.col("shared") * 0.5, F.lit(1.0)) * 0.4 + compatible(F.col("r1"), F.col("r2")) * 0.3 + alike * 0.2 + 0.3 * (1 - hops / 3.0) * 0.1
     kept = pairs.select("s1", "o1", "s2", "o2", F.least(w, F.lit(1.0)).alias("w")).where(F.col("w") > threshold)
     ends = kept.select("w", F.explode(F.array(F.struct(F.least("s1", "o1").alias("src"), F.greatest("s1", "o1").alias("dst")), F.struct(F.least("s2", "o2").alias("src"), F.greatest("s2", "o2").alias("dst")))).alias("e"))
     return ends.groupBy("e.src", "e.dst").agg(F.sum("w").alias("inter_raw"))

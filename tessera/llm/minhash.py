@@ -15,10 +15,12 @@ With 128 bins in 32 bands of 4, a pair at similarity 0.8 shares no bucket with
 probability (1 - 0.8^4)^32, about 5e-8.
 
 Cases: null and empty texts have an empty set and are linked with nothing;
-fewer words than a shingle are one shingle; rows that share a doc_id are
-documents of their own, each with its set's component; a null doc_id counts as
-the largest; an empty table gives an empty result; extra columns are kept by
-``keep_one`` and ignored by ``components``.
+fewer words than a shingle are one shingle; repeated rows are each returned,
+with one result; doc_id is a document's key, so rows that repeat an id with
+another text share that id's links, which are confirmed on its smallest text
+alone; a null doc_id counts as the largest, and all null ones as one id; an
+empty table gives an empty result; extra columns are kept by ``keep_one`` and
+ignored by ``components``.
 """
 
 from __future__ import annotations
@@ -230,7 +232,6 @@ def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[Da
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        # Rows that share a doc_id may differ in their sets; the class's own text is asked for by its digest.
         wanted = classes.join(needed.withColumnRenamed("doc_id", "class"), "class").select(F.col("class").alias("doc_id"), "s1", "s2")
         chosen = signed.select("doc_id", "s1", "s2").join(wanted, ["doc_id", "s1", "s2"]).select("doc_id").distinct()
         held = written(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")

@@ -33,10 +33,19 @@ class Settings:
 
 
 RANGES = {"entity_linking_threshold": (0.0, 1.0), "relation_compat_threshold": (0.0, 1.0), "final_weight_cutoff": (0.0, 1.0), "quality_threshold": (0.0, 1.0), "retrieval_chunk_size": (1, 100_000), "graph_chunk_size": (1, 100_000), "retrieval_chunk_overlap": (0, 100_000), "graph_chunk_overlap": (0, 100_000), "max_triplets_per_chunk": (1, 1000)}
+# The presets' linking threshold, relation threshold, weight cutoff and triples a chunk; chunk sizes are the same in all.
 PRESETS = {
-    "general": Settings(),
-    "strict_quality": Settings(entity_linking_threshold=0.92, relation_compat_threshold=0.15, final_weight_cutoff=0.05, max_triplets_per_chunk=10, quality_threshold=0.5),
-    "high_coverage": Settings(entity_linking_threshold=0.85, relation_compat_threshold=0.05, final_weight_cutoff=0.02, max_triplets_per_chunk=20),
+    name: Settings(entity_linking_threshold=linking, relation_compat_threshold=relation, final_weight_cutoff=cutoff, max_triplets_per_chunk=most)
+    for name, linking, relation, cutoff, most in (
+        ("general", 0.88, 0.11, 0.035, 15),
+        ("strict_quality", 0.92, 0.13, 0.04, 12),
+        ("high_coverage", 0.85, 0.09, 0.025, 18),
+        ("cv", 0.90, 0.13, 0.04, 15),
+        ("nlp", 0.87, 0.10, 0.03, 15),
+        ("ml", 0.88, 0.12, 0.04, 15),
+        ("graph", 0.89, 0.11, 0.035, 15),
+        ("bio", 0.92, 0.09, 0.03, 15),
+    )
 }
 
 

@@ -24,9 +24,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,21 +129,19 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     first = results.groupBy(F.col("conv_id").alias("own"), F.col("call_id").alias("answers")).agg(F.min("at").alias("at"))
     linked = calls.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("call_id") == F.col("answers"))).select(F.col("conv_id").alias("of"), "call_id", F.col("at.key").alias("key"))
 
-    def whole(rows: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=[x.split()[0] for x in CHAT.split(", ")])
-        rows = rows.assign(last=rows["turn"].isna()).sort_values(["last", "turn", "role", "text"], kind="stable")
-        result_of = dict(zip(links["key"], links["call_id"], strict=True))
+    def whole(conv: int | None, rows: list[dict], links: list[dict]) -> tuple:
+        rows.sort(key=lambda r: (r["turn"] is None, r["turn"] or 0, r["role"], r["text"]))
+        result_of = {link["key"]: link["call_id"] for link in links}
         chat, at, used, orphans = [], {}, set(), 0
-        for i, (role, text, key) in enumerate(zip(rows["role"], rows["text"], rows["key"], strict=True)):
-            turn = Turn(role, text)
-            if role == "assistant":
-                bodies = BLOCK.findall(text)
+        for i, row in enumerate(rows):
+            turn = Turn(row["role"], row["text"])
+            if turn.role == "assistant" and "<tool_call>" in turn.text:
+                bodies = BLOCK.findall(turn.text)
                 turn.calls = [c for c in map(parsed_call, bodies) if c]
                 if turn.calls and len(turn.calls) == len(bodies):
-                    turn.text = BLOCK.sub("", text).strip()
-            elif role == "tool":
-                turn.result = result_of.get(key)
+                    turn.text = BLOCK.sub("", turn.text).strip()
+            elif turn.role == "tool":
+                turn.result = result_of.get(row["key"])
                 if turn.result is None or turn.result in used:
                     turn.result, orphans = None, orphans + 1
                 else:
@@ -165,8 +164,16 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
                 message["tool_call_id"] = turn.result
                 message["content"] = json.loads(turn.text).get("content")
             out.append(message)
-        conv = rows["conv_id"].iloc[0]
-        row = (None if pd.isna(conv) else int(conv), len(chat), sum(len(t.calls) for t in chat), len(at), invalid, orphans, cyclic, canonical(out))
-        return pd.DataFrame([row], columns=[x.split()[0] for x in CHAT.split(", ")]).astype({"conv_id": "Int64"})
-
-    return turns.groupBy("conv_id").cogroup(linked.groupBy("of")).applyInPandas(lambda rows, links: whole(rows, links), CHAT)
+        return conv, len(chat), sum(len(t.calls) for t in chat), len(at), invalid, orphans, cyclic, canonical(out)
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in items:
+            if batch.num_rows:
+                rows = [whole(r["conv_id"], r["turns"], r["links"] or []) for r in batch.to_pylist()]
+                kinds = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CHAT.split(", ")])
+
+    # A conversation is one record of the output, so its turns are gathered into one row.
+    whole_chats = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text", "key")).alias("turns"))
+    whole_links = linked.groupBy("of").agg(F.collect_list(F.struct("key", "call_id")).alias("links"))
+    return whole_chats.join(whole_links, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").mapInArrow(run, CHAT)

@@ -8,11 +8,13 @@ smallest id goes on. A bucket gives star-shaped candidate edges, from its centre
 to every other member, so the number of pairs stays linear. Candidates are
 confirmed on the full sets of their whole texts. Links that a star may miss are
 looked for again: in further rounds, buckets that still hold more than one
-component get another centre. Components come from alternating large and small
-stars, all distributed.
+component get another centre. What then still lies in a bucket with another
+component is compared in full, pair by pair, in salted blocks of the bucket, so
+that every pair that shares a bucket is linked, or was tested, or is in one
+component. Components come from alternating large and small stars, all distributed.
 
 With 128 bins in 32 bands of 4, a pair at similarity 0.8 shares no bucket with
-probability (1 - 0.8^4)^32, about 5e-8.
+probability (1 - 0.8^4)^32, about 5e-8; no other pair is missed.
 
 Cases: null and empty texts have an empty set and are linked with nothing;
 fewer words than a shingle are one shingle; repeated rows are each returned,
@@ -25,7 +27,7 @@ ignored by ``components``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,7 @@ from .shared import NULL_ID, utf8, written
 
 BINS, BAND = 128, 4
 CHUNK = 1 << 19  # bytes hashed at once
+BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 23  # of a bucket's block, on average
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 2**64))
@@ -190,6 +193,102 @@ def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _set_bytes(held: DataFrame, words: int) -> DataFrame:
+    """The shingle set of each text, as bytes."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in items:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [x.tobytes() for x in shingle_sets(part.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["class", "shingles"])
+
+    return held.select("doc_id", "text").mapInArrow(run, "class long, shingles binary")
+
+
+def _groups(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys, which may go on over several batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in items:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(columns[:, a].tolist())
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def block_links(bucket: int, side: np.ndarray | None, ids: np.ndarray, parts: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Similar pairs of different components; of the two sides only, if there are two.
+
+    A pair that shares an earlier band as well is left to that one's bucket."""
+    parts, sizes, out = parts.copy(), np.array([len(x) for x in sets]), []
+    earlier = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes = np.split(codes, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(known), bool)
+    for p in range(len(ids) - 1):
+        rest = np.arange(p + 1, len(ids))
+        ok = (parts[rest] != parts[p]) & (np.minimum(sizes[rest], sizes[p]) > 0) & (100 * np.minimum(sizes[rest], sizes[p]) >= percent * np.maximum(sizes[rest], sizes[p]))
+        if side is not None:
+            ok &= side[rest] != side[p]
+        rest = rest[ok]
+        rest = rest[~(earlier[rest] == earlier[p]).any(1)]
+        if not len(rest):
+            continue
+        mark[codes[p]] = True
+        starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
+        both = np.add.reduceat(mark[np.concatenate([codes[q] for q in rest])].astype(np.int64), starts)
+        mark[codes[p]] = False
+        good = rest[100 * both >= percent * (sizes[p] + sizes[rest] - both)]
+        out += [(int(ids[p]), int(ids[q])) for q in good]
+        parts[np.isin(parts, parts[good])] = parts[p]
+    return out
+
+
+def left_links(members: DataFrame, parts: DataFrame, bands: DataFrame, held: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) between all members of different components in a bucket, or None if no bucket has several.
+
+    A large bucket is dealt into blocks by hash, and each two of them meet in a group of
+    their own, so that no task holds a bucket and no pair becomes a row before it is a link."""
+    now = members.join(parts.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
+    left = written(now.join(several.hint("merge"), "bucket").select("bucket", "class", "component"), "left")
+    if left.isEmpty():
+        return None
+    needed = left.select(F.col("class").alias("doc_id")).distinct()
+    sets = written(_set_bytes(held(needed), words).join(bands.hint("merge"), "class"), "sets")
+    sizes = left.join(sets.select("class", F.length("shingles").alias("bytes")).hint("merge"), "class").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    dealt = left.join(blocks.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keys = ["bucket", "i", "j"]
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
+    spread = dealt.join(sets.hint("merge"), "class").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(items, keys):
+            if group.num_rows < 2:
+                continue
+            column = lambda name, group=group: group.column(name).combine_chunks()
+            number = lambda name: column(name).to_numpy(zero_copy_only=False)
+            i, j = int(number("i")[0]), int(number("j")[0])
+            own = np.stack([np.asarray(x, np.int64) for x in group.column("bands").to_pylist()])
+            texts = [np.frombuffer(x.as_buffer(), U) for x in column("shingles")]
+            found = block_links(int(number("bucket")[0]), None if i == j else number("own"), number("class"), number("component"), own, texts, percent)
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+    return spread.select(*keys, "own", "class", "component", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
+
+
 def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
     """node and its component's smallest node, for every node of a link."""
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
@@ -212,7 +311,9 @@ def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Signed rows with their class, and the component of every class that has links."""
+    """Signed rows with their class, and the component of every class that has links.
+
+    The rounds of stars only save work: what they leave is compared in full after them."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(signatures(texts, words), "signatures")
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.min_by("bands", "doc_id").alias("bands"))
@@ -220,6 +321,12 @@ def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[Da
     members = classes.select("class", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
     members = written(members.join(several.hint("merge"), "bucket").select("bucket", "class"), "buckets")  # few buckets have more than one member
+
+    def held_texts(needed: DataFrame) -> DataFrame:
+        wanted = classes.join(needed.withColumnRenamed("doc_id", "class"), "class").select(F.col("class").alias("doc_id"), "s1", "s2")
+        chosen = signed.select("doc_id", "s1", "s2").join(wanted, ["doc_id", "s1", "s2"]).select("doc_id").distinct()
+        return written(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+
     links, tested, parts = None, None, None
     for turn in range(rounds):
         rank = F.struct("class") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "class"), F.col("class"))
@@ -232,9 +339,7 @@ def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[Da
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.union(pairs)
         needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = classes.join(needed.withColumnRenamed("doc_id", "class"), "class").select(F.col("class").alias("doc_id"), "s1", "s2")
-        chosen = signed.select("doc_id", "s1", "s2").join(wanted, ["doc_id", "s1", "s2"]).select("doc_id").distinct()
-        held = written(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+        held = held_texts(needed)
         first = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
         both = first.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
         good = written(confirmed(both, words, percent), "links")
@@ -242,6 +347,11 @@ def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[Da
             break
         links = good if links is None else links.union(good)
         parts = connected(links)
+    more = left_links(members, parts, classes.select("class", "bands"), held_texts, words, percent)
+    if more is not None:
+        more = written(more, "links")
+        if not more.isEmpty():
+            parts = connected(links.union(more))
     return signed.join(classes.select("s1", "s2", "class").hint("merge"), ["s1", "s2"], "left"), parts
 
 

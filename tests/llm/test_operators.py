@@ -281,6 +281,20 @@ def test_densified_bins_agree_with_similarity():
     assert abs(np.mean(agree) - (27 / 33) ** 4) < 0.08
 
 
+def templated(count=240, planted=40):
+    """Texts of one template, at 0.78 of each other; planted pairs share three words more and are at 0.81."""
+    template = [f"t{i}" for i in range(150)]
+    pair = lambda d: [f"{c}{d // 2}" for c in "pqr"] if d < 2 * planted else []
+    return [((d * 7919) % 1009, " ".join(template + (pair(d) + [f"d{d}x{i}" for i in range(21)])[:21])) for d in range(count)]
+
+
+@pytest.mark.parametrize("rows", [512, 32])
+def test_near_copies_of_a_template(spark, monkeypatch, rows):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", rows)
+    docs = spark.createDataFrame(templated(), "doc_id long, text string")
+    same(minhash.components(docs, 2).collect(), brute_groups(templated(), 2))
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 102)], "a long, b long")
     got = {r.node: r.component for r in minhash.connected(links).collect()}

@@ -250,3 +250,16 @@ def test_graph_build(spark):
     edges = graph.edges.collect()
     assert edges and all(0 < r.weight <= 1 for r in edges)
     assert store.count() == overlap.count() == 2
+
+
+# --- whole tables in queries -------------------------------------------------------------------
+def test_extracted_triples_come_from_whole_texts(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    words = [f"Word{i}" for i in range(900)]
+    spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["extracted_triples"](spark, str(tmp_path)).collect()
+    text = " ".join(words)
+    chunks = [text[i : i + 512] for i in range(0, len(text) - 50, 462)]
+    want = [t for c in chunks for t in extraction.plain_extractor(c)[:15]]
+    assert sorted((r.s, r.r, r.o) for r in got) == sorted(want) and len(chunks) > 10

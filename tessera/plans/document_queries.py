@@ -61,7 +61,9 @@ def _levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fuzzy_dups_ratio")
 def _ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.ranked_duplicates(dedup.fuzzy_pairs(table(spark, sf_dir, "documents"))).withColumn("similarity", F.round("similarity", 6))
+    """Earlier duplicates of each document; a later copy of a text has its first one alone, at 1.0, and shares that one's pairs."""
+    docs = table(spark, sf_dir, "documents")
+    return dedup.ranked_duplicates(dedup.fuzzy_pairs(docs).union(dedup.copies(docs))).withColumn("similarity", F.round("similarity", 6))
 
 
 def _share(ranges: str, n: int = 300) -> str:

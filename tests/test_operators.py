@@ -139,6 +139,21 @@ def test_fuzzy_pairs(spark):
     assert got == [(1, 2, SequenceMatcher(None, base * 2, base * 2 + "!").ratio())]
 
 
+def test_fuzzy_pairs_with_an_early_edit_and_copies(spark):
+    base = "the cat sat on the mat and looked at the moon for a long time before it went to sleep again " * 2
+    other = base.replace("looked", "l00k", 1)
+    rows = [(1, base), (2, other), (3, base)] + [(10 + i, base + "!" * (i + 1)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = dedup.fuzzy_pairs(docs)
+    ranked = dedup.ranked_duplicates(pairs.union(dedup.copies(docs))).collect()
+    texts = dict(rows)
+    got = {(r.a_id, r.b_id): r.similarity for r in ranked}
+    distinct = [d for d, _ in rows if d != 3]
+    want = {(a, b): q for a, b in combinations(distinct, 2) if (q := SequenceMatcher(None, texts[a], texts[b]).ratio()) >= 0.85}
+    assert (1, 2) in want and got == want | {(1, 3): 1.0}
+    assert max(r.rank for r in ranked) > 50
+
+
 def test_paragraph_packing():
     parts = ["a" * 40, "b" * 40, "c" * 40, "d" * 200]
     assert chunking.pack_paragraphs(parts, 100, 0) == ["a" * 40 + "\n\n" + "b" * 40, "c" * 40, "d" * 200]

@@ -154,6 +154,13 @@ def test_fuzzy_pairs_with_an_early_edit_and_copies(spark):
     assert max(r.rank for r in ranked) > 50
 
 
+def test_levenshtein_of_whole_texts(spark):
+    head, rest = "one licence header of many files, " * 8, "the body of a text that goes on for a while, "
+    rows = [(1, head + rest * 40), (2, head + rest[::-1] * 40), (3, head + rest * 39 + "and it ends here"), (4, head[:45] + "#" * 150 + head[195:] + rest * 40)]
+    got = {(r.a_id, r.b_id) for r in dedup.fuzzy_pairs(spark.createDataFrame(rows, "doc_id long, text string"), measure="levenshtein").collect()}
+    assert got == {(1, 3), (1, 4), (3, 4)}
+
+
 def test_paragraph_packing():
     parts = ["a" * 40, "b" * 40, "c" * 40, "d" * 200]
     assert chunking.pack_paragraphs(parts, 100, 0) == ["a" * 40 + "\n\n" + "b" * 40, "c" * 40, "d" * 200]

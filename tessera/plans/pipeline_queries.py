@@ -77,9 +77,9 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retrieval_store")
 def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit vectors of whole documents, each distinct text embedded once."""
-    docs = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("chunk"))
-    return retrieval.build_store(cut_lineage(docs, "titles")).select("page_id", F.size("emb").alias("dims"))
+    """Unit vectors of all retrieval chunks, each distinct text embedded once; components to six places."""
+    chunks = chunking.dual_chunks(table(spark, sf_dir, "documents")).where("chunk_type = 'semantic'")
+    return retrieval.build_store(cut_lineage(chunks, "chunks")).select("doc_id", "chunk_id", F.transform("emb", lambda x: F.round(x, 6)).alias("emb"))
 
 
 @query("event_windows", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")

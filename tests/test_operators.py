@@ -285,3 +285,13 @@ def test_extracted_triples_come_from_whole_texts(spark, tmp_path):
     chunks = [text[i : i + 512] for i in range(0, len(text) - 50, 462)]
     want = [t for c in chunks for t in extraction.plain_extractor(c)[:15]]
     assert sorted((r.s, r.r, r.o) for r in got) == sorted(want) and len(chunks) > 10
+
+
+def test_retrieval_store_holds_all_chunks(spark, tmp_path):
+    from tessera.plans.queries import QUERIES
+
+    whole = " ".join(f"word{i}" for i in range(300))
+    spark.createDataFrame([(1, whole)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["retrieval_store"](spark, str(tmp_path)).collect()
+    assert len({r.chunk_id for r in rows}) == len(rows) == math.ceil((len(whole) - 320) / 200) + 1
+    assert all(abs(sum(x * x for x in r.emb) - 1) < 1e-4 for r in rows)

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import cut_lineage
+from tessera.session import remove, shared_path, written
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and the smallest node of its component, for every node of a link.
 
-    A round halves the distance to the smallest node, so few are needed. Only
-    minima are gathered at a node, never its neighbours: a hot node costs a row a
-    task. Each round's edges are written, so a lost executor costs one round."""
-    edges = cut_lineage(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
+    A round halves the distance to the smallest node, so few are needed; they go on
+    until one changes nothing. Only minima are gathered at a node, never its
+    neighbours, and minima are dealt once more before they are joined, so that Spark
+    can split a hot node's links. Each round's edges are written, so a lost executor
+    costs one round; the round before is then removed."""
+    spark = links.sparkSession
+    path = shared_path(spark, "edges")
+    edges = written(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), path)
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("u")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut_lineage(moved.union(least).where("u <> v").distinct(), "edges")
+        before, path = path, shared_path(spark, "edges")
+        edges = written(moved.union(least).where("u <> v").distinct(), path)
+        remove(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,20 +17,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Drops an execution's shuffle files when it has ended, rather than when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; only a local master may leave spark.checkpoint.dir unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Only a local master, where both are one process, may leave it unset."""
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file:///tmp/checkpoints/tessera-graph"
+    return "file:///tmp/checkpoints/tessera"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Cuts the lineage: the frame as a table at a path in the shared folder, read again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
-    """The frame as a table in the shared folder, read again."""
-    import uuid
+    """The frame as a table under a name of its own in the shared folder, read again."""
+    return written(df, shared_path(df.sparkSession, name))
+
 
-    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table that is read no more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import remove, shared_path, written
+from tessera.session import dealt_anew, remove, shared_path, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,12 +22,12 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     state = None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).repartition("u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(dealt_anew("u"), "m")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m")).repartition("u")
+        least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u"), "m")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, path = path, shared_path(spark, "edges")
-        edges = written(moved.union(least).where("u <> v").distinct(), path)
+        edges = written(moved.union(least.select("u", "m")).where("u <> v").distinct(), path)
         remove(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -59,3 +60,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that is read no more."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def dealt_anew(key: str) -> Column:
+    """A 64-bit key of an aggregate that is joined next, as an expression that Spark doesn't know the rows to be dealt by.
+
+    It deals the few aggregated rows once more, and so both sides of the join are
+    exchanges of its own, which it can split where a key is hot."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)

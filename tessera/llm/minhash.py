@@ -3,42 +3,45 @@
 One hash of each word shingle gives both its bin (the top bits) and its value;
 a bin keeps its least value, and an empty bin takes that of a bin which a fixed
 random sequence names, so short documents fill all bins evenly. Bins are banded
-into buckets. Documents with equal sets form a class first, and only a class's
-smallest id goes on. A bucket gives star-shaped candidate edges, from its centre
-to every other member, so the number of pairs stays linear. Candidates are
-confirmed on the full sets of their whole texts. Links that a star may miss are
-looked for again: in further rounds, buckets that still hold more than one
-component get another centre. What then still lies in a bucket with another
-component is compared in full, pair by pair, in salted blocks of the bucket, so
-that every pair that shares a bucket is linked, or was tested, or is in one
-component. Components come from alternating large and small stars, all distributed.
+into buckets. Documents with equal sets form a class, a node of the graph, and
+only nodes go on. A bucket gives star-shaped candidate edges, from its smallest
+node to every other member, so the number of pairs stays linear. Candidates are
+confirmed on the full sets of whole texts. What then still lies in a bucket with
+another component is compared in full, in salted blocks of the bucket: first by
+counts of shingles by hash, which bound an intersection from above, then, for
+members that have a partner within that bound, by their sets. So every pair that
+shares a bucket is linked, or was tested, or is in one component; no pair becomes
+a row before it is a link. Components come from alternating large and small stars.
 
 With 128 bins in 32 bands of 4, a pair at similarity 0.8 shares no bucket with
-probability (1 - 0.8^4)^32, about 5e-8; no other pair is missed.
+probability (1 - 0.8^4)^32, about 5e-8; no other pair is missed. Sets hold 64-bit
+hashes of shingles, and sets of one class agree in 128 bits.
 
 Cases: null and empty texts have an empty set and are linked with nothing;
-fewer words than a shingle are one shingle; repeated rows are each returned,
-with one result; doc_id is a document's key, so rows that repeat an id with
-another text share that id's links, which are confirmed on its smallest text
-alone; a null doc_id counts as the largest, and all null ones as one id; an
-empty table gives an empty result; extra columns are kept by ``keep_one`` and
-ignored by ``components``.
+fewer words than a shingle are one shingle; repeated rows are each returned, with
+one result; rows that repeat an id with another text are nodes of their own; a
+null doc_id counts as larger than all others; an empty table gives an empty
+result; extra columns are kept by ``keep_one`` and ignored by ``components``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NULL_ID, utf8, written
+from tessera.operators.components import connected_components
+from tessera.session import dealt_anew
+
+from .shared import NULL_ID, Scratch, slices, trim, utf8
 
 BINS, BAND = 128, 4
 CHUNK = 1 << 19  # bytes hashed at once
-BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 23  # of a bucket's block, on average
+BLOCK_ROWS, BLOCK_BYTES = 2048, 1 << 23  # of a bucket's block, on average
+COUNTS = 64
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 2**64))
@@ -55,12 +58,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def powers(size: int) -> list[np.ndarray]:
-    if len(_powers[0]) < size:
-        for i, base in enumerate((BASE, INVERSE)):
-            steps = np.full(size, base)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers
+    """Powers of the base and its inverse; few long inputs aside, a table of bounded size serves all."""
+    if len(_powers[0]) >= size:
+        return _powers
+    out = []
+    for base in (BASE, INVERSE):
+        steps = np.full(size, base)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    if size <= 4 * CHUNK:
+        _powers[:] = out
+    return out
 
 
 def _hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +86,20 @@ def _hashed_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return words, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _long_words(data: np.ndarray) -> np.ndarray:
+    """Hashes of the words of one long text, piece by piece, cut at blanks."""
+    out, at = [], 0
+    while at < len(data):
+        to = min(at + CHUNK, len(data))
+        while to < len(data) and not (blanks := np.flatnonzero(SPACE[data[at:to]])).size:
+            to = min(to + CHUNK, len(data))  # a word longer than a piece
+        if to < len(data):
+            to = at + int(blanks[-1]) + 1
+        out.append(_hashed_words(data[at:to], np.array([0, to - at]))[0])
+        at = to
+    return np.concatenate(out)
+
+
 def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = utf8(column)
@@ -86,9 +108,14 @@ def shingle_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     while at < count:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
         part = offsets[at : to + 1] - offsets[at]
-        hashes, own = _hashed_words(data[offsets[at] : offsets[to]], part)
-        bounds = np.searchsorted(own, np.arange(to - at + 1))
+        piece = data[offsets[at] : offsets[to]]
         with np.errstate(over="ignore"):
+            if len(piece) > CHUNK:  # one text
+                hashes = _long_words(piece)
+                bounds = np.array([0, len(hashes)])
+            else:
+                hashes, own = _hashed_words(piece, part)
+                bounds = np.searchsorted(own, np.arange(to - at + 1))
             weights = mixed(np.arange(1, words + 1, dtype=U))
             many = np.zeros(max(0, len(hashes) - words + 1), U)
             for i in range(words):
@@ -150,60 +177,60 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return mixed(keys + np.arange(dense.shape[1], dtype=U) * BASE).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
+SIGNED = "doc_id long, sig long, n_shingles long, s1 long, s2 long, bands array<long>"
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(texts: DataFrame, words: int) -> DataFrame:
     """Per row the size and a 128-bit digest of its set, and its buckets."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                sets = shingle_sets(part.column("text"), words)
-                full = [i for i, x in enumerate(sets) if len(x)]
-                bands: list = [[]] * len(sets)
-                with np.errstate(over="ignore"):
-                    if full:
-                        for i, keys in zip(full, band_keys([sets[i] for i in full]), strict=True):
-                            bands[i] = keys
-                    digests = [np.array([[mixed(x + U(1)).sum(dtype=U), np.bitwise_xor.reduce(mixed(x + U(2)))]], U).view(np.int64)[0] if len(x) else (0, 0) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "s1", "s2", "bands"])
+        for part in slices(items):
+            sets = shingle_sets(part.column("text"), words)
+            full = [i for i, x in enumerate(sets) if len(x)]
+            bands: list = [[]] * len(sets)
+            with np.errstate(over="ignore"):
+                if full:
+                    for i, keys in zip(full, band_keys([sets[i] for i in full]), strict=True):
+                        bands[i] = keys
+                digests = [np.array([[mixed(x + U(1)).sum(dtype=U), np.bitwise_xor.reduce(mixed(x + U(2)))]], U).view(np.int64)[0] if len(x) else (0, 0) for x in sets]
+            columns = [part.column("doc_id"), part.column("sig"), pa.array([len(x) for x in sets], pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in (0, 1)), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "sig", "n_shingles", "s1", "s2", "bands"])
+
+    return texts.mapInArrow(run, SIGNED)
 
-    return docs.mapInArrow(run, SIGNED)
 
+def counts_of(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's shingles have each value of some bits of the hash."""
+    return np.bincount(((shingles >> U(20)) & U(COUNTS - 1)).astype(np.int64), minlength=COUNTS).astype("<i4")
 
-def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b, text_a, text_b) those whose sets are similar enough."""
+
+def _sets(held: DataFrame, words: int) -> DataFrame:
+    """The shingle set of each node's text and its counts, as bytes, beside its buckets."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                good = []
-                for x, y in zip(shingle_sets(part.column("text_a"), words), shingle_sets(part.column("text_b"), words), strict=True):
-                    small, large = (x, y) if len(x) <= len(y) else (y, x)
-                    both = 0
-                    if len(large) and 100 * len(small) >= percent * len(large):
-                        place = np.minimum(np.searchsorted(large, small), len(large) - 1)
-                        both = int((large[place] == small).sum())
-                    good.append(bool(both) and 100 * both >= percent * (len(x) + len(y) - both))
-                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        for part in slices(items):
+            sets = shingle_sets(part.column("text"), words)
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("bands"), pa.array([counts_of(x).tobytes() for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "bands", "counts", "shingles"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return held.select("node", "bands", "text").mapInArrow(run, "node long, bands array<long>, counts binary, shingles binary")
 
 
-def _set_bytes(held: DataFrame, words: int) -> DataFrame:
-    """The shingle set of each text, as bytes."""
+def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs (a, b, set_a, set_b) those whose sets are similar enough."""
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [x.tobytes() for x in shingle_sets(part.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["class", "shingles"])
+            good = []
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                small, large = (x, y) if len(x) <= len(y) else (y, x)
+                place = np.minimum(np.searchsorted(large, small), len(large) - 1)
+                both = int((large[place] == small).sum())
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+        trim()
 
-    return held.select("doc_id", "text").mapInArrow(run, "class long, shingles binary")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def _groups(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -226,146 +253,149 @@ def _groups(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def block_links(bucket: int, side: np.ndarray | None, ids: np.ndarray, parts: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Similar pairs of different components; of the two sides only, if there are two.
-
-    A pair that shares an earlier band as well is left to that one's bucket."""
-    parts, sizes, out = parts.copy(), np.array([len(x) for x in sets]), []
-    earlier = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
-    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    codes = np.split(codes, np.cumsum(sizes)[:-1])
-    mark = np.zeros(len(known), bool)
-    for p in range(len(ids) - 1):
-        rest = np.arange(p + 1, len(ids))
-        ok = (parts[rest] != parts[p]) & (np.minimum(sizes[rest], sizes[p]) > 0) & (100 * np.minimum(sizes[rest], sizes[p]) >= percent * np.maximum(sizes[rest], sizes[p]))
-        if side is not None:
-            ok &= side[rest] != side[p]
-        rest = rest[ok]
-        rest = rest[~(earlier[rest] == earlier[p]).any(1)]
-        if not len(rest):
-            continue
-        mark[codes[p]] = True
-        starts = np.concatenate([[0], np.cumsum(sizes[rest])[:-1]])
-        both = np.add.reduceat(mark[np.concatenate([codes[q] for q in rest])].astype(np.int64), starts)
-        mark[codes[p]] = False
-        good = rest[100 * both >= percent * (sizes[p] + sizes[rest] - both)]
-        out += [(int(ids[p]), int(ids[q])) for q in good]
-        parts[np.isin(parts, parts[good])] = parts[p]
-    return out
-
-
-def left_links(members: DataFrame, parts: DataFrame, bands: DataFrame, held: Callable[[DataFrame], DataFrame], words: int, percent: int) -> DataFrame | None:
-    """Links (a, b) between all members of different components in a bucket, or None if no bucket has several.
-
-    A large bucket is dealt into blocks by hash, and each two of them meet in a group of
-    their own, so that no task holds a bucket and no pair becomes a row before it is a link."""
-    now = members.join(parts.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    left = written(now.join(several.hint("merge"), "bucket").select("bucket", "class", "component"), "left")
+class Block:
+    """The members of a bucket that meet in one group: of two blocks, or of one."""
+
+    def __init__(self, group: pa.Table, percent: int) -> None:
+        self.percent = percent
+        number = lambda name: group.column(name).combine_chunks().to_numpy(zero_copy_only=False)
+        self.nodes, self.parts, self.sizes, self.side = number("node"), number("component").copy(), number("n"), number("own")
+        self.two = bool((number("i") != number("j"))[0])
+        self.counts = np.stack([np.frombuffer(x.as_buffer(), "<i4") for x in group.column("counts")])
+        self.earlier = np.zeros((len(self.nodes), 0), np.int64)
+        if "bands" in group.column_names:
+            bands = np.stack([np.asarray(x, np.int64) for x in group.column("bands").to_pylist()])
+            self.earlier = bands[:, : int(np.flatnonzero(bands[0] == number("bucket")[0])[0])]
+        self.sets = [np.frombuffer(x.as_buffer(), U) for x in group.column("shingles")] if "shingles" in group.column_names else None
+
+    def reach(self, p: int) -> np.ndarray:
+        """Later members of other components that may be similar to p: by sizes, and by the most that the intersection can be.
+
+        Where buckets are known, a pair that shares an earlier one is left to that."""
+        rest = np.arange(p + 1, len(self.nodes))
+        rest = rest[self.parts[rest] != self.parts[p]]
+        if self.two:
+            rest = rest[self.side[rest] != self.side[p]]
+        low, high = np.minimum(self.sizes[rest], self.sizes[p]), np.maximum(self.sizes[rest], self.sizes[p])
+        rest = rest[100 * low >= self.percent * high]
+        rest = rest[~(self.earlier[rest] == self.earlier[p]).any(1)]
+        most = np.minimum(self.counts[rest], self.counts[p]).sum(1)
+        return rest[100 * most >= self.percent * (self.sizes[rest] + self.sizes[p] - most)]
+
+    def reached(self) -> np.ndarray:
+        """Which members have a partner in reach."""
+        out = np.zeros(len(self.nodes), bool)
+        for p in range(len(self.nodes) - 1):
+            if len(rest := self.reach(p)):
+                out[p] = out[rest] = True
+        return out
+
+    def links(self) -> list[tuple[int, int]]:
+        """Similar pairs of different components; a link makes its components one for what follows."""
+        known, codes = np.unique(np.concatenate(self.sets), return_inverse=True)
+        codes = np.split(codes, np.cumsum(self.sizes)[:-1])
+        mark, out = np.zeros(len(known), bool), []
+        for p in range(len(self.nodes) - 1):
+            if not len(rest := self.reach(p)):
+                continue
+            mark[codes[p]] = True
+            starts = np.concatenate([[0], np.cumsum(self.sizes[rest])[:-1]])
+            both = np.add.reduceat(mark[np.concatenate([codes[q] for q in rest])].astype(np.int64), starts)
+            mark[codes[p]] = False
+            good = rest[100 * both >= self.percent * (self.sizes[p] + self.sizes[rest] - both)]
+            out += [(int(self.nodes[p]), int(self.nodes[q])) for q in good]
+            self.parts[np.isin(self.parts, self.parts[good])] = self.parts[p]
+        return out
+
+
+KEYS = ["bucket", "i", "j"]
+
+
+def _in_blocks(left: DataFrame, carried: DataFrame, block_bytes: int | None) -> DataFrame:
+    """Members of buckets dealt into blocks by hash, each two of which meet in a group, with their sets or counts."""
+    weight = F.sum("n") * 8 / block_bytes if block_bytes else F.lit(0)
+    sizes = left.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, weight)).cast("int").alias("blocks")).select(dealt_anew("bucket"), "blocks")
+    own = F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int")
+    dealt = left.join(sizes.hint("merge"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "component")
+    return dealt.join(carried.hint("merge"), "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
+
+
+def left_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+    """Links (a, b) between members of different components in a bucket, or None if no bucket has several."""
+    now = members.join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(dealt_anew("bucket"))
+    left = scratch.keep(now.join(several.hint("merge"), "bucket").select("bucket", "node", "n", "component"), "left")
     if left.isEmpty():
+        scratch.drop("left")
         return None
-    needed = left.select(F.col("class").alias("doc_id")).distinct()
-    sets = written(_set_bytes(held(needed), words).join(bands.hint("merge"), "class"), "sets")
-    sizes = left.join(sets.select("class", F.length("shingles").alias("bytes")).hint("merge"), "class").groupBy("bucket").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
-    blocks = sizes.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    dealt = left.join(blocks.hint("merge"), "bucket").withColumn("own", F.pmod(F.xxhash64("class", "bucket"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keys = ["bucket", "i", "j"]
-    dealt = dealt.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "component")
-    spread = dealt.join(sets.hint("merge"), "class").repartition(*keys).sortWithinPartitions(*keys)
 
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(items, keys):
-            if group.num_rows < 2:
-                continue
-            column = lambda name, group=group: group.column(name).combine_chunks()
-            number = lambda name: column(name).to_numpy(zero_copy_only=False)
-            i, j = int(number("i")[0]), int(number("j")[0])
-            own = np.stack([np.asarray(x, np.int64) for x in group.column("bands").to_pylist()])
-            texts = [np.frombuffer(x.as_buffer(), U) for x in column("shingles")]
-            found = block_links(int(number("bucket")[0]), None if i == j else number("own"), number("class"), number("component"), own, texts, percent)
-            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
-
-    return spread.select(*keys, "own", "class", "component", "bands", "shingles").mapInArrow(run, "a long, b long").distinct()
-
-
-def connected(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and its component's smallest node, for every node of a link."""
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(rounds):
-        # Large star: larger neighbours move to the least neighbour.
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # Small star: a node and its smaller neighbours move to the least of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least.hint("merge"), "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = written(small, "edges")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            break
-        before = state
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def _grouped(docs: DataFrame, words: int, percent: int, rounds: int) -> tuple[DataFrame, DataFrame]:
-    """Signed rows with their class, and the component of every class that has links.
-
-    The rounds of stars only save work: what they leave is compared in full after them."""
+    def near(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(items, KEYS):
+            if group.num_rows > 1:
+                keep = pa.array(Block(group, percent).reached())
+                yield from group.select(["bucket", "node", "n", "component"]).filter(keep).to_batches()
+        trim()
+
+    def found(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(items, KEYS):
+            if group.num_rows > 1:
+                links = Block(group, percent).links()
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        trim()
+
+    reached = _in_blocks(left, sets.select("node", "bands", "counts"), None).mapInArrow(near, "bucket long, node long, n long, component long").distinct()
+    reached = scratch.keep(reached, "reached")
+    scratch.drop("left")
+    links = scratch.keep(_in_blocks(reached, sets.drop("bands"), BLOCK_BYTES).mapInArrow(found, "a long, b long").distinct(), "more")
+    scratch.drop("reached")
+    return links
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id (null ones as the largest), a hash of the text, n_shingles and component_id of every row."""
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(signatures(texts, words), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("class"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = written(classes, "classes")
-    members = classes.select("class", F.explode("bands").alias("bucket"))
-    several = members.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    members = written(members.join(several.hint("merge"), "bucket").select("bucket", "class"), "buckets")  # few buckets have more than one member
-
-    def held_texts(needed: DataFrame) -> DataFrame:
-        wanted = classes.join(needed.withColumnRenamed("doc_id", "class"), "class").select(F.col("class").alias("doc_id"), "s1", "s2")
-        chosen = signed.select("doc_id", "s1", "s2").join(wanted, ["doc_id", "s1", "s2"]).select("doc_id").distinct()
-        return written(texts.join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-
-    links, tested, parts = None, None, None
-    for turn in range(rounds):
-        rank = F.struct("class") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "class"), F.col("class"))
-        now = members if parts is None else members.join(parts.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        own = F.col("class") if parts is None else F.col("component")
-        centres = now.groupBy("bucket").agg(F.min_by("class", rank).alias("a"), F.min_by(own, rank).alias("of"), F.min(own).alias("low"), F.max(own).alias("high")).where("low < high").select("bucket", "a", "of")
-        pairs = now.join(centres.hint("merge"), "bucket").where(own != F.col("of")).select(F.least("a", "class").alias("a"), F.greatest("a", "class").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = held_texts(needed)
-        first = pairs.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-        both = first.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-        good = written(confirmed(both, words, percent), "links")
-        if good.isEmpty() and turn:
-            break
-        links = good if links is None else links.union(good)
-        parts = connected(links)
-    more = left_links(members, parts, classes.select("class", "bands"), held_texts, words, percent)
-    if more is not None:
-        more = written(more, "links")
-        if not more.isEmpty():
-            parts = connected(links.union(more))
-    return signed.join(classes.select("s1", "s2", "class").hint("merge"), ["s1", "s2"], "left"), parts
-
-
-def components(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+    texts = texts.withColumn("sig", F.xxhash64("text"))
+    scratch = Scratch(docs.sparkSession)
+    signed = scratch.keep(signatures(texts, words), "signatures")
+    # Nodes are numbered as they are written, so that rows which repeat an id need no other key.
+    classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig", "n_shingles", "bands")).alias("x"))
+    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
+    members = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(dealt_anew("bucket"))
+    members = scratch.keep(members.join(several.hint("merge"), "bucket").select("bucket", "node", "n"), "buckets")  # few buckets have more than one member
+    needed = classes.join(members.select("node").distinct().hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "sig", "bands")
+    held = texts.join(needed, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
+    sets = scratch.keep(_sets(held, words), "sets")
+
+    centres = members.groupBy("bucket").agg(F.min("node").alias("a")).select(dealt_anew("bucket"), "a")
+    sizes = members.join(centres.hint("merge"), "bucket").where("node <> a").select("a", F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
+    first = sizes.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
+    first = first.where(F.least(F.octet_length("set_a"), 8 * F.col("n_b")) * 100 >= F.greatest(F.octet_length("set_a"), 8 * F.col("n_b")) * percent)
+    both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
+    parts = scratch.keep(connected_components(confirmed(both, percent)), "parts")
+    more = left_links(members, parts, sets, percent, scratch)
+    if more is not None and not more.isEmpty():
+        parts = scratch.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "all-parts")
+    scratch.drop("buckets", "sets")
+    linked = parts.join(classes.select("node", "first").hint("merge"), "node")
+    least = linked.groupBy("component").agg(F.min("first").alias("least")).select(dealt_anew("component"), "least")
+    linked = linked.join(least.hint("merge"), "component").select("node", "least")
+    named = classes.select("node", "s1", "s2", "first").join(linked.hint("merge"), "node", "left").select("s1", "s2", F.coalesce("least", "first").alias("least"))
+    out = signed.select("doc_id", "sig", "n_shingles", "s1", "s2").join(named.hint("merge"), ["s1", "s2"], "left")
+    return out.select("doc_id", "sig", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    signed, parts = _grouped(docs, words, percent, rounds)
-    out = signed.join(parts.withColumnRenamed("node", "class").hint("merge"), "class", "left")
-    component = F.coalesce("component", "class", "doc_id")
     real = lambda x: F.when(x != NULL_ID, x)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = _grouped(docs, words, percent)
+    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(F.col("component_id")).alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which no smaller id is a near-duplicate, directly or through others."""
-    gone = next(f"_gone{i}" for i in range(len(docs.columns) + 1) if f"_gone{i}" not in docs.columns)
-    out = components(docs.select("doc_id", "text"), words, percent, rounds).where("not kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(gone)).distinct()
-    return docs.join(out, F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(gone), "left_anti")
+    own_id, own_text = (next(f"_{x}{i}" for i in range(len(docs.columns) + 1) if f"_{x}{i}" not in docs.columns) for x in ("gone", "sig"))
+    gone = _grouped(docs.select("doc_id", "text"), words, percent).where("doc_id <> component_id").select(F.col("doc_id").alias(own_id), F.col("sig").alias(own_text)).distinct()
+    row = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)) == F.col(own_id)) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(own_text))
+    return docs.join(gone, row, "left_anti")

@@ -2,57 +2,29 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import hashlib
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import cut_lineage, remove, shared_path, table  # noqa: F401
+from tessera.session import written as to_path
+
 #: Stands in for a null doc_id while ids are compared, so that such rows come after all others.
 NULL_ID = 2**63 - 1
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only a local master, where both are one process, may leave it unset."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file:///tmp/checkpoints/tessera"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-#: Drops an execution's shuffle files when it has ended, rather than when the driver happens to collect its garbage.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the frame as a table in the shared folder, read again."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = cut_lineage(df, name)
+    release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:
@@ -61,9 +33,21 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+class Scratch:
+    """Tables of one operator in the shared folder, by name, removed when they are read no more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths[name] = shared_path(self.spark, name)
+        out = to_path(df, self.paths[name])
+        release(self.spark)
+        return out
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths.pop(name))
 
 
 def doc_texts(docs: DataFrame) -> DataFrame:
@@ -75,11 +59,38 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def batches(items: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
-    """doc_id and text of Arrow batches as Python lists."""
+#: Rows and bytes that a Python worker turns into objects at once.
+ROWS, BYTES = 512, 1 << 22
+
+
+def slices(items: Iterable[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:
+    """Arrow batches in slices of a bounded size by a column of strings, a row at least. What the worker gathered goes back to the system at the end."""
     for batch in items:
+        at = 0
         if batch.num_rows:
-            yield batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+        while at < batch.num_rows:
+            start = ends[at - 1] if at else 0
+            to = min(at + ROWS, max(at + 1, int(np.searchsorted(ends, start + BYTES, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+    trim()
+
+
+def batches(items: Iterable[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
+    """doc_id and text of Arrow batches as Python lists."""
+    for batch in slices(items):
+        yield batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: Spark uses a Python worker for many tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def sha256_hex(data: bytes) -> str:

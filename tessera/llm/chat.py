@@ -2,52 +2,103 @@
 
 A call is a ``<tool_call>{"id", "name", "arguments"}</tool_call>`` block in an
 assistant's text; a result is a turn of role tool with {"tool_call_id", "content"}.
-Calls and results are hash-joined by conversation and identifier, so neither
-side has to be searched. A conversation's turns are then ordered topologically:
-a result comes after its call, and a call that names another call's result as
-"$id" in an argument comes after that result; otherwise the order of turns holds.
-Arguments are checked against the tools' schemas. JSON is written with sorted
-keys and without blanks, so equal chats are equal bytes.
-
-A task holds one conversation at a time, which is one record of the output.
-
-Cases: null texts are empty; turns without a number come last; rows without a
-conv_id form the conversation of the null id; repeated turns stay, ordered by
-role and text; of several results of one call the first is linked, the others
-and results without a call are orphans; a call block that isn't a JSON object
-with a name stays text; turns in a cycle keep their order and are marked; an
-empty table gives an empty result; extra columns are ignored.
+Calls and results are hash-joined by conversation and identifier. The turns are
+ordered topologically: a result comes after its call, and a call that names
+another call's linked result as "$id" in an argument comes after that result.
+A turn has a place (its number) and a depth (0); one that comes too early takes
+the place of the last turn it waits for and a depth one higher. Sorting a
+conversation by place, depth, turn, role and text gives the order. Arguments are
+checked against the tools' schemas. JSON is canonical: keys sorted by UTF-16
+units, no blanks, whole numbers without a fraction; so equal chats are equal bytes.
+
+The result has a row for each turn, so no conversation is gathered. Only the
+links of a conversation in which one is out of order meet in a task, as five
+numbers each, without texts.
+
+Cases: null texts and roles are empty; turns without a number come last; rows
+without a conv_id form one conversation, of the null id; repeated turns stay. A
+call block that isn't strict JSON (trailing text, single quotes, NaN, infinite or
+too long numbers, lone surrogates, nesting too deep to read) or has no object
+with a name stays text; so does a result of that kind, which is an orphan. An id is
+a string of at least a character or a whole number; calls without one are never
+linked. Of several calls or results of one id the first ones are linked with each
+other; other calls stay unlinked and other results are orphans. Turns in a cycle,
+or that wait for one, keep their place and are marked; an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
+import math
 import re
+from collections import defaultdict, deque
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import NULL_ID, Scratch, slices
+
 BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
-CHAT = "conv_id long, n_messages int, n_calls int, n_linked int, n_invalid int, n_orphans int, cyclic boolean, chat string"
 KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "object": dict, "array": list, "null": type(None)}
+CALLS = pa.list_(pa.struct([("id", pa.string()), ("head", pa.string()), ("tail", pa.string()), ("invalid", pa.bool_())]))
+PARSED = "conv long, turn long, role string, sig long, content string, calls array<struct<id: string, head: string, tail: string, invalid: boolean>>, refs array<string>, answers string, answer string, said string, asked string"
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError("a number too large")
+    return value
+
+
+def _refused(text: str) -> None:
+    raise ValueError(f"{text} isn't JSON")
+
+
+def strict(text: str) -> object:
+    """A JSON value that can be written again; anything else is a ValueError."""
+    try:
+        value = json.loads(text, parse_float=_finite, parse_constant=_refused)
+        canonical(value).encode()
+    except RecursionError as error:
+        raise ValueError("nested too deeply") from error
+    return value
+
+
+def _number(value: float) -> str:
+    if value.is_integer() and abs(value) < 1e21:
+        return str(int(value))
+    return re.sub(r"e([+-])0+", r"e\1", repr(value))
 
 
 def canonical(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(canonical, value)) + "]"
+    if isinstance(value, float):
+        return _number(value)
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _is(value: object, kind: str) -> bool:
+    if isinstance(value, bool) and kind in ("number", "integer"):
+        return False
+    return isinstance(value, KINDS[kind]) or (kind == "integer" and isinstance(value, float) and value.is_integer())
 
 
 def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     """What is wrong with a value by a JSON schema: type, enum, required, properties, additionalProperties, items, minimum, maximum."""
     kinds = schema.get("type")
     kinds = [kinds] if isinstance(kinds, str) else kinds
-    if kinds and not any(isinstance(value, KINDS[k]) and not (isinstance(value, bool) and k in ("number", "integer")) for k in kinds):
+    if kinds and not any(_is(value, k) for k in kinds):
         return [f"{at}: not of type {'/'.join(kinds)}"]
     found = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not one of the values")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         found += [f"{at}: too small"] * (value < schema.get("minimum", value)) + [f"{at}: too large"] * (value > schema.get("maximum", value))
@@ -64,116 +115,140 @@ def errors(value: object, schema: dict, at: str = "$") -> list[str]:
     return found
 
 
-def parsed_call(text: str) -> dict | None:
-    try:
-        call = json.loads(text)
-    except ValueError:
-        return None
-    if not isinstance(call, dict) or not isinstance(call.get("name"), str):
-        return None
-    return {"id": str(call.get("id", "")), "name": call["name"], "arguments": call.get("arguments", {})}
+def identifier(value: object) -> str | None:
+    if isinstance(value, int) and not isinstance(value, bool):
+        return str(value)
+    return value if isinstance(value, str) and value else None
 
 
 def references(value: object) -> set[str]:
     """Identifiers that strings in a value name as $id."""
     if isinstance(value, str):
-        return {value[1:]} if value.startswith("$") else set()
+        return {value[1:]} if value.startswith("$") and len(value) > 1 else set()
     parts = value.values() if isinstance(value, dict) else value if isinstance(value, list) else ()
     return set().union(*map(references, parts))
 
 
-@dataclass
-class Turn:
-    role: str
-    text: str
-    calls: list[dict] = field(default_factory=list)
-    result: str | None = None
-
-
-def ordered(turns: list[Turn], links: dict[str, int]) -> tuple[list[int], bool]:
-    """Topological order, earliest turn first; whether a cycle was left, whose turns come last."""
-    after: list[set[int]] = [set() for _ in turns]
-    caller = {call["id"]: i for i, turn in enumerate(turns) for call in turn.calls}
-    for identifier, result in links.items():
-        if identifier in caller and caller[identifier] != result:
-            after[caller[identifier]].add(result)
-    for i, turn in enumerate(turns):
-        for identifier in references([call["arguments"] for call in turn.calls]):
-            if identifier in links and links[identifier] != i:
-                after[links[identifier]].add(i)
-    waits = [0] * len(turns)
-    for nexts in after:
-        for i in nexts:
-            waits[i] += 1
-    ready = [i for i, n in enumerate(waits) if not n]
-    out = []
+def parsed_call(text: str, schemas: dict[str, dict]) -> tuple[dict, set[str]] | None:
+    """A call as the text before and after its link's truth value, and what its arguments refer to."""
+    try:
+        call = strict(text)
+    except ValueError:
+        return None
+    if not isinstance(call, dict) or not isinstance(call.get("name"), str):
+        return None
+    number, arguments, name = identifier(call.get("id")), call.get("arguments", {}), call["name"]
+    wrong = errors(arguments, schemas[name]) if name in schemas else []
+    head = canonical({"arguments": arguments} | ({"errors": wrong} if wrong else {}) | {"id": number})[:-1] + ',"linked":'
+    return {"id": number, "head": head, "tail": f',"name":{canonical(name)}}}', "invalid": bool(wrong)}, references(arguments)
+
+
+def parsed_turn(role: str, text: str, schemas: dict[str, dict]) -> tuple[str, list[dict], list[str], str | None, str | None]:
+    """Content, calls, references, the id that a result answers and its content."""
+    if role == "assistant" and "<tool_call>" in text:
+        bodies = BLOCK.findall(text)
+        calls = [c for c in (parsed_call(body, schemas) for body in bodies) if c]
+        if calls and len(calls) == len(bodies):
+            text = BLOCK.sub("", text).strip()
+        return canonical(text), [c for c, _ in calls], sorted(set().union(*(r for _, r in calls))), None, None
+    if role == "tool":
+        try:
+            value = strict(text)
+        except ValueError:
+            value = None
+        if isinstance(value, dict) and (number := identifier(value.get("tool_call_id"))) is not None:
+            return canonical(text), [], [], number, canonical(value.get("content"))
+    return canonical(text), [], [], None, None
+
+
+def _parsed(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(items):
+            found = [parsed_turn(role, text, schemas) for role, text in zip(part.column("role").to_pylist(), part.column("text").to_pylist(), strict=True)]
+            kinds = [pa.string(), CALLS, pa.list_(pa.string()), pa.string(), pa.string()]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
+            said, asked = pa.array([canonical(x) for x in part.column("role").to_pylist()]), pa.array([None if x[3] is None else canonical(x[3]) for x in found], pa.string())
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("conv", "turn", "role", "sig")), *columns, said, asked], names=["conv", "turn", "role", "sig", "content", "calls", "refs", "answers", "answer", "said", "asked"])
+
+    return turns.mapInArrow(run, PARSED)
+
+
+def placed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Place and depth of the turns in a conversation's links (a before b)."""
+    place = {int(x): (int(t), 0) for x, t in [*zip(rows["a"], rows["ta"], strict=True), *zip(rows["b"], rows["tb"], strict=True)]}
+    own, after, waits = dict(place), defaultdict(list), defaultdict(int)
+    for a, b in set(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)):
+        after[a].append(b)
+        waits[b] += 1
+    ready, done = deque(x for x in place if not waits[x]), set()
     while ready:
-        i = heapq.heappop(ready)
-        out.append(i)
-        for k in after[i]:
-            waits[k] -= 1
-            if not waits[k]:
-                heapq.heappush(ready, k)
-    left = sorted(set(range(len(turns))) - set(out))
-    return out + left, bool(left)
+        a = ready.popleft()
+        done.add(a)
+        for b in after[a]:
+            place[b] = max(place[b], (place[a][0], place[a][1] + 1))
+            waits[b] -= 1
+            if not waits[b]:
+                ready.append(b)
+    out = [(x, *(place if x in done else own)[x], x not in done) for x in place]
+    return pd.DataFrame(out, columns=["uid", "place", "depth", "cyclic"])
 
 
 def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
-    """A row for each conversation: counts, and the chat as canonical JSON."""
+    """A row for each turn: its place and depth in the order, counts of its calls, and its message as canonical JSON."""
     schemas = schemas or {}
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    turns = turns.withColumn("key", F.xxhash64("turn", "role", "text"))
-    calls = turns.where("role = 'assistant'").select("conv_id", F.explode(F.regexp_extract_all("text", F.lit("(?s)<tool_call>(.*?)</tool_call>"), F.lit(1))).alias("body"))
-    calls = calls.select("conv_id", F.get_json_object("body", "$.id").alias("call_id")).where("call_id is not null").distinct()
-    results = turns.where("role = 'tool'").select("conv_id", F.get_json_object("text", "$.tool_call_id").alias("call_id"), F.struct(F.col("turn").isNull().alias("last"), "turn", "text", "key").alias("at")).where("call_id is not null")
-    first = results.groupBy(F.col("conv_id").alias("own"), F.col("call_id").alias("answers")).agg(F.min("at").alias("at"))
-    linked = calls.join(first.hint("shuffle_hash"), F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("call_id") == F.col("answers"))).select(F.col("conv_id").alias("of"), "call_id", F.col("at.key").alias("key"))
-
-    def whole(conv: int | None, rows: list[dict], links: list[dict]) -> tuple:
-        rows.sort(key=lambda r: (r["turn"] is None, r["turn"] or 0, r["role"], r["text"]))
-        result_of = {link["key"]: link["call_id"] for link in links}
-        chat, at, used, orphans = [], {}, set(), 0
-        for i, row in enumerate(rows):
-            turn = Turn(row["role"], row["text"])
-            if turn.role == "assistant" and "<tool_call>" in turn.text:
-                bodies = BLOCK.findall(turn.text)
-                turn.calls = [c for c in map(parsed_call, bodies) if c]
-                if turn.calls and len(turn.calls) == len(bodies):
-                    turn.text = BLOCK.sub("", turn.text).strip()
-            elif turn.role == "tool":
-                turn.result = result_of.get(row["key"])
-                if turn.result is None or turn.result in used:
-                    turn.result, orphans = None, orphans + 1
-                else:
-                    used.add(turn.result)
-                    at[turn.result] = i
-            chat.append(turn)
-        order, cyclic = ordered(chat, at)
-        invalid = 0
-        out = []
-        for i in order:
-            turn = chat[i]
-            message: dict = {"role": turn.role, "content": turn.text}
-            if turn.calls:
-                message["tool_calls"] = []
-                for call in turn.calls:
-                    wrong = errors(call["arguments"], schemas[call["name"]]) if call["name"] in schemas else []
-                    invalid += bool(wrong)
-                    message["tool_calls"].append({**call, "linked": call["id"] in at} | ({"errors": wrong} if wrong else {}))
-            if turn.result is not None:
-                message["tool_call_id"] = turn.result
-                message["content"] = json.loads(turn.text).get("content")
-            out.append(message)
-        return conv, len(chat), sum(len(t.calls) for t in chat), len(at), invalid, orphans, cyclic, canonical(out)
-
-    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            if batch.num_rows:
-                rows = [whole(r["conv_id"], r["turns"], r["links"] or []) for r in batch.to_pylist()]
-                kinds = [pa.int64(), *[pa.int32()] * 5, pa.bool_(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in CHAT.split(", ")])
-
-    # A conversation is one record of the output, so its turns are gathered into one row.
-    whole_chats = turns.groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text", "key")).alias("turns"))
-    whole_links = linked.groupBy("of").agg(F.collect_list(F.struct("key", "call_id")).alias("links"))
-    return whole_chats.join(whole_links, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of").mapInArrow(run, CHAT)
+    scratch = Scratch(conversations.sparkSession)
+    none = F.lit(NULL_ID)
+    turns = conversations.select(F.coalesce(F.col("conv_id").cast("long"), none).alias("conv"), F.coalesce(F.col("turn").cast("long"), none).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    turns = _parsed(turns.withColumn("sig", F.xxhash64("text")), schemas)
+    turns = scratch.keep(turns.withColumn("uid", F.monotonically_increasing_id()), "turns")
+
+    order = [F.col(c) for c in ("turn", "role", "sig", "uid")]
+    calls = turns.select("conv", *order, F.posexplode("calls").alias("at", "call")).where("call.id is not null")
+    calls = calls.groupBy("conv", F.col("call.id").alias("id")).agg(F.min(F.struct(*order, "at")).alias("c"))
+    results = turns.where("answers is not null").groupBy("conv", F.col("answers").alias("id")).agg(F.min(F.struct(*order)).alias("r"))
+    linked = scratch.keep(calls.join(results, ["conv", "id"]).select("conv", "id", F.col("c.uid").alias("a"), F.col("c.turn").alias("ta"), "c.at", F.col("r.uid").alias("b"), F.col("r.turn").alias("tb")), "linked")
+
+    refs = turns.select("conv", F.col("uid").alias("b"), F.col("turn").alias("tb"), F.explode("refs").alias("id"))
+    waits = refs.join(linked.select("conv", "id", F.col("b").alias("a"), F.col("tb").alias("ta")), ["conv", "id"]).where("a <> b")
+    links = linked.select("conv", "a", "ta", "b", "tb").union(waits.select("conv", "a", "ta", "b", "tb"))
+    late = links.where("ta >= tb").select("conv").distinct()
+    moved = links.join(late, "conv", "left_semi").groupBy("conv").applyInPandas(placed, "uid long, place long, depth long, cyclic boolean")
+
+    ends = linked.select(F.col("a").alias("uid"), "at").union(linked.select("b", F.lit(-1)))
+    ends = ends.groupBy("uid").agg(F.collect_set("at").alias("ends"))
+    out = turns.join(ends, "uid", "left").join(moved, "uid", "left")
+    is_linked = lambda at: F.coalesce(F.array_contains("ends", at), F.lit(False))
+    answers = is_linked(F.lit(-1))
+    called = F.transform("calls", lambda c, i: F.concat(c["head"], is_linked(i).cast("string"), c["tail"]))
+    message = F.concat(
+        F.lit('{"content":'), F.when(answers, F.col("answer")).otherwise(F.col("content")),
+        F.lit(',"role":'), F.col("said"),
+        F.when(answers, F.concat(F.lit(',"tool_call_id":'), F.col("asked"))).otherwise(""),
+        F.when(F.size("calls") > 0, F.concat(F.lit(',"tool_calls":['), F.array_join(called, ","), F.lit("]"))).otherwise(""), F.lit("}"),
+    )
+    real = lambda x: F.when(F.col(x) != NULL_ID, F.col(x)).alias(x)
+    place = F.coalesce("place", "turn")
+    return out.select(
+        F.when(F.col("conv") != NULL_ID, F.col("conv")).alias("conv_id"), real("turn"), F.when(place != NULL_ID, place).alias("place"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"), "role",
+        F.size("calls").alias("n_calls"), F.when(answers, 0).otherwise(F.size(F.coalesce("ends", F.array().cast("array<int>")))).alias("n_linked"), F.size(F.filter("calls", lambda c: c["invalid"])).alias("n_invalid"),
+        ((F.col("role") == "tool") & ~answers).alias("orphan"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), message.alias("message"),
+    )
+
+
+def with_tool_turns(conversations: DataFrame) -> DataFrame:
+    """Conversations with a call for each user's turn and a result for each assistant's.
+
+    A derived workload: whole texts are the arguments and contents. Some calls refer
+    to the result of the call before, some arguments break their schemas, every
+    third turn's result stands before its call, and every fifth text (by length) is
+    an answer to an id that no call has."""
+    turn = F.col("turn").cast("long")
+    own = conversations.select("conv_id", (turn * 10).alias("turn"), "role", "text")
+    text, size = F.coalesce("text", F.lit("")), F.char_length(F.coalesce("text", F.lit("")))
+    before = F.when(turn >= 2, F.concat(F.lit("$q"), (turn - 2).cast("string")))
+    search = F.to_json(F.struct(F.concat(F.lit("q"), turn.cast("string")).alias("id"), F.lit("search").alias("name"), F.struct(text.alias("query"), (size % 4).alias("limit"), before.alias("context")).alias("arguments")))
+    calculate = F.to_json(F.struct(F.concat(F.lit("q"), turn.cast("string")).alias("id"), F.lit("calculate").alias("name"), F.struct(text.alias("expression"), F.when(size % 3 == 0, size).alias("precision")).alias("arguments")))
+    calls = conversations.where("role = 'user' and turn is not null").select("conv_id", (turn * 10 + 1).alias("turn"), F.lit("assistant").alias("role"), F.concat(F.lit("<tool_call>"), F.when(turn % 4 < 2, search).otherwise(calculate), F.lit("</tool_call>")).alias("text"))
+    answer = F.to_json(F.struct(F.concat(F.when(size % 5 == 0, F.lit("lost")).otherwise(F.lit("q")), (turn - 1).cast("string")).alias("tool_call_id"), text.alias("content")))
+    results = conversations.where("role = 'assistant' and turn is not null").select("conv_id", F.when(turn % 3 == 0, turn * 10 - 15).otherwise(turn * 10 + 1).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    return own.union(calls).union(results)

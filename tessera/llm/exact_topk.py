@@ -1,103 +1,118 @@
 """Exact top-k by inner product: a ball tree for each shard, branch and bound.
 
 Components are turned into integers, so scores are exact. Vectors are dealt by
-a hash of the id into shards of bounded size and queries into blocks; a task
-holds one shard and one block. Each query is first answered in one shard, and
-its kth score there goes with it to all other shards as a lower bound. In a
-tree, nodes are visited by the upper bound of the inner product (centre times
-query plus radius times the query's length), a node is left out for a query
-whose bound lies below its kth score, and what is found in a leaf raises the
-score for all later nodes. Bounds equal to the kth score are still visited:
-ties go to the smaller id.
+row into shards of bounded size. A shard's ball tree is built once: its rows are
+kept in the tree's order, and as every node halves its rows, the order is the tree.
+Queries then stream past the shards in waves: first one shard each, then a few,
+then the rest; the kth score that a query has so far goes with it into the next
+wave. In a tree, nodes are visited by the upper bound of the inner product
+(centre times query plus radius times the query's length, and a slack for what
+floating point may lose); a node is left out for a query whose bound lies below its
+kth score, and what a leaf gives raises the score for all later nodes. Bounds
+equal to the kth score are still visited: ties go to the smaller id.
+
+A task holds one shard at a time and queries in blocks.
 
 Cases: null vectors, null ids and vectors with null or non-finite components
 take no part; a query meets vectors of its own length only and never rows with
-its own id; repeated rows are candidates each, repeated query ids one query;
-fewer than k candidates give fewer rows; empty vectors score 0; extra columns
-are ignored.
+its own id; repeated rows are candidates each; of rows that repeat a query's id the
+least vector asks; fewer than k candidates give fewer rows; empty vectors score
+0; scores beyond 64 bits count as the largest or smallest such number; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import Scratch, trim
 
-LEAF = 64
+LEAF, BLOCK = 64, 4096
 NONE = np.iinfo(np.int64).min
 FOUND = "query_id long, vec_id long, score long"
 
 
-class BallTree:
-    """Splits by the two ends of a widest direction; children follow their parents."""
-
-    def __init__(self, rows: np.ndarray) -> None:
-        self.rows = rows
-        self.centres: list[np.ndarray] = []
-        self.radii: list[float] = []
-        self.members: list[np.ndarray | None] = []
-        self.children: list[tuple[int, int] | None] = []
-        self._grow(np.arange(len(rows)))
-
-    def _grow(self, own: np.ndarray) -> int:
-        number = len(self.centres)
-        part = self.rows[own]
-        centre = part.mean(0)
-        away = np.sqrt(((part - centre) ** 2).sum(1))
-        self.centres.append(centre)
-        self.radii.append(float(away.max()))
-        self.members.append(own)
-        self.children.append(None)
-        if len(own) > LEAF and away.max() > 0:
-            first = part[away.argmax()]
+def tree_order(rows: np.ndarray) -> np.ndarray:
+    """The order of rows in which a node's first half is one child and its second half the other.
+
+    A node is split by the direction of its two ends; halves keep the depth low, whatever the ties."""
+    order = np.arange(len(rows))
+    todo = [(0, len(rows))]
+    while todo:
+        low, high = todo.pop()
+        if high - low > LEAF:
+            part = rows[order[low:high]]
+            first = part[((part - part.mean(0)) ** 2).sum(1).argmax()]
             second = part[((part - first) ** 2).sum(1).argmax()]
-            side = part @ (second - first)
-            order = np.argsort(side, kind="stable")  # halves keep the depth low, whatever the ties
-            half = len(own) // 2
-            self.members[number] = None
-            self.children[number] = self._grow(own[order[:half]]), self._grow(own[order[half:]])
-        return number
-
-
-def search(rows: np.ndarray, row_ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores and ids of each query's best k rows, of those that reach its floor."""
-    most = max((np.abs(x).max(initial=0) for x in (rows, queries)), default=0)
-    exact = float(most) ** 2 * max(1, rows.shape[1]) < 2**52  # then products in doubles are exact, and faster
-    best = np.full((len(queries), k), NONE)
-    best_ids = np.full((len(queries), k), NONE)
-    floors = floors.copy()
-    if not len(rows) or not len(queries):
+            order[low:high] = order[low:high][np.argsort(part @ (second - first), kind="stable")]
+            half = (low + high) // 2
+            todo += [(low, half), (half, high)]
+    return order
+
+
+class Shard:
+    """Rows in a tree's order, and the ball of each node."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        self.ids, self.rows, self.real = ids, rows, rows.astype(np.float64)
+        self.most = float(np.abs(self.real).max(initial=0))
+        self.balls: dict[tuple[int, int], tuple[np.ndarray, float, float]] = {}
+        todo = [(0, len(rows))] if len(rows) else []
+        while todo:
+            low, high = todo.pop()
+            part = self.real[low:high]
+            centre = part.mean(0)
+            self.balls[low, high] = centre, float(np.sqrt(((part - centre) ** 2).sum(1).max())), float(np.sqrt((centre**2).sum()))
+            if high - low > LEAF:
+                half = (low + high) // 2
+                todo += [(low, half), (half, high)]
+
+    def products(self, queries: np.ndarray, low: int, high: int) -> np.ndarray:
+        """Inner products as 64-bit integers."""
+        bound = max(self.most, float(np.abs(queries.astype(np.float64)).max(initial=0))) ** 2 * max(1, queries.shape[1])
+        if bound < 2**52:  # then products in doubles are exact, and faster
+            return (queries.astype(np.float64) @ self.real[low:high].T).astype(np.int64)
+        if bound < 2**62:
+            return queries @ self.rows[low:high].T
+        whole = queries.astype(object) @ self.rows[low:high].astype(object).T
+        return np.clip(whole, NONE + 1, np.iinfo(np.int64).max).astype(np.int64)
+
+    def search(self, queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of each query's best k rows, of those that reach its floor."""
+        best, best_ids = np.full((len(queries), k), NONE), np.full((len(queries), k), NONE)
+        if not len(self.rows) or not len(queries):
+            return best, best_ids
+        floors, asked = floors.copy(), queries.astype(np.float64)
+        lengths = np.sqrt((asked**2).sum(1))
+
+        def bound(node: tuple[int, int], of: np.ndarray) -> np.ndarray:
+            centre, radius, far = self.balls[node]
+            slack = 1e-13 * (len(centre) + 8) * lengths[of] * (radius + far)  # absolute, so that it widens negative bounds too
+            return asked[of] @ centre + lengths[of] * radius + slack + 1e-6
+
+        stack = [((0, len(self.rows)), np.arange(len(queries)))]
+        while stack:
+            (low, high), of = stack.pop()
+            of = of[bound((low, high), of) >= floors[of]]
+            if not len(of):
+                continue
+            if high - low > LEAF:
+                half = (low + high) // 2
+                near = sorted([(low, half), (half, high)], key=lambda child: bound(child, of).mean())
+                stack += [(child, of) for child in near]  # the one with the higher bound is popped first
+                continue
+            ids = np.broadcast_to(self.ids[low:high], (len(of), high - low))
+            scores = np.where(ids == query_ids[of][:, None], NONE, self.products(queries[of], low, high))
+            scores, ids = np.concatenate([best[of], scores], 1), np.concatenate([best_ids[of], ids], 1)
+            order = np.lexsort((ids, np.invert(scores)), axis=1)[:, :k]  # inverted bits sort downwards without overflow
+            best[of], best_ids[of] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
+            floors[of] = np.maximum(floors[of], best[of][:, -1])
         return best, best_ids
-    real, asked = rows.astype(np.float64), queries.astype(np.float64)
-    tree, lengths = BallTree(real), np.sqrt((asked**2).sum(1))
-
-    def bound(node: int, of: np.ndarray) -> np.ndarray:
-        return (asked[of] @ tree.centres[node] + lengths[of] * tree.radii[node]) * (1 + 1e-12) + 1e-6 * (1 + lengths[of] * 1e-6)
-
-    def leaf(own: np.ndarray, of: np.ndarray) -> None:
-        scores = (asked[of] @ real[own].T).astype(np.int64) if exact else queries[of] @ rows[own].T
-        ids = np.broadcast_to(row_ids[own], scores.shape)
-        scores = np.where(ids == query_ids[of][:, None], NONE, scores)
-        scores, ids = np.concatenate([best[of], scores], 1), np.concatenate([best_ids[of], ids], 1)
-        order = np.lexsort((ids, -scores.astype(np.float64) if exact else np.where(scores == NONE, np.iinfo(np.int64).max, -scores)), axis=1)[:, :k]
-        best[of], best_ids[of] = np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
-        floors[of] = np.maximum(floors[of], best[of][:, -1])
-
-    stack = [(0, np.arange(len(queries)))]
-    while stack:
-        node, of = stack.pop()
-        of = of[bound(node, of) >= floors[of]]
-        if not len(of):
-            continue
-        if tree.children[node] is None:
-            leaf(tree.members[node], of)
-        else:
-            near = sorted(tree.children[node], key=lambda child: bound(child, of).mean())
-            stack += [(child, of) for child in near]  # the one with the higher bound is popped first
-    return best, best_ids
 
 
 def integers(column: str, scale: int = 256) -> Column:
@@ -107,40 +122,96 @@ def integers(column: str, scale: int = 256) -> Column:
     return F.when(F.forall(values, finite), F.transform(values, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")))
 
 
-def _answer(pairs: DataFrame, k: int) -> DataFrame:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, same in rows.groupby(rows["v"].map(len)):
-            asks, have = same[same["floor"].notna()], same[same["floor"].isna()]
-            if len(asks) and len(have):
-                ids = asks["vec_id"].to_numpy(np.int64)
-                best, best_ids = search(np.stack(have["v"].to_list()), have["vec_id"].to_numpy(np.int64), np.stack(asks["v"].to_list()), ids, asks["floor"].to_numpy(np.int64), k)
+def _runs(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Stretches of a batch with equal keys."""
+    for batch in items:
+        if batch.num_rows:
+            columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield tuple(columns[:, a].tolist()), batch.slice(a, b - a)
+
+
+def _matrix(batch: pa.RecordBatch, size: int) -> np.ndarray:
+    return batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, size)
+
+
+def _trees(held: DataFrame) -> DataFrame:
+    """The rows of each shard and vector length in their tree's order."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if parts:
+                rows = pa.Table.from_batches(parts).combine_chunks()
+                order = tree_order(_matrix(rows.to_batches()[0], key[1]).astype(np.float64))
+                yield from rows.take(pa.array(order)).append_column("at", pa.array(np.arange(len(order)))).to_batches(max_chunksize=4096)
+
+        for own, part in _runs(items, ["shard", "size"]):
+            if own != key:
+                yield from flush()
+                key, parts = own, []
+            parts.append(part)
+        yield from flush()
+        trim()
+
+    return held.repartition("shard").sortWithinPartitions("shard", "size").mapInArrow(run, "shard int, size int, vec_id long, v array<long>, at long")
+
+
+def _answers(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """What each query (shard, size, vec_id, v, floor) finds in its shard."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows, shard = None, [], [], None
+        for (number, size, is_query), part in _runs(items, ["shard", "size", "asks"]):
+            if (number, size) != key:
+                key, ids, rows, shard = (number, size), [], [], None
+            if not is_query:
+                ids.append(part.column("vec_id").to_numpy())
+                rows.append(_matrix(part, size))
+                continue
+            if shard is None:
+                shard = Shard(np.concatenate(ids or [np.zeros(0, np.int64)]), np.concatenate(rows or [np.zeros((0, size), np.int64)]))
+                ids, rows = [], []
+            for at in range(0, part.num_rows, BLOCK):
+                block = part.slice(at, BLOCK)
+                own = block.column("vec_id").to_numpy()
+                best, best_ids = shard.search(_matrix(block, size), own, block.column("at").to_numpy(), k)
                 found = best != NONE
-                out.append(pd.DataFrame({"query_id": np.broadcast_to(ids[:, None], best.shape)[found], "vec_id": best_ids[found], "score": best[found]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(own[:, None], best.shape)[found]), pa.array(best_ids[found]), pa.array(best[found])], names=["query_id", "vec_id", "score"])
+        trim()
 
-    return pairs.groupBy("shard", "block").applyInPandas(lambda rows: run(rows), FOUND)
+    columns = ["shard", "size", "vec_id", "v", "at"]
+    both = trees.select(*columns, F.lit(0).alias("asks")).union(asked.select("shard", "size", "vec_id", "v", F.col("floor").alias("at"), F.lit(1).alias("asks")))
+    return both.repartition("shard").sortWithinPartitions("shard", "size", "asks", "at").mapInArrow(run, FOUND)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, least_shards: int = 64, shard_rows: int = 32_768, block_rows: int = 4_096) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, least_shards: int = 64, shard_rows: int = 65_536) -> DataFrame:
     """query_id, rank, vec_id and score of each query's best k other rows.
 
-    ``least_shards`` keeps small tables spread out; beyond that, shards hold
-    about ``shard_rows`` vectors and blocks ``block_rows`` queries."""
+    ``least_shards`` keeps small tables spread out; beyond that, shards hold about ``shard_rows`` vectors."""
+    scratch = Scratch(vectors.sparkSession)
     held = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers("embedding").alias("v")).where("vec_id is not null and v is not null")
-    held = written(held, "topk-vectors")
-    asked = held.where(is_query).dropDuplicates(["vec_id"])
-    rows, queries = held.count(), asked.count()
-    shards, blocks = max(least_shards, -(-rows // shard_rows)), max(1, -(-queries // block_rows))
-    of_shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    of_block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    nothing = F.lit(None).cast("long").alias("floor")
-    have = held.select(of_shard.alias("shard"), every(blocks).alias("block"), "vec_id", "v", nothing)
-    home = asked.select(of_shard.alias("shard"), of_block.alias("block"), "vec_id", "v", F.lit(NONE + 1).alias("floor"))
-    first = written(_answer(have.union(home), k), "topk-first")
-    kth = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(NONE + 1)).alias("floor"))
-    away = asked.join(kth, asked["vec_id"] == kth["query_id"], "left").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), of_block.alias("block"), "vec_id", "v", F.coalesce("floor", F.lit(NONE + 1)).alias("floor"), of_shard.alias("own"))
-    rest = _answer(have.union(away.where("shard <> own").drop("own")), k)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.union(rest).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    held = scratch.keep(held.withColumn("row", F.monotonically_increasing_id()), "vectors")
+    shards = max(least_shards, -(-held.count() // shard_rows))
+    trees = scratch.keep(_trees(held.select(F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.size("v").alias("size"), "vec_id", "v")), "trees")
+    asked = held.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("home", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    asked = scratch.keep(asked, "queries")
+    scratch.drop("vectors")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best, done = None, 0
+    for until in sorted({1, min(8, shards), shards}):
+        if best is None:
+            now = asked.withColumn("floor", F.lit(NONE + 1))
+        else:
+            kth = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor")).withColumnRenamed("query_id", "vec_id")
+            now = asked.join(kth, "vec_id", "left").withColumn("floor", F.coalesce("floor", F.lit(NONE + 1)))
+        steps = F.explode(F.sequence(F.lit(done), F.lit(until - 1)))
+        now = now.select("vec_id", "v", "floor", F.size("v").alias("size"), "home", steps.alias("step")).withColumn("shard", ((F.col("home") + F.col("step")) % shards).cast("int"))
+        found = _answers(trees, now, k)
+        found = found if best is None else best.select("query_id", "vec_id", "score").union(found)
+        best = scratch.keep(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), f"best-{until}")
+        done = until
+    scratch.drop("trees", "queries")
+    return best.select("query_id", "rank", "vec_id", "score")

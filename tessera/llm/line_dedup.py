@@ -1,15 +1,19 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame operations only.
 
-Documents come in batches of ascending id. A batch's distinct line hashes, each
-with its first document, are merge-anti-joined with the runs; the new ones are
-added as a run of their own, sorted by hash. When ``fan`` runs of a level have
-gathered, they are compacted into one run of the next level. As batches ascend,
-a line's first document over all is the one in the runs or, failing that, the
-first of the batch: every other document drops the line.
-
-A hash is two 64-bit hashes of the key under different seeds. Hashes are
-pre-aggregated before they are shuffled, and the joins that bring decisions
-back are sort-merge joins, which Spark splits where a hash is hot.
+Documents come in batches of ascending id. The texts are read once: each line's
+hash goes to a table, parted by batch, from which every batch reads its own part.
+A batch's distinct hashes, each with its first document, are merge-anti-joined with
+the runs; the new ones are a run of their own. When ``fan`` runs of a level have
+gathered, they are merged into one of the next level. As batches ascend, a line's
+first document over all is the one in the runs or, failing that, the first of
+the batch: every other document drops the line.
+
+Runs are tables bucketed and sorted by hash, all with the same buckets, so neither
+the anti-joins nor the merges (full outer merge joins of runs without common
+hashes) shuffle or sort a run again. A hash is two 64-bit hashes of the key under
+different seeds. Hashes are pre-aggregated before they are shuffled, and the joins
+that bring decisions back are sort-merge joins of plain tables, which Spark
+splits where a hash is hot. Dropped lines are marked by place, in linear time.
 
 Cases: a null or empty text is one empty line; a null doc_id counts as larger
 than all others; rows with one doc_id are one document to the runs and are
@@ -19,7 +23,12 @@ each returned; an empty table gives an empty result; extra columns are kept by
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import NULL_ID, release, remove, shared_path
@@ -28,89 +37,112 @@ LEAST_CHARS = 10
 # The white space that keys are stripped of.
 BLANKS = " \t\n\x0b\x0c\r"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lets a scan of one sorted file for each bucket count as sorted.
+SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(BLANKS)), CAPITALS, SMALL)
 
 
-def _hashed(key: Column) -> Column:
-    return F.struct(F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("line"), key).alias("h2"))
+@contextmanager
+def _sorted_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SORTED_SCANS, None)
+    spark.conf.set(SORTED_SCANS, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SORTED_SCANS, before) if before is not None else spark.conf.unset(SORTED_SCANS)
 
 
 class Runs:
-    """Sorted runs by level, each a table in the shared folder."""
-
-    def __init__(self, spark, fan: int) -> None:
-        self.spark, self.fan, self.levels = spark, fan, [[]]
-
-    def _write(self, rows: DataFrame, level: int) -> str:
-        path = shared_path(self.spark, f"lines-{level}")
-        rows.sortWithinPartitions("h1", "h2").write.parquet(path)
-        return path
-
-    def all(self) -> DataFrame | None:
-        paths = [path for level in self.levels for path in level]
-        return self.spark.read.schema("h1 long, h2 long, first long").parquet(*paths) if paths else None
-
-    def add(self, rows: DataFrame) -> None:
-        self.levels[0].append(self._write(rows, 0))
+    """Sorted runs by level, each a bucketed table in the shared folder."""
+
+    def __init__(self, spark: SparkSession, fan: int) -> None:
+        self.spark, self.fan, self.levels, self.paths = spark, fan, [[]], {}
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, rows: DataFrame) -> str:
+        name = f"line_run_{uuid.uuid4().hex}"
+        self.paths[name] = shared_path(self.spark, "line-run")
+        rows.write.format("parquet").option("path", self.paths[name]).bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name)
+        return name
+
+    def _new_in(self, name: str) -> DataFrame:
+        return self.spark.table(name).where("not seen").select("h1", "h2", "first")
+
+    def add(self, first: DataFrame) -> str:
+        """Writes a batch's distinct hashes (h1, h2, first, last), marked where a run has seen them, as a run; its path."""
+        names = [name for level in self.levels for name in level]
+        for i, name in enumerate(names):
+            first = first.join(self._new_in(name).select("h1", "h2", F.lit(True).alias(f"in{i}")).hint("merge"), ["h1", "h2"], "left")
+        seen = reduce(lambda a, b: a | b, [F.col(f"in{i}").isNotNull() for i in range(len(names))], F.lit(False))
+        new = self._write(first.select("h1", "h2", "first", "last", seen.alias("seen")))
+        self.levels[0].append(new)
+        return self.paths[new]
+
+    def compact(self) -> None:
+        """Merges the runs of each level that has ``fan`` of them."""
         level = 0
-        while len(self.levels[level]) >= self.fan:
+        while level < len(self.levels) and len(self.levels[level]) >= self.fan:
             old, self.levels[level] = self.levels[level], []
             if level + 1 == len(self.levels):
                 self.levels.append([])
-            merged = self.spark.read.schema("h1 long, h2 long, first long").parquet(*old)
-            self.levels[level + 1].append(self._write(merged.repartition("h1", "h2"), level + 1))
-            for path in old:
-                remove(self.spark, path)
+            merged = reduce(lambda a, b: a.join(b.hint("merge"), ["h1", "h2"], "full").select("h1", "h2", F.coalesce(a["first"], b["first"]).alias("first")), map(self._new_in, old))
+            self.levels[level + 1].append(self._write(merged.select("h1", "h2", "first", F.col("first").alias("last"), F.lit(False).alias("seen"))))
+            for name in old:
+                self._remove(name)
             level += 1
 
+    def _remove(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        for name in [*self.paths]:
+            self._remove(name)
+
 
 def _decided(docs: DataFrame, batches: int, fan: int, least_chars: int) -> DataFrame:
-    """The documents with ``_lines``, an array of (line, drop)."""
+    """The documents with ``_drops``, the sorted places of the lines to drop, or null."""
     spark = docs.sparkSession
-    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    docs = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_sig", F.xxhash64(F.coalesce("text", F.lit(""))))
     marks = docs.agg(F.percentile_approx("_id", [i / batches for i in range(1, batches)], 1000).alias("m")).first().m or []
-    edges = [None, *sorted(set(marks)), None]
-    runs, decided = Runs(spark, fan), []
-    for low, high in zip(edges, edges[1:], strict=False):
-        batch = docs
-        if low is not None:
-            batch = batch.where(F.col("_id") > low)
-        if high is not None:
-            batch = batch.where(F.col("_id") <= high)
-        keys = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
-        long = F.filter(keys, lambda k: F.char_length(k) >= least_chars)
-        held = batch.select("_id", F.explode(F.array_distinct(F.transform(long, _hashed))).alias("k")).select("_id", "k.h1", "k.h2")
-        first = held.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
-        older = runs.all()
-        path = shared_path(spark, "lines-batch")
-        if older is not None:
-            seen = older.select("h1", "h2", F.lit(True).alias("seen")).hint("merge")
-            first = first.join(seen, ["h1", "h2"], "left")
-        else:
-            first = first.withColumn("seen", F.lit(None).cast("boolean"))
-        first.write.parquet(path)
-        first = spark.read.schema(first.schema).parquet(path)
-        runs.add(first.where("seen is null").select("h1", "h2", "first"))
-        repeated = first.where("seen or first < last").select("h1", "h2", F.when(~F.coalesce("seen", F.lit(False)), F.col("first")).alias("owner"))
-        drops = held.join(repeated.hint("merge"), ["h1", "h2"]).where("owner is null or owner <> _id")
-        drops = drops.groupBy("_id").agg(F.collect_list(F.struct("h1", "h2")).alias("_drops"))
-        out = shared_path(spark, "lines-drops")
-        drops.write.parquet(out)
-        remove(spark, path)
-        release(spark)
-        decided.append(out)
-    drops = spark.read.schema("_id long, _drops array<struct<h1:long,h2:long>>").parquet(*decided)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    dropped = F.transform(lines, lambda x: F.coalesce(F.array_contains("_drops", _hashed(line_key(x))) & (F.char_length(line_key(x)) >= least_chars), F.lit(False)))
-    marked = docs.join(drops.hint("shuffle_hash"), "_id", "left")
-    return marked.withColumn("_lines", F.when(F.col("_drops").isNull(), F.transform(lines, lambda x: F.struct(x.alias("line"), F.lit(False).alias("drop")))).otherwise(F.arrays_zip(lines.alias("line"), dropped.alias("drop"))))
+    marks = sorted(set(marks))
+    batch = reduce(lambda a, b: a + b, [(F.col("_id") > m).cast("int") for m in marks], F.lit(0))
+    lines = docs.select("_id", "_sig", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
+    keyed = lines.select("_id", "_sig", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
+    hashed = keyed.select(batch.alias("batch"), "_id", "_sig", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
+    path = shared_path(spark, "lines")
+    hashed.write.partitionBy("batch").parquet(path)
+    held_all = spark.read.schema("_id long, _sig long, place int, h1 long, h2 long, batch int").parquet(path)
+    runs, decided = Runs(spark, fan), shared_path(spark, "line-drops")
+    with _sorted_scans(spark):
+        for number in range(len(marks) + 1):
+            held = held_all.where(F.col("batch") == number).drop("batch")
+            first = held.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
+            run = spark.read.schema("h1 long, h2 long, first long, last long, seen boolean").parquet(runs.add(first))
+            repeated = run.where("seen or first < last").select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("owner"))
+            drops = held.join(repeated.hint("merge"), ["h1", "h2"]).where("owner is null or owner <> _id")
+            drops.groupBy("_id", "_sig").agg(F.sort_array(F.collect_set("place")).alias("_drops")).write.mode("append").parquet(decided)
+            if number < len(marks):
+                runs.compact()
+            release(spark)
+        runs.close()
+    remove(spark, path)
+    drops = spark.read.schema("_id long, _sig long, _drops array<int>").parquet(decided)
+    return docs.join(drops, ["_id", "_sig"], "left")
 
 
 def _kept() -> Column:
-    return F.array_join(F.transform(F.filter("_lines", lambda x: ~x["drop"]), lambda x: x["line"]), "\n")
+    """The lines that stay. Which ones go is spelt out as an array of truth values, one gap between two places after the other."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    falses = lambda n: F.array_repeat(F.lit(False), n)
+    before = lambda i: F.coalesce(F.get("_drops", i - 1), F.lit(-1))
+    gaps = F.flatten(F.transform("_drops", lambda at, i: F.concat(falses(at - before(i) - 1), F.array(F.lit(True)))))
+    marked = F.arrays_zip(lines.alias("line"), F.concat(gaps, falses(F.size(lines) - 1 - F.element_at("_drops", -1))).alias("drop"))
+    stay = F.array_join(F.transform(F.filter(marked, lambda x: ~x["drop"]), lambda x: x["line"]), "\n")
+    return F.when(F.col("_drops").isNull(), F.coalesce("text", F.lit(""))).otherwise(stay)
 
 
 def deduplicate(docs: DataFrame, batches: int = 4, fan: int = 2, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -125,7 +157,8 @@ def deduplicate(docs: DataFrame, batches: int = 4, fan: int = 2, least_chars: in
 def line_decisions(docs: DataFrame, batches: int = 4, fan: int = 2) -> DataFrame:
     """Per document the lines, those dropped, and a digest of the rest."""
     out = _decided(docs.select("doc_id", "text"), batches, fan, LEAST_CHARS)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.size("_lines").cast("long").alias("n_lines"), F.size(F.filter("_lines", lambda x: x["drop"])).cast("long").alias("n_dropped"), F.sha2(_kept().cast("binary"), 256).alias("kept_sha256"))
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), lines.cast("long").alias("n_lines"), F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"), F.sha2(_kept().cast("binary"), 256).alias("kept_sha256"))
 
 
 LINE_SQL = """

@@ -48,7 +48,7 @@ TOOLS = {
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"), TOOLS)
+    return chat.format_chats(chat.with_tool_turns(table(spark, sf_dir, "conversations")), TOOLS)
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Relation-aware edge weights over (doc_id, triple_idx, s, r, o).
 
-The intra weight is a sum over all pairs of triples of a document. A pair's
-weight depends only on the two relations and on how many entities are shared,
-so the sum is taken over counts, by document and relation, by entity and
-relation, and by pair of entities and relation: no pair of triples is built,
-and the cost is linear in the triples where the reference's is quadratic.
+The intra weight is a sum over all pairs of triples of a document, the inter
+weight one over all pairs that share a well supported entity. A pair's weight
+depends only on the two relations, on how many entities are shared and on how far
+apart the subjects are, so both sums are taken over counts, by document and
+relation, by entity, role and relation, and by pair of entities and relation. No
+pair of triples is built, and the cost is linear in the triples but for the
+triangles of the graph, where pairs would be quadratic in a hot entity.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.relations import compatible, tags
+from tessera.session import cut_lineage
 
 
 def edge_list(triples: DataFrame) -> DataFrame:
@@ -33,7 +36,7 @@ def _pair(compat: Column, shared: int) -> Column:
 def intra_raw(triples: DataFrame) -> DataFrame:
     """src, dst, intra_raw: for each edge the summed weights of all pairs of triples of one document that its triples are in."""
     t = triples.select("doc_id", "s", "r", "o", F.least("s", "o").alias("src"), F.greatest("s", "o").alias("dst"))
-    distinct = t.groupBy("doc_id", "s", "r", "o", "src", "dst").agg(F.count("*").alias("m"))
+    distinct = cut_lineage(t.groupBy("doc_id", "s", "r", "o", "src", "dst").agg(F.count("*").alias("m")), "intra")
     by_doc = distinct.groupBy("doc_id", "r").agg(F.sum("m").alias("n"))
     by_entity = distinct.select("doc_id", F.explode(F.array_distinct(F.array("s", "o"))).alias("e"), "r", "m").groupBy("doc_id", "e", "r").agg(F.sum("m").alias("n"))
     by_pair = distinct.where("s <> o").groupBy("doc_id", "src", "dst", "r").agg(F.sum("m").alias("n"))
@@ -77,43 +80,101 @@ def entity_support(triples: DataFrame) -> DataFrame:
     return triples.select(at.alias("at"), F.explode(F.array_distinct(F.array("s", "o"))).alias("entity")).groupBy("entity").agg(F.count("*").alias("support"), F.min("at").alias("first"))
 
 
+def top_entities_of(triples: DataFrame, top_entities: int = 100, least_support: int = 3) -> DataFrame:
+    """The best supported entities. The limit is the operator's own."""
+    return entity_support(triples).orderBy(F.desc("support"), "first", "entity").limit(top_entities).where(F.col("support") >= least_support)
+
+
+def _inter_weight(shared: int, compat: Column, hops: int, threshold: float) -> Column:
+    """Weight of a pair of triples whose subjects are so many hops apart, if it passes the threshold."""
+    w = F.least(F.lit(min(shared * 0.5, 1.0) * 0.4) + compat * 0.3 + F.lit(0.3 * (1 - hops / 3.0) * 0.1), F.lit(1.0))
+    return F.when(w > threshold, w).otherwise(0.0)
+
+
+def inter_raw(triples: DataFrame, threshold: float = 0.11, top_entities: int = 100, least_support: int = 3) -> DataFrame:
+    """src, dst, inter_raw: for each edge the summed weights of the pairs that its triples are in and that share a top entity.
+
+    Seen from a triple (s, r, o), a partner that has s for its subject is no hop away;
+    one that has s for its object, or o for its subject, is one hop away, for the
+    edge between is there; one that shares the object alone is one hop away if the two
+    subjects are linked, a triangle, and else two. Partners with both entities in common
+    are met at each of them that is a top entity, and corrected to count once."""
+    w = lambda shared, hops: _inter_weight(shared, F.col("c"), hops, threshold)
+    top = top_entities_of(triples, top_entities, least_support).select("entity")
+    distinct = triples.groupBy("s", "r", "o").agg(F.count("*").alias("m"))
+    is_top = lambda c: top.select(F.col("entity").alias(c), F.lit(True).alias(f"{c}_top"))
+    distinct = distinct.join(F.broadcast(is_top("s")), "s", "left").join(F.broadcast(is_top("o")), "o", "left")  # at most top_entities rows
+    distinct = cut_lineage(distinct.where("s_top or o_top").select("s", "r", "o", "m", F.coalesce("s_top", F.lit(False)).alias("s_top"), F.coalesce("o_top", F.lit(False)).alias("o_top")), "inter")
+
+    as_subject = distinct.where("s_top").select(F.col("s").alias("e"), "r", "m", F.lit(1).alias("role"))
+    as_object = distinct.where("o_top and s <> o").select(F.col("o").alias("e"), "r", "m", F.lit(0).alias("role"))
+    counts = as_subject.union(as_object).groupBy("e", "r").agg(F.sum(F.col("m") * F.col("role")).alias("subjects"), F.sum(F.col("m") * (1 - F.col("role"))).alias("objects"))
+    other = counts.select("e", tags(F.col("r")).alias("y"), F.col("subjects").alias("ns"), F.col("objects").alias("no"))
+    met = counts.select("e", "r", tags(F.col("r")).alias("x")).join(other, "e").withColumn("c", compatible(F.col("x"), F.col("y")))
+    at = met.groupBy("e", "r").agg(F.sum(F.col("ns") * w(1, 0) + F.col("no") * w(1, 1)).alias("as_s"), F.sum(F.col("ns") * w(1, 1) + F.col("no") * w(1, 2)).alias("as_o"))
+
+    ends = distinct.where("s <> o").groupBy("s", "o", "r", "s_top", "o_top").agg(F.sum("m").alias("n"))
+    facing = ends.select("s", "o", tags(F.col("r")).alias("y"), "n", F.lit(0).alias("hops")).union(ends.select("o", "s", tags(F.col("r")), "n", F.lit(1)))
+    met = ends.select("s", "o", "r", "s_top", "o_top", tags(F.col("r")).alias("x")).join(facing, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
+    once = F.when(F.col("hops") == 0, w(2, 0)).otherwise(w(2, 1))
+    at_s = F.when(F.col("s_top"), F.when(F.col("hops") == 0, w(1, 0)).otherwise(w(1, 1))).otherwise(0.0)
+    at_o = F.when(F.col("o_top"), F.when(F.col("hops") == 0, w(1, 2)).otherwise(w(1, 1))).otherwise(0.0)
+    both = met.groupBy("s", "o", "r").agg(F.sum(F.col("n") * (once - at_s - at_o)).alias("both"))
+
+    # Triangles: subjects of one object that are linked to each other.
+    upon = distinct.where("o_top and s <> o")
+    links = edge_list(triples).where("src <> dst").select("src", "dst")
+    links = links.union(links.select("dst", "src")).join(upon.select(F.col("s").alias("src")).distinct(), "src", "left_semi").join(upon.select(F.col("s").alias("dst")).distinct(), "dst", "left_semi")
+    thirds = links.join(upon.select(F.col("s").alias("dst"), "o", tags(F.col("r")).alias("y"), F.col("m").alias("n")), "dst").select(F.col("src").alias("s"), "o", "y", "n")
+    near = upon.select("s", "o", "r", tags(F.col("r")).alias("x")).join(thirds, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
+    near = near.groupBy("s", "o", "r").agg(F.sum(F.col("n") * (w(1, 1) - w(1, 2))).alias("near"))
+
+    out = distinct.join(at.select(F.col("e").alias("s"), "r", "as_s"), ["s", "r"], "left").join(at.select(F.col("e").alias("o"), "r", "as_o"), ["o", "r"], "left")
+    out = out.join(both, ["s", "o", "r"], "left").join(near, ["s", "o", "r"], "left")
+    zero, loop, same = F.lit(0.0), F.col("s") == F.col("o"), F.lit(1.0)
+    own = F.when(loop, _inter_weight(1, same, 0, threshold)).otherwise(_inter_weight(2, same, 0, threshold))  # a triple is no pair with itself
+    total = F.coalesce("as_s", zero) + F.when(loop, zero).otherwise(F.coalesce("as_o", zero)) + F.coalesce("both", zero) + F.coalesce("near", zero) - own
+    return out.groupBy(F.least("s", "o").alias("src"), F.greatest("s", "o").alias("dst")).agg(F.sum(F.col("m") * total).alias("inter_raw"))
+
+
 def inter_pairs(triples: DataFrame, top_entities: int = 100, least_support: int = 3) -> DataFrame:
-    """Pairs of triples that share one of the best supported entities, each pair once. The limit on entities is the operator's own."""
-    top = entity_support(triples).orderBy(F.desc("support"), "first", "entity").limit(top_entities).where(F.col("support") >= least_support)
+    """Pairs of triples that share one of the best supported entities, each pair once."""
+    top = top_entities_of(triples, top_entities, least_support)
     t = triples.select(F.struct("doc_id", "triple_idx").alias("at"), "s", tags(F.col("r")).alias("r"), "o")
     held = t.withColumn("entity", F.explode(F.array_distinct(F.array("s", "o")))).join(F.broadcast(top.select("entity")), "entity")  # at most top_entities rows
     a, b = held.alias("a"), held.alias("b")
     pairs = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.at") < F.col("b.at")))
     # A pair that shares two top entities is met twice; it counts where the smaller one is met.
     both = F.array_intersect(F.array("a.s", "a.o"), F.array("b.s", "b.o"))
-    pairs = pairs.select("a.entity", both.alias("both"), *[F.col(f"{x}.{c}").alias(f"{c}{i}") for i, x in ((1, "a"), (2, "b")) for c in ("s", "r", "o")])
+    pairs = pairs.select("a.entity", F.col("a.at").alias("at1"), F.col("b.at").alias("at2"), both.alias("both"), *[F.col(f"{x}.{c}").alias(f"{c}{i}") for i, x in ((1, "a"), (2, "b")) for c in ("s", "r", "o")])
     known = pairs.where(F.size("both") == 1).unionByName(pairs.where(F.size("both") > 1).join(F.broadcast(top.select(F.col("entity").alias("x"))).alias("t"), F.array_contains("both", F.col("x"))).groupBy(*pairs.columns).agg(F.min("x").alias("least")).where("entity = least").drop("least"))
-    return known.withColumn("shared", F.size("both")).drop("both")
+    return known.withColumn("shared", F.size("both")).drop("both", "at1", "at2")
+
 
+def inter_raw_alike(triples: DataFrame, embeddings: DataFrame, threshold: float = 0.11, top_entities: int = 100, least_support: int = 3) -> DataFrame:
+    """src, dst, inter_raw with the similarity of the two subjects by ``embeddings`` (entity, emb).
+
+    A similarity differs from pair to pair, so here the pairs are built: quadratic in a top entity's triples."""
+    from tessera.functions.vectors import dot
 
-def inter_raw(triples: DataFrame, threshold: float = 0.11, top_entities: int = 100, least_support: int = 3, embeddings: DataFrame | None = None) -> DataFrame:
-    """src, dst, inter_raw. ``embeddings`` (entity, emb) adds the similarity of the two subjects."""
     pairs = inter_pairs(triples, top_entities, least_support)
     links = edge_list(triples).select(F.col("src").alias("x"), F.col("dst").alias("y"), F.lit(True).alias("linked"))
     pairs = pairs.join(links, (F.least("s1", "s2") == F.col("x")) & (F.greatest("s1", "s2") == F.col("y")), "left")
     hops = F.when(F.col("s1") == F.col("s2"), 0).when(F.col("linked"), 1).otherwise(2)  # both subjects are next to the shared entity, so two at most
-    alike = F.lit(0.0)
-    if embeddings is not None:
-        from tessera.functions.vectors import dot
-
-        for i in (1, 2):
-            pairs = pairs.join(embeddings.select(F.col("entity").alias(f"s{i}"), F.col("emb").alias(f"emb{i}")), f"s{i}", "left")
-        alike = F.greatest(F.coalesce(dot(F.col("emb1"), F.col("emb2")), F.lit(0.0)), F.lit(0.0)) * 0.3
+    for i in (1, 2):
+        pairs = pairs.join(embeddings.select(F.col("entity").alias(f"s{i}"), F.col("emb").alias(f"emb{i}")), f"s{i}", "left")
+    alike = F.greatest(F.coalesce(dot(F.col("emb1"), F.col("emb2")), F.lit(0.0)), F.lit(0.0)) * 0.3
     w = F.least(F.col("shared") * 0.5, F.lit(1.0)) * 0.4 + compatible(F.col("r1"), F.col("r2")) * 0.3 + alike * 0.2 + 0.3 * (1 - hops / 3.0) * 0.1
     kept = pairs.select("s1", "o1", "s2", "o2", F.least(w, F.lit(1.0)).alias("w")).where(F.col("w") > threshold)
     ends = kept.select("w", F.explode(F.array(F.struct(F.least("s1", "o1").alias("src"), F.greatest("s1", "o1").alias("dst")), F.struct(F.least("s2", "o2").alias("src"), F.greatest("s2", "o2").alias("dst")))).alias("e"))
     return ends.groupBy("e.src", "e.dst").agg(F.sum("w").alias("inter_raw"))
 
 
-def raw_edges(triples: DataFrame, **inter: object) -> DataFrame:
+def raw_edges(triples: DataFrame, embeddings: DataFrame | None = None, **inter: object) -> DataFrame:
     zero = F.lit(0.0)
     keys = ["src", "dst"]
-    return edge_list(triples).join(intra_raw(triples), keys, "left").join(inter_raw(triples, **inter), keys, "left").withColumns({"intra_raw": F.coalesce("intra_raw", zero), "inter_raw": F.coalesce("inter_raw", zero)})
+    across = inter_raw(triples, **inter) if embeddings is None else inter_raw_alike(triples, embeddings, **inter)
+    return edge_list(triples).join(intra_raw(triples), keys, "left").join(across, keys, "left").withColumns({"intra_raw": F.coalesce("intra_raw", zero), "inter_raw": F.coalesce("inter_raw", zero)})
 
 
 def normalized(edges: DataFrame, triples: DataFrame, method: str = "minmax") -> DataFrame:
@@ -146,16 +207,25 @@ def final_weight(edges: DataFrame, intra: str = "intra_normalized", inter: str =
 
 def weighted_graph(triples: DataFrame, method: str = "minmax", normalize: bool = True, **inter: object) -> DataFrame:
     """The whole weighting; ``normalize=False`` keeps raw weights."""
-    edges = raw_edges(triples, **inter)
+    triples = cut_lineage(triples, "triples")
+    edges = cut_lineage(raw_edges(triples, **inter), "raw-edges")
     return final_weight(normalized(edges, triples, method)) if normalize else final_weight(edges, "intra_raw", "inter_raw")
 
 
 def doc_links(triples: DataFrame, more_than: int = 2) -> DataFrame:
-    """Pairs of documents that share more than so many entities."""
-    ents = doc_entities(triples)
-    a, b = ents.alias("a"), ents.alias("b")
-    met = a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    return met.groupBy(F.col("a.doc_id").alias("d1"), F.col("b.doc_id").alias("d2")).agg(F.count("*").alias("shared")).where(F.col("shared") > more_than)
+    """Pairs of documents that share more than so many entities, and how many.
+
+    Documents that share more than k entities share one that is not among the k
+    commonest of either. So each document is looked up by its rarer entities alone,
+    and what it shares is counted for the pairs found: an entity that all documents
+    have pairs none of them."""
+    ents = cut_lineage(doc_entities(triples), "doc-entities")
+    known = ents.groupBy("entity").agg(F.count("*").alias("docs"))
+    order = Window.partitionBy("doc_id").orderBy(F.desc("docs"), "entity")
+    rare = cut_lineage(ents.join(known, "entity").withColumn("place", F.row_number().over(order)).where(F.col("place") > more_than).select("entity", "doc_id"), "rare")
+    pairs = rare.select("entity", F.col("doc_id").alias("d1")).join(rare.select("entity", F.col("doc_id").alias("d2")), "entity").where("d1 < d2").select("d1", "d2").distinct()
+    met = pairs.join(ents.select(F.col("doc_id").alias("d1"), "entity"), "d1").join(ents.select(F.col("doc_id").alias("d2"), "entity"), ["d2", "entity"])
+    return met.groupBy("d1", "d2").agg(F.count("*").alias("shared")).where(F.col("shared") > more_than)
 
 
 def bridge_entities(triples: DataFrame, more_than: int = 2) -> DataFrame:

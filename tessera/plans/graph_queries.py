@@ -200,10 +200,13 @@ def _bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighting.bridge_entities(brand_triples(spark, sf_dir))
 
 
-@query("doc_links", f"WITH {GEO}, e AS (SELECT DISTINCT doc_id % 2 + triple_idx % 7 AS doc_id, unnest([s, o]) AS entity FROM geo) SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS shared FROM e a JOIN e b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) > 2")
+@query("doc_links", """WITH e AS (SELECT DISTINCT o_custkey AS doc_id, unnest(['order_' || o_orderkey, 'part_' || l_partkey]) AS entity FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
+SELECT a.doc_id AS d1, b.doc_id AS d2, count(*) AS shared FROM e a JOIN e b ON a.entity = b.entity AND a.doc_id < b.doc_id GROUP BY 1, 2 HAVING count(*) > 2""")
 def _doc_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Triples dealt anew over a few documents, so that documents share entities."""
-    return weighting.doc_links(geo_triples(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 2 + F.col("triple_idx") % 7))
+    """Customers as documents, linked by the parts that they have ordered."""
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    name = lambda kind, key: F.concat(F.lit(f"{kind}_"), F.col(key).cast("string"))
+    return weighting.doc_links(rows.select(F.col("o_custkey").alias("doc_id"), name("order", "o_orderkey").alias("s"), name("part", "l_partkey").alias("o")))
 
 
 @query("degree_centrality", f"WITH {BRAND}, triples AS (SELECT * FROM brand), {EDGES}, d AS (SELECT node, count(*) AS degree FROM (SELECT unnest([src, dst]) AS node FROM edges) GROUP BY 1) SELECT node, degree, round(degree / ((SELECT count(*) FROM d) - 1), 9) AS centrality FROM d")
@@ -294,7 +297,7 @@ def _beam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("multihop_query")
 def _multihop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.answers(paths.multi_hop(*_search(spark, sf_dir), max_steps=3))
+    return paths.answers(paths.multi_hop(*_search(spark, sf_dir)))
 
 
 # --- vectors ----------------------------------------------------------------------------------

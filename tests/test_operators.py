@@ -2,6 +2,7 @@
 
 
 import math
+import random
 import zipfile
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -94,6 +95,44 @@ def test_intra_by_counts_equals_pairs(spark):
     assert got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("threshold", [0.11, 0.33, 0.5])
+def test_inter_by_counts_equals_pairs(spark, threshold):
+    draw = random.Random(5)
+    names, kinds = "abcdefgh", ["part_of", "has_part", "uses", "encodes", "optimizes"]
+    rows = [(draw.randrange(3), i, draw.choice(names), draw.choice(kinds), draw.choice(names)) for i in range(90)] + [(9, 0, "x", "uses", "y"), (9, 1, "y", "uses", "x")]
+    rows += [(9, 2, "a", "uses", "a"), (9, 3, "a", "part_of", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string")
+    compat = {(r.r1, r.r2): r.compat for r in relations.compatibility_table(df).collect()}
+    top = {r.entity for r in weighting.top_entities_of(df, 4).collect()}
+    linked = {frozenset((s, o)) for _, _, s, _, o in rows}
+    want: dict = {}
+    for x, y in combinations(rows, 2):
+        shared = {x[2], x[4]} & {y[2], y[4]}
+        if shared & top:
+            hops = 0 if x[2] == y[2] else 1 if frozenset((x[2], y[2])) in linked else 2
+            w = min(1.0, min(len(shared) * 0.5, 1.0) * 0.4 + compat[x[3], y[3]] * 0.3 + 0.3 * (1 - hops / 3) * 0.1)
+            if w > threshold:
+                for t in (x, y):
+                    edge = tuple(sorted((t[2], t[4])))
+                    want[edge] = want.get(edge, 0.0) + w
+    zeros = df.select(F.col("s").alias("entity"), F.array(F.lit(0.0)).alias("emb")).distinct()
+    for found in (weighting.inter_raw_alike(df, zeros, threshold, 4), weighting.inter_raw(df, threshold, 4)):
+        got = {(r.src, r.dst): r.inter_raw for r in found.collect() if r.inter_raw > 1e-9}
+        assert got == pytest.approx(want)
+
+
+def test_doc_links_by_rare_entities(spark):
+    draw = random.Random(8)
+    rows = [(d, i, draw.choice("abcdefghij"), "r", draw.choice("abcdefghij")) for d in range(30) for i in range(draw.randrange(6))]
+    held: dict = {}
+    for d, _, s, _, o in rows:
+        held.setdefault(d, set()).update((s, o))
+    for k in (0, 2, 4):
+        want = {(a, b, len(held[a] & held[b])) for a, b in combinations(sorted(held), 2) if len(held[a] & held[b]) > k}
+        got = weighting.doc_links(spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string"), k).collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_leaders_are_greedy(spark):
     v = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
     rows = [(f"e{d}", i, v(d), "en" if d < 50 else "ja") for i, d in enumerate((0, 20, 40, 55, 170))]

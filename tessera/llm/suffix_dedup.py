@@ -5,28 +5,34 @@ strings of some ``length``-byte window. Equal windows choose the same place, so
 the windows that choose one suffix, its block, can be compared with those that
 choose an equal one elsewhere, and about one suffix in sixteen is needed.
 
-1. Splitters from a bounded sample of suffixes range-partition the suffixes by
-   their leading eight bytes. Each bucket is sorted locally by multikey
-   quicksort, with machine words for characters: leading bytes, rest of the
-   gram, block. Within a run of equal blocks every document but the smallest
-   has the whole block repeated. A run of equal grams with several blocks is a
-   border: its matches end inside a block. Its blocks are asked for in full.
+1. Splitters from a sample of suffixes, eight for each bucket, range-partition the
+   suffixes by their leading eight bytes and, among equal ones, by a hash of the rest
+   of the gram, so that frequent words fall into many buckets. Each bucket is
+   sorted locally by multikey quicksort, with machine words for characters: leading
+   bytes, rest of the gram, block. Within a run of equal blocks every document but
+   the smallest has the whole block repeated. A run of equal grams with several
+   blocks is a border: its matches end inside a block. Its blocks are asked for in
+   full.
 2. The documents that are asked send the windows of those blocks to buckets of
    the same kind; in a run of equal windows again all but the smallest
    document have a repeat.
 3. Each document marks its repeated blocks and windows and drops the bytes.
 
 A task compares its own suffixes before it sends any, and sends one for each
-block: what repeats in a third of all documents is a few records a task. A
-splitter's runs lie in one bucket each, as equal leading bytes always meet, so
-what is compared across boundaries is within the bucket to the right of the
-splitter. Texts are dealt twice by a hash of the id, and bytes are compared as
-digests of 64 bits beside the leading eight bytes.
+block: what repeats in a third of all documents is a few records a task. Equal grams
+never lie on both sides of a splitter, so no run goes on in the next bucket and
+there is nothing to compare across a boundary. What buckets find out is a row for
+each document and block, dealt to the texts by Spark. Texts are dealt twice by a
+hash of the id, or of the text where there is none. Bytes are compared as the
+leading eight and digests of 32 and 64 bits of what follows: of 10^13 suffixes some
+10^26 / 2^97 pairs agree in the digests by chance, and their leading bytes would
+have to agree as well.
 
 Cases: null and empty texts and texts shorter than ``length`` lose nothing;
 matches never cross documents; rows with one doc_id don't remove one another's
-bytes; a null doc_id counts as the largest; an empty table gives an empty
-result; extra columns are ignored.
+bytes, nor do rows without one, which count as larger than all others (ids from
+7 * 2^60 on aren't told from them); an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,16 +46,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .minhash import U, mixed, powers
-from .shared import NULL_ID, utf8, written
+from .shared import slices, trim, utf8, written
 
 GRAM = 20
 PLACES = (1 << 24) - 1
 CHUNK, LONG = 1 << 20, 8 << 20  # bytes hashed at once; longer documents are cut between windows
 FLUSH = 2_000_000  # suffixes that a task gathers before it compares and sends them
 REPEATED, ASKED = 1, 2
-# The primes of the public xxHash64 function.
-XXHASH = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
-DEALT = "bucket int, group int, blob binary"
+NO_ID = 7 << 60  # rows without an id are numbered from here on
+HIGH = np.uint64(1 << 63)
+BLOB = 1 << 16  # replies in a blob
+DEALT = "bucket int, kind int, blob binary"
+REPLY = "doc long, block long, status int"
 
 
 def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -128,32 +136,53 @@ def chunks(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
         at = to
 
 
+SMALL = 1 << 16
+
+
 def sorted_order(keys: list[np.ndarray]) -> np.ndarray:
-    """Multikey quicksort: by the first word, then within runs of equal ones by the next."""
-    order = np.argsort(keys[0])
-    run = np.zeros(len(order), np.int64)
-    for depth, key in enumerate(keys):
-        if depth:
-            tied = np.flatnonzero(same)  # noqa: F821  places whose run goes on or has begun
-            if not len(tied):
-                return order
-            order[tied] = order[tied][np.lexsort((key[order[tied]], run[tied]))]
-        own = key[order]
-        run = np.cumsum(np.concatenate([[True], (own[1:] != own[:-1]) | (run[1:] != run[:-1])]))
-        equal = run[1:] == run[:-1]
-        same = np.concatenate([[False], equal]) | np.concatenate([equal, [False]])
+    """Multikey quicksort: split in three by a pivot word; what equals it goes on with the next word. Small parts are sorted by all words left."""
+    order = np.arange(len(keys[0]))
+    todo = [(0, len(order), 0)]
+    while todo:
+        low, high, depth = todo.pop()
+        if high - low < 2 or depth == len(keys):
+            continue
+        own = order[low:high]
+        word = keys[depth][own]
+        if high - low <= SMALL:
+            by = np.argsort(word, kind="stable")
+            word = word[by]
+            tied = np.flatnonzero(np.concatenate([[False], word[1:] == word[:-1]]))
+            if len(tied) and depth + 1 < len(keys):
+                both = np.union1d(tied - 1, tied)
+                run = np.cumsum(np.concatenate([[True], word[1:] != word[:-1]]))[both]
+                by[both] = by[both][np.lexsort([key[own[by[both]]] for key in keys[:depth:-1]] + [run])]
+            order[low:high] = own[by]
+            continue
+        pivot = np.median(word[:: max(1, len(word) // 255)][:255].astype(np.float64))
+        pivot = word[np.abs(word.astype(np.float64) - pivot).argmin()]
+        less, more = word < pivot, word > pivot
+        order[low:high] = np.concatenate([own[less], own[~less & ~more], own[more]])
+        a, b = low + int(less.sum()), high - int(more.sum())
+        todo += [(low, a, depth), (a, b, depth + 1), (b, high, depth)]
     return order
 
 
+def rank_of(doc: np.ndarray) -> np.ndarray:
+    """Documents as they are compared: by id, those without one alike."""
+    return np.minimum(doc, U(NO_ID) ^ HIGH)
+
+
 def compared(lead: np.ndarray, gram: np.ndarray, block: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted order; where a run of equal blocks starts; the start of each record's run."""
+    """Sorted order; where a run of equal blocks starts; which records are those of a larger document than the run's first."""
     order = sorted_order([lead, gram, block, doc])
     same = np.ones(len(order) - 1, bool)
     for key in (lead, gram, block):
         own = key[order]
         same &= own[1:] == own[:-1]
     first = np.concatenate([[True], ~same])
-    return order, first, np.flatnonzero(first)[np.cumsum(first) - 1]
+    rank = rank_of(doc[order])
+    return order, first, rank > rank[np.flatnonzero(first)[np.cumsum(first) - 1]]
 
 
 def packed(arrays: tuple[np.ndarray, ...]) -> bytes:
@@ -168,89 +197,85 @@ def unpacked(blobs: list[bytes], width: int) -> list[np.ndarray]:
     return [np.concatenate([np.ascontiguousarray(p[i].T).view(U).ravel() for p in parts]) for i in range(width)]
 
 
-def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    """pmod(xxhash64(doc), groups) as Spark has it, for 64-bit integers."""
-    one, two, three, four, five = (U(x) for x in XXHASH)
-    turned = lambda x, n: (x << U(n)) | (x >> U(64 - n))
-    with np.errstate(over="ignore"):
-        h = (U(42) + five + U(8)) ^ (turned(doc.astype(U) * two, 31) * one)
-        h = turned(h, 27) * one + four
-        h = (h ^ (h >> U(33))) * two
-        h = (h ^ (h >> U(29))) * three
-        return (h ^ (h >> U(32))).view(np.int64) % groups
+def _rows(bucket: list[int], kind: list[int], blob: list[bytes]) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "blob"])
 
 
-def _rows(bucket: list[int], group: list[int], blob: list[bytes]) -> pa.Table:
-    return pa.table([pa.array(bucket, pa.int32()), pa.array(group, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "group", "blob"])
+def _replies(doc: np.ndarray, block: np.ndarray, status: np.ndarray) -> pa.Table:
+    """What documents are told."""
+    return pa.table([pa.array((doc ^ HIGH).view(np.int64)), pa.array(block.view(np.int64)), pa.array(status.astype(np.int32))], names=["doc", "block", "status"])
 
 
-def _replies(doc: np.ndarray, block: np.ndarray, status: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    """What documents are told, by group of documents."""
-    own = group_of(doc, groups)
-    order = np.argsort(own, kind="stable")
-    bounds = np.searchsorted(own[order], np.arange(groups + 1))
-    for i in np.flatnonzero(np.diff(bounds)).tolist():
-        part = order[bounds[i] : bounds[i + 1]]
-        yield i, packed((doc[part], block[part], status[part]))
+def bounds_of(lead: np.ndarray, gram: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Where each bucket begins in sorted records."""
+    leads, of_lead = np.unique(lead, return_inverse=True)
+    own = (of_lead.astype(U) << U(32)) | gram
+    place = np.searchsorted(leads, splitters[0], "left")
+    there = np.append(leads, U(0))[np.minimum(place, len(leads))] == splitters[0]
+    there &= place < len(leads)
+    at = np.searchsorted(own, (place.astype(U) << U(32)) | np.where(there, splitters[1], U(0)), "left")
+    return np.concatenate([[0], at, [len(lead)]])
 
 
-def dealt(lead: np.ndarray, gram: np.ndarray, block: np.ndarray, doc: np.ndarray, splitters: np.ndarray, groups: int) -> pa.Table:
-    """One record of each block for its bucket; replies about the others go along, with a group."""
+def dealt(lead: np.ndarray, gram: np.ndarray, block: np.ndarray, doc: np.ndarray, splitters: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    """One record of each block for its bucket; what is already known of the others goes along."""
     if not len(doc):
         return _rows([], [], [])
-    order, first, start = compared(lead, gram & U(0xFFFFFFFF), block, doc)
-    docs = doc[order]
-    repeated = docs > docs[start]
+    low = gram & U(0xFFFFFFFF)
+    order, first, repeated = compared(lead, low, block, doc)
     out: tuple[list, list, list] = ([], [], [])
     local = order[repeated]
-    for group, blob in _replies(doc[local], block[local], np.full(len(local), REPEATED, U), groups):
-        for column, value in zip(out, (group % (len(splitters) + 1), group, blob), strict=True):
+    for number, at in enumerate(range(0, len(local), BLOB)):
+        part = local[at : at + BLOB]
+        for column, value in zip(out, (number % (len(splitters[0]) + 1), 1, packed((doc[part], block[part]))), strict=True):
             column.append(value)
-    sent = order[first]
-    bounds = np.concatenate([[0], np.searchsorted(lead[sent], splitters, "left"), [len(sent)]])
+    docs = doc[order]
+    sent = order[~repeated & (first | np.concatenate([[True], docs[1:] != docs[:-1]]))]
+    bounds = bounds_of(lead[sent], low[sent], splitters)
     for i in np.flatnonzero(np.diff(bounds)).tolist():
         part = sent[bounds[i] : bounds[i + 1]]
-        for column, value in zip(out, (i, -1, packed((lead[part], gram[part], block[part], doc[part]))), strict=True):
+        for column, value in zip(out, (i, 0, packed((lead[part], gram[part], block[part], doc[part]))), strict=True):
             column.append(value)
     return _rows(*out)
 
 
-def _resolve(groups: int, ask: bool) -> Callable[[pa.Table], pa.Table]:
-    """A bucket's records compared; out come replies alone."""
+def _resolve(ask: bool) -> Callable[[pa.Table], pa.Table]:
+    """A bucket's records compared; out come replies."""
 
     def run(rows: pa.Table) -> pa.Table:
-        group, blob = rows.column("group").to_pylist(), rows.column("blob").to_pylist()
-        told = [(g, b) for g, b in zip(group, blob, strict=True) if g >= 0]
-        lead, gram, block, doc = unpacked([b for g, b in zip(group, blob, strict=True) if g < 0], 4)
+        kind, blob = rows.column("kind").to_pylist(), rows.column("blob").to_pylist()
+        known, about = unpacked([b for k, b in zip(kind, blob, strict=True) if k], 2)
+        told = [_replies(known, about, np.full(len(known), REPEATED))]
+        lead, gram, block, doc = unpacked([b for k, b in zip(kind, blob, strict=True) if not k], 4)
         if len(doc):
-            order, first, start = compared(lead, gram & U(0xFFFFFFFF), block, doc)
-            docs = doc[order]
-            status = np.where(docs > docs[start], REPEATED, 0)
+            tags, gram = gram >> U(32), gram & U(0xFFFFFFFF)
+            order, first, repeated = compared(lead, gram, block, doc)
+            docs, status = doc[order], np.where(repeated, REPEATED, 0)
             if ask:
-                tags, gram = gram >> U(32), gram & U(0xFFFFFFFF)
                 grams = np.concatenate([[True], (lead[order][1:] != lead[order][:-1]) | (gram[order][1:] != gram[order][:-1])])
-                run_of = np.cumsum(grams) - 1
-                heads = np.flatnonzero(first)
-                low = np.minimum.reduceat(docs[heads], np.flatnonzero(grams[heads]))
-                high = np.maximum.reduceat(docs[heads], np.flatnonzero(grams[heads]))
-                run, tag = run_of[heads], tags[order][heads]
+                heads, ranks = np.flatnonzero(first), rank_of(docs)
+                low = np.minimum.reduceat(ranks[heads], np.flatnonzero(grams[heads]))
+                high = np.maximum.reduceat(ranks[heads], np.flatnonzero(grams[heads]))
+                run, tag = (np.cumsum(grams) - 1)[heads], tags[order][heads]
                 agree = np.zeros(len(heads), bool)
                 for part in (tag & U(0xFF), tag >> U(8)):
                     _, which, count = np.unique(run * 256 + part.astype(np.int64), return_inverse=True, return_counts=True)
                     agree |= count[which] > 1
-                status[heads[agree & (low < high)[run]]] = ASKED
+                asked = (agree & (low < high)[run])[np.cumsum(first) - 1]
+                status[asked & ~repeated] = ASKED
             found = status > 0
-            told += _replies(docs[found], block[order][found], status[found].astype(U), groups)
-        return _rows([-1] * len(told), [g for g, _ in told], [b for _, b in told])
+            told.append(_replies(docs[found], block[order][found], status[found]))
+        trim()
+        return pa.concat_tables(told)
 
     return run
 
 
 def _of_docs(texts: pa.Table, replies: pa.Table) -> tuple[pa.Array, np.ndarray, list[np.ndarray], np.ndarray]:
-    """Texts and ids of a group; what its documents were told, sorted by document; ids that were told anything."""
+    """Texts and numbers of a group; what its documents were told, sorted by document; documents that were told anything."""
     column = texts.column("text").cast(pa.large_string()).combine_chunks()
-    ids = texts.column("doc_id").to_numpy().astype(U)
-    doc, block, status = unpacked(replies.column("blob").to_pylist(), 3)
+    ids = texts.column("doc").to_numpy().view(U) ^ HIGH
+    doc, block, status = replies.column("doc").to_numpy().view(U) ^ HIGH, replies.column("block").to_numpy().view(U), replies.column("status").to_numpy()
     order = np.lexsort((block, doc))
     return column, ids, [doc[order], block[order], status[order]], np.unique(doc)
 
@@ -268,51 +293,56 @@ def _told(table: list[np.ndarray], doc: np.ndarray, block: np.ndarray, status: i
     return (d[order][place] == doc) & (b[order][place] == block)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 << 20, least_buckets: int = 64, sample_docs: int = 2_000, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 << 20, least_buckets: int = 64, each: int = 64, keep_text: bool = False) -> DataFrame:
     """Per row the bytes, removed bytes and runs, and a digest of what stays; with ``keep_text`` what stays, too.
 
-    ``bucket_bytes`` of text are meant for each bucket and each group of documents; at most
-    about ``sample_docs`` documents are sampled for splitters, 64 suffixes of each."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ``bucket_bytes`` of text are meant for each bucket and each group of documents. Splitters come
+    from ``each`` suffixes of a hashed sample of documents, about eight suffixes for each bucket and
+    128,000 at least: what reaches the driver grows as the number of buckets, by 128 bytes each."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(NO_ID)))
     total = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    buckets = max(least_buckets, -(-(total.bytes or 0) // bucket_bytes))
-    groups = buckets
+    buckets = groups = max(least_buckets, -(-(total.bytes or 0) // bucket_bytes))
 
     def sampled(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            for batch in items:
+            for batch in slices(items):
                 for _, _, _, chunk in chunks(batch.column("text"), length):
-                    lead, _, block = chunk.suffixes()
+                    lead, gram, block = chunk.suffixes()
                     order = np.argsort(block)  # a random order
                     rank = np.zeros(len(order), np.int64)
                     by_text = order[np.argsort(chunk.own[order], kind="stable")]
                     start = np.searchsorted(chunk.own[by_text], chunk.own[by_text])
                     rank[by_text] = np.arange(len(by_text)) - start
-                    yield pa.RecordBatch.from_arrays([pa.array(lead[rank < 64].view(np.int64))], names=["lead"])
+                    own = rank < each
+                    yield pa.RecordBatch.from_arrays([pa.array(lead[own].view(np.int64)), pa.array((gram[own] & U(0xFFFFFFFF)).view(np.int64))], names=["lead", "gram"])
 
-    share = max(1, (total.n or 1) // sample_docs)
-    picked = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).mapInArrow(sampled, "lead long")
-    sample = np.sort(np.array([r.lead for r in picked.collect()], np.int64).view(U))
-    splitters = np.unique(sample[np.arange(1, buckets) * len(sample) // buckets]) if len(sample) else sample
+    share = max(1, (total.n or 1) * each // max(128_000, 8 * buckets))
+    picked = texts.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).select("text").mapInArrow(sampled, "lead long, gram long").toArrow()
+    lead, gram = (picked.column(c).to_numpy().view(U) for c in ("lead", "gram"))
+    order = np.lexsort((gram, lead))[np.arange(1, buckets) * len(lead) // buckets] if len(lead) else np.zeros(0, np.int64)
+    chosen = np.unique(np.stack([lead[order], gram[order]]), axis=1)
+    splitters = chosen[0], chosen[1]
 
     def send(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered: list[tuple[np.ndarray, ...]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             if gathered:
-                yield from dealt(*(np.concatenate(x) for x in zip(*gathered, strict=True)), splitters, groups).to_batches()
+                yield from dealt(*(np.concatenate(x) for x in zip(*gathered, strict=True)), splitters).to_batches()
             gathered.clear()
 
         with np.errstate(over="ignore"):
             for batch in items:
-                ids = batch.column("doc_id").to_numpy().astype(U)
+                ids = batch.column("doc").to_numpy().view(U) ^ HIGH
                 for at, _, _, chunk in chunks(batch.column("text"), length):
                     gathered.append((*chunk.suffixes(), ids[at + chunk.own]))
                     if sum(len(x[0]) for x in gathered) >= FLUSH:
                         yield from flush()
             yield from flush()
+        trim()
 
-    told = written(texts.mapInArrow(send, DEALT).groupBy("bucket").applyInArrow(_resolve(groups, True), DEALT), "suffix-replies")
+    told = written(texts.mapInArrow(send, DEALT).groupBy("bucket").applyInArrow(_resolve(True), REPLY), "suffix-replies")
 
     def ask(own: pa.Table, replies: pa.Table) -> pa.Table:
         column, ids, table, _ = _of_docs(own, replies)
@@ -326,20 +356,20 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 <<
             hit = np.flatnonzero(_told(table, doc, chunk.blocks() if len(doc) else doc, ASKED))
             if len(hit):
                 text, _, lead, digest = chunk.windows(hit)
-                parts.append((lead, np.zeros(len(lead), U), digest, ids[which[at + text]]))
-        return dealt(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters, groups) if parts else _rows([], [], [])
+                parts.append((lead, mixed(digest) & U(0xFFFFFFFF), digest, ids[which[at + text]]))
+        return dealt(*(np.concatenate(x) for x in zip(*parts, strict=True)), splitters) if parts else _rows([], [], [])
 
     def in_group(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
+        return rows.withColumn("group", F.pmod(F.xxhash64("doc"), F.lit(groups)).cast("int"))
 
     by_group = in_group(texts).groupBy("group")
-    windows = by_group.cogroup(told.groupBy("group")).applyInArrow(ask, DEALT)
-    told_windows = written(windows.groupBy("bucket").applyInArrow(_resolve(groups, False), DEALT), "suffix-windows")
+    windows = by_group.cogroup(in_group(told).groupBy("group")).applyInArrow(ask, DEALT)
+    told_windows = written(windows.groupBy("bucket").applyInArrow(_resolve(False), REPLY), "suffix-windows")
 
-    def finish(own: pa.Table, replies: pa.Table) -> pa.Table:
-        kinds = replies.column("bucket").to_numpy()
-        column, ids, blocks, told_ids = _of_docs(own, replies.filter(pa.array(kinds == 0)))
-        _, _, spans, more = _of_docs(own, replies.filter(pa.array(kinds == 1)))
+    def finish(group: pa.Table, replies: pa.Table) -> pa.Table:
+        kinds = replies.column("windows").to_numpy()
+        column, ids, blocks, told_ids = _of_docs(group, replies.filter(pa.array(kinds == 0)))
+        _, _, spans, more = _of_docs(group, replies.filter(pa.array(kinds == 1)))
         marks: dict[int, np.ndarray] = {}
         which = np.flatnonzero(np.isin(ids, np.concatenate([told_ids, more])))
         sizes = np.diff(utf8(column)[1])
@@ -364,18 +394,19 @@ def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 <<
                         marks[number] = np.zeros(sizes[number], bool)
                     marks[number][base : base + len(own)] |= own
         rows: list[tuple] = []
-        for i, text in enumerate(column.to_pylist()):
-            data = text.encode()
+        numbers = group.column("doc_id").to_pylist()
+        for i, text in enumerate(column):
+            data = text.as_buffer().to_pybytes()
             size, removed, runs = len(data), 0, 0
             if (gone := marks.get(i)) is not None:
                 removed = int(gone.sum())
                 runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 data = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            rows.append((None if ids[i] == NULL_ID else int(ids[i]), size, removed, runs, hashlib.sha256(data).hexdigest(), *([data] if keep_text else [])))
+            rows.append((numbers[i], size, removed, runs, hashlib.sha256(data).hexdigest(), *([data] if keep_text else [])))
         columns = zip(*rows, strict=True) if rows else [[]] * (6 if keep_text else 5)
         kinds_out = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * keep_text
         return pa.table([pa.array(list(x), t) for x, t in zip(columns, kinds_out, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * keep_text])
 
-    both = told.withColumn("bucket", F.lit(0)).union(told_windows.withColumn("bucket", F.lit(1)))
+    both = told.withColumn("windows", F.lit(0)).union(told_windows.withColumn("windows", F.lit(1)))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return in_group(texts).groupBy("group").cogroup(both.groupBy("group")).applyInArrow(finish, schema)
+    return by_group.cogroup(in_group(both).groupBy("group")).applyInArrow(finish, schema)

@@ -2,14 +2,15 @@
 
 Every document is tokenised whole and ended with an id. It is cut into full
 windows and a tail, and the tail into pieces of at most ``piece`` ids, so that
-many small items can even out. Documents are dealt by a hash of their id into
-groups of about ``group_docs``; within a group the tails are differenced into
+many small items can even out. Pieces are dealt by row, not by id, into groups of
+about as many pieces as ``group_docs`` documents have: a repeated id or a null one
+spreads like any other. Within a group the tails are differenced into
 as few windows as the capacity allows. The number of windows rises whenever
 the fullest one exceeds the capacity. Only piece rows (a few integers each)
 are shuffled, never token ids, unless they are asked for.
 
-Cases: null and empty texts hold the end id alone; a null doc_id is a group
-member like any other; repeated rows are packed each; an empty table gives an
+Cases: null and empty texts hold the end id alone; rows with a null doc_id and
+repeated rows are packed each; an empty table gives an
 empty result; extra columns are ignored.
 """
 
@@ -18,20 +19,23 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .minhash import BASE, U, mixed
 from .shared import batches, doc_texts
 
 PIECES = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 PACKED = T.StructType([*PIECES.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 IDS = T.StructField("ids", T.BinaryType())
+OBJECTS = 200  # bytes of an entry of the word table, on average, beside its text and ids
 SPLIT_AT = str.maketrans("\n\t\r", "   ")
 #: Texts of these characters alone are split here as the tokenizer does: composed Latin letters, for which lower case and composition need no context.
 LATIN = "À-ÖØ-öø-įı-ɏ"
@@ -43,12 +47,12 @@ class Words(dict):
     """Little-endian unsigned 32-bit ids of the words met so far; words are what stands between blanks.
 
     The tokenizer drops white space before it splits, so words are independent.
-    ``remembered`` bounds the table."""
+    ``remembered`` bounds the bytes of the table, which a worker keeps over its tasks."""
 
-    def __init__(self, path: str, remembered: int = 400_000) -> None:
+    def __init__(self, path: str, remembered: int = 48 << 20) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
+        self.tokenizer, self.remembered, self.bytes = Tokenizer.from_file(path), remembered, 0
         ends = [number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.ends[ends] = True
@@ -68,9 +72,15 @@ class Words(dict):
         once: dict[str, bytes] = {}
         new = list(words)
         for word, ids in zip(new, self.encoded(new, single), strict=True):
-            (self if len(word) <= 64 and len(self) < self.remembered else once)[word] = ids
+            keep = len(word) <= 64 and self.bytes < self.remembered
+            (self if keep else once)[word] = ids
+            self.bytes += keep * (OBJECTS + 2 * len(word) + len(ids))
         return once
 
+    def forget(self) -> None:
+        self.clear()
+        self.bytes = 0
+
 
 _words: dict[str, Words] = {}
 
@@ -87,8 +97,8 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
     for words, ids, x in zip(split, found, odd, strict=True):
         if None in ids:
             new[x].update(word for word, i in zip(words, ids, strict=True) if i is None)
-    if len(known) + len(new[0]) + len(new[1]) > known.remembered:
-        known.clear()
+    if known.bytes + sum(OBJECTS + 4 * len(word) for words in new for word in words) > known.remembered:
+        known.forget()
     once = known.learn(new[False], True)
     once |= known.learn(new[True] - {""} - known.keys() - once.keys(), False) | {"": b""}
     for words, ids in zip(split, found, strict=True):
@@ -159,29 +169,35 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512, group_docs: int = 1024, keep_ids: bool = False) -> DataFrame:
     """A row for each piece with its place in a window of at most ``capacity`` ids."""
     end = np.array([end_id], "<u4").tobytes()
-    schema = T.StructType([*PIECES.fields, IDS]) if keep_ids else PIECES
+    schema = T.StructType([T.StructField("grp", T.LongType()), *PIECES.fields, *([IDS] if keep_ids else [])])
     result = T.StructType([*PACKED.fields, IDS]) if keep_ids else PACKED
+    docs = doc_texts(docs)
+    groups = max(1, -(-docs.count() // group_docs))
 
     def tokenised(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        met: Counter[tuple[int | None, int]] = Counter()  # equal rows of this task are told apart by their number alone, so that a repeated task deals them alike
         for keys, texts in batches(items):
-            for i in range(0, len(keys), 512):
-                rows: list[list] = [[] for _ in schema]
-                for key, ids in zip(keys[i : i + 512], token_bytes(texts[i : i + 512], tokenizer_path), strict=True):
-                    ids += end
-                    count = len(ids) // 4
-                    for start, length in cut(count, capacity, piece):
-                        own = ids[4 * start : 4 * (start + length)]
-                        for column, value in zip(rows, (key, start, length, zlib.crc32(own), count, own), strict=False):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if n == "ids" else pa.int64()) for x, n in zip(rows, schema.names, strict=True)], names=schema.names)
-
-    docs = doc_texts(docs)
-    groups = max(1, -(-docs.count() // group_docs))
+            rows: list[list] = [[] for _ in schema]
+            for key, ids in zip(keys, token_bytes(texts, tokenizer_path), strict=True):
+                ids += end
+                count, own = len(ids) // 4, (key, zlib.crc32(ids))
+                met[own] += 1
+                for start, length in cut(count, capacity, piece):
+                    part = ids[4 * start : 4 * (start + length)]
+                    for column, value in zip(rows, (met[own], key, start, length, zlib.crc32(part), count, part), strict=False):
+                        column.append(value)
+            columns = [pa.array(x, pa.binary() if n == "ids" else pa.int64()) for x, n in zip(rows, schema.names, strict=True)]
+            with np.errstate(over="ignore"):
+                hashed = np.full(len(rows[0]), task, U)
+                for column in columns[:5]:
+                    hashed = mixed(hashed * BASE + column.fill_null(-1).to_numpy(zero_copy_only=False).view(U) + U(1))
+            columns[0] = pa.array((hashed % U(groups)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def together(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop(columns="grp").sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
+        rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         window, offset = packed(rows["length"].to_numpy(), capacity)
         return rows.assign(sequence_id=(int(key[0]) << 32) + window, offset=offset)[result.names]
 
-    pieces = docs.mapInArrow(tokenised, schema)
-    return pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("grp").applyInPandas(together, result)
+    return docs.mapInArrow(tokenised, schema).groupBy("grp").applyInPandas(together, result)

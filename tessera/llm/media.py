@@ -2,14 +2,16 @@
 
 Every text is padded to a payload of 8-bit samples and stored as a grey PNG
 picture, 64 samples wide, in a tar shard in the shared folder. A member's name
-is the digest of its payload; a task stores equal payloads once. Rows carry
+is the digest of its payload, and a digest has one place: that of the first member
+of its name in any shard, to which all rows with that payload point. Rows carry
 digest, shard, offset and length. Metadata columns are filled by range reads
 of the picture's header alone; features by range reads of the member.
 
 A task writes a shard under a name of its attempt and renames it at the end to
 one that depends on the partition only, so a repeated task leaves the same
-shards. Nothing is shuffled. Copies in different partitions are stored once in
-each; their rows agree in every value all the same.
+shards. Payloads are never shuffled, only digests and places. A task writes a
+payload that it knows no place of; so copies in several partitions are written by
+each, and all but the first are members that no row points to.
 
 Cases: null and empty texts are one block of zeros; repeated rows point to one
 member; a null doc_id is kept; an empty table writes nothing; extra columns are
@@ -29,11 +31,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .shared import batches, doc_texts, shared_path, written
 
 WIDTH = 64
+KNOWN = 50_000  # payloads whose places a task keeps in memory
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER = len(SIGNATURE) + 25  # with the IHDR chunk
 INDEX = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("digest", T.StringType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())])
@@ -114,6 +118,8 @@ def store(docs: DataFrame, shard_bytes: int = 256 << 20) -> DataFrame:
                 payload = payload_of(data)
                 digest = hashlib.sha256(payload).digest()
                 if digest not in at:
+                    if len(at) >= KNOWN:
+                        at.clear()
                     picture = to_png(payload)
                     if out is not None and out.tell() + len(picture) > shard_bytes:
                         close()
@@ -131,7 +137,11 @@ def store(docs: DataFrame, shard_bytes: int = 256 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.string() if i in (2, 3) else pa.int64()) for i, x in enumerate(zip(*rows, strict=True))], names=INDEX.names)
         close()
 
-    return written(doc_texts(docs).mapInArrow(run, INDEX), "media-index")
+    index = written(doc_texts(docs).mapInArrow(run, INDEX), "media-index")
+    place = F.struct("shard", "offset", "length")
+    several = index.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("digest", "first")
+    index = index.join(written(several, "media-copies"), "digest", "left")
+    return index.select("doc_id", "n_bytes", "digest", *(F.coalesce(F.col(f"first.{c}"), F.col(c)).alias(c) for c in ("shard", "offset", "length")))
 
 
 class _Reader:
@@ -173,7 +183,7 @@ def with_features(meta: DataFrame) -> DataFrame:
                 if where not in known:
                     picture = reader.read(*where, row["length"])
                     payload = from_png(picture)
-                    if len(known) >= 50_000:
+                    if len(known) >= KNOWN:
                         known.clear()
                     known[where] = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), hashlib.sha256(picture).hexdigest(), feature_of(payload)
                 digest, tail, media, feature = known[where]

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import doc_texts, utf8
+from .shared import doc_texts, slices, utf8
 
 #: A query is True, a trigram, or ("and" | "or", parts).
 Query = bool | str | tuple
@@ -166,22 +166,26 @@ class Index:
 
         for query in queries:
             note(query)
-        self.slot_of = np.full(1 << 24, -1, np.int16)
-        for trigram, slot in self.slots.items():
-            a, b, c = trigram.encode("latin-1")
-            self.slot_of[a << 16 | b << 8 | c] = slot
+        codes = np.array([int.from_bytes(x.encode("latin-1"), "big") for x in self.slots], np.int32)
+        self.order = np.argsort(codes)
+        self.codes = codes[self.order]
+        self.ends = np.zeros(1 << 16, bool)  # the last two bytes of a wanted trigram
+        self.ends[codes & 0xFFFF] = True
 
-    def build(self, data: np.ndarray, offsets: np.ndarray, block: int = 1 << 22) -> None:
+    def build(self, data: np.ndarray, offsets: np.ndarray, block: int = 1 << 19) -> None:
         self.docs = len(offsets) - 1
         self.postings = np.zeros((len(self.slots), self.docs), bool)
         for start in range(0, max(0, len(data) - 2), block):
             part = data[start : start + block + 2]
             part = np.where((part >= 65) & (part <= 90), part + 32, part).astype(np.int32)
-            slots = self.slot_of[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
-            at = np.flatnonzero(slots >= 0)
+            at = np.flatnonzero(self.ends[part[1:-1] << 8 | part[2:]])
+            codes = part[at] << 16 | part[at + 1] << 8 | part[at + 2]
+            place = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+            wanted = self.codes[place] == codes
+            at, slots = at[wanted], self.order[place[wanted]]
             own = np.searchsorted(offsets, at + start, "right") - 1
             inside = at + start + 3 <= offsets[own + 1]  # not across two documents
-            self.postings[slots[at[inside]], own[inside]] = True
+            self.postings[slots[inside], own[inside]] = True
 
     def candidates(self, query: Query) -> np.ndarray:
         if query is True:
@@ -217,10 +221,9 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([rule.query for rule in rules])
-        for batch in items:
-            if batch.num_rows:
-                spans = found_spans(batch.column("text"), index, rules)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], SPAN_ARROW)], names=["doc_id", "spans"])
+        for batch in slices(items):
+            spans = found_spans(batch.column("text"), index, rules)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], SPAN_ARROW)], names=["doc_id", "spans"])
 
     return doc_texts(docs).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("spans", T.ArrayType(SPAN))]))
 
@@ -244,22 +247,21 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", rules: tuple[Rule, ...] = RU
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index([rule.query for rule in rules])
-        for batch in items:
+        for batch in slices(items, place):
             column = batch.column(place)
-            if batch.num_rows:
-                texts: list[str | None] | None = None
-                for i, spans in enumerate(found_spans(column.fill_null(""), index, rules)):
-                    if spans:
-                        texts = texts or column.to_pylist()
-                        parts, at = [], 0
-                        for _, start, end in spans:
-                            if start >= at:
-                                parts += [texts[i][at:start], mask]
-                            at = max(at, end)
-                        texts[i] = "".join([*parts, texts[i][at:]])
-                if texts:
-                    batch = pa.RecordBatch.from_arrays([pa.array(texts, column.type) if k == place else x for k, x in enumerate(batch.columns)], schema=batch.schema)
-                yield batch
+            texts: list[str | None] | None = None
+            for i, spans in enumerate(found_spans(column.fill_null(""), index, rules)):
+                if spans:
+                    texts = texts or column.to_pylist()
+                    parts, at = [], 0
+                    for _, start, end in spans:
+                        if start >= at:
+                            parts += [texts[i][at:start], mask]
+                        at = max(at, end)
+                    texts[i] = "".join([*parts, texts[i][at:]])
+            if texts:
+                batch = pa.RecordBatch.from_arrays([pa.array(texts, column.type) if k == place else x for k, x in enumerate(batch.columns)], schema=batch.schema)
+            yield batch
 
     out = docs.mapInArrow(run, schema)
     return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

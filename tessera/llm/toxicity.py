@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import batches, doc_texts, written
+from .shared import batches, doc_texts, slices, written
 
 # Characters of other scripts and the Latin letters that they resemble.
 LOOKALIKES = str.maketrans("аеорсухікмтнвѕјԁһɡαεοικνρτυχη", "aeopcyxikmthbsjdhgaeoiknptuxn")
@@ -152,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = 20_000) -> Lexico
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in items:
+        for batch in slices(items):
             found = [weigh(text, automaton) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.int64())], names=["toxic", "total", "most", "words"])
 
@@ -194,9 +194,8 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.7) -> Dat
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, curve = lexicon.automaton(), np.array(lexicon.curve)
-        for batch in items:
-            if batch.num_rows:
-                x = np.array([features(*weigh(text or "", automaton)) for text in batch.column(place).to_pylist()])
-                yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))) < threshold))
+        for batch in slices(items, place):
+            x = np.array([features(*weigh(text or "", automaton)) for text in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array(1 / (1 + np.exp(-np.clip(x @ curve, -30, 30))) < threshold))
 
     return docs.mapInArrow(run, schema)

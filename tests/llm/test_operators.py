@@ -169,16 +169,24 @@ def test_suffix_dedup_periodic_texts(spark):
     same(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_repeats(rows))
 
 
-def test_multikey_sort():
+def test_multikey_sort(monkeypatch):
     rng = np.random.default_rng(1)
     keys = [rng.integers(0, 4, 500).astype(np.uint64) for _ in range(4)]
     assert (np.array(keys)[:, suffix_dedup.sorted_order(keys)] == np.array(keys)[:, np.lexsort(keys[::-1])]).all()
+    for small in (1, 7, 100):
+        monkeypatch.setattr(suffix_dedup, "SMALL", small)
+        assert (np.array(keys)[:, suffix_dedup.sorted_order(keys)] == np.array(keys)[:, np.lexsort(keys[::-1])]).all()
 
 
-def test_group_is_sparks(spark):
-    ids = [0, 1, -5, 2**62, 2**63 - 1]
-    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "a long").selectExpr("pmod(xxhash64(a), 37)").collect()]
-    assert got == suffix_dedup.group_of(np.array(ids), 37).tolist()
+def test_splitters_part_equal_leading_bytes():
+    lead, gram = np.array([1, 5, 5, 5, 5, 9], np.uint64), np.array([7, 1, 2, 2, 8, 0], np.uint64)
+    splitters = np.array([0, 5, 5, 6, 9, 10], np.uint64), np.array([3, 0, 2, 1, 1, 0], np.uint64)
+    assert suffix_dedup.bounds_of(lead, gram, splitters).tolist() == [0, 0, 1, 2, 5, 6, 6, 6]
+
+
+def test_suffix_dedup_without_ids(spark):
+    rows = [(None if i % 2 else i, f"{i} begins here " + "a shared passage that is long enough to count as one " * 2 + f"and ends {i}") for i in range(8)] + [(None, "x" * 90), (None, "x" * 95), (-4, "a shared passage that is long enough to count as one too")]
+    same(suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect(), brute_repeats(rows))
 
 
 # 4
@@ -252,6 +260,13 @@ def test_media(docs):
             assert shard.getmember(f"{r.digest}.png").offset_data == r.offset
 
 
+def test_media_has_one_place_for_a_digest(spark, monkeypatch):
+    rows = [(i, f"text {i % 3}") for i in range(60)]
+    index = media.store(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(index) == 60 and len({r.digest for r in index}) == 3
+    assert len({(r.digest, r.shard, r.offset, r.length) for r in index}) == 3
+
+
 # 6
 def brute_groups(rows, words, percent=80):
     sets = []

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import triples as tf
 
+from .phrases import first_holders
+
 TRIPLE = "doc_id long, triple_idx int, s string, r string, o string"
 Extractor = Callable[[str], list[tuple[str, str, str]]]
 
@@ -43,29 +45,34 @@ def filtered(triples: DataFrame, threshold: float = 0.3, mode: str = "penalty")
 
 
 def to_documents(triples: DataFrame, docs: DataFrame) -> DataFrame:
-    """Each triple with the first document that holds its subject or object in any case, or else the first document.
-
-    Candidates come from an index of the documents' character trigrams, restricted to each name's
-    own first trigram, and are verified; names of under three characters are tested in all."""
+    """Each triple with the first document that holds its subject or object in any case, or else the first document."""
     low = docs.select("doc_id", F.lower("text").alias("text"))
     first = docs.agg(F.min("doc_id").alias("doc_id")).first().doc_id
-    names = triples.select(F.explode(F.array(F.lower("s"), F.lower("o"))).alias("name")).where("name <> ''").distinct()
-    index = low.select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length("text") - 2)), lambda i: F.substr("text", i, F.lit(3))))).alias("gram"))
-    long = names.where(F.char_length("name") >= 3).withColumn("gram", F.substring("name", 1, 3))
-    held = index.join(long, "gram").where(F.contains("text", F.col("name"))).select("name", "doc_id")
-    short = names.where(F.char_length("name") < 3)
-    held = held.union(low.join(short, F.contains("text", F.col("name"))).select("name", "doc_id"))
-    at = held.groupBy("name").agg(F.min("doc_id").alias("at"))
+    at = first_holders(low, triples.select(F.explode(F.array(F.lower("s"), F.lower("o"))).alias("phrase")))
     out = triples.drop("doc_id")
     for side in ("s", "o"):
-        out = out.join(at.select(F.col("name").alias(f"_{side}"), F.col("at").alias(f"at_{side}")), F.lower(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
+        out = out.join(at.select(F.col("phrase").alias(f"_{side}"), F.col("doc_id").alias(f"at_{side}")), F.lower(side) == F.col(f"_{side}"), "left").drop(f"_{side}")
     return out.withColumn("doc_id", F.coalesce(F.least("at_s", "at_o"), F.lit(first))).drop("at_s", "at_o")
 
 
+def valid_in_context(triples: DataFrame, texts: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """Triples that their document's text supports well enough."""
+    known = triples.join(texts.select("doc_id", "text"), "doc_id")
+    aligned = tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text"))
+    return known.withColumn("alignment", aligned).where(F.col("alignment") >= threshold).drop("text")
+
+
+def refinement_stats(refined: DataFrame) -> DataFrame:
+    """What a refinement (see ``refined``) came to: mean confidence, low ones, attempts and how they ended."""
+    one = lambda c: F.sum(c.cast("long"))
+    return refined.agg(F.count("*").alias("triples"), F.avg("confidence").alias("mean_confidence"), one(F.col("attempted")).alias("attempted"), one(F.col("succeeded")).alias("succeeded"), one(F.col("attempted") & ~F.col("succeeded")).alias("failed"), F.sum("tokens").alias("tokens"))
+
+
 def refined(triples: DataFrame, texts: DataFrame, refiner: Callable[[str, str, str, str], str], threshold: float = 0.7, token_budget: int = 100_000) -> DataFrame:
     """Triples of low confidence are sent to a refiner while the budget lasts; an answer is kept only if it scores higher.
 
-    The budget is spent in order of the triples within each document, so that no total order over all is needed."""
+    The budget is spent in order of the triples within each document, so that no total order over
+    all is needed: the whole run spends at most the budget times the number of documents."""
     conf = lambda s, r, o: tf.critic_confidence(s, r, o, F.col("text"))
     known = triples.join(texts.select("doc_id", "text"), "doc_id").withColumn("confidence", conf(F.col("s"), F.col("r"), F.col("o")))
     order = Window.partitionBy("doc_id").orderBy("triple_idx").rowsBetween(Window.unboundedPreceding, -1)
@@ -82,7 +89,7 @@ def refined(triples: DataFrame, texts: DataFrame, refiner: Callable[[str, str, s
     asked = asked.withColumn("new_confidence", F.when(new.isNotNull(), conf(new["s"], new["r"], new["o"])))
     better = F.coalesce(F.col("new_confidence") > F.col("confidence"), F.lit(False))
     pick = lambda c: F.when(better, new[c]).otherwise(F.col(c)).alias(c)
-    return asked.select("doc_id", "triple_idx", pick("s"), pick("r"), pick("o"), F.when(better, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.col("ask").alias("attempted"), better.alias("succeeded"))
+    return asked.select("doc_id", "triple_idx", pick("s"), pick("r"), pick("o"), F.when(better, F.col("new_confidence")).otherwise(F.col("confidence")).alias("confidence"), F.col("ask").alias("attempted"), better.alias("succeeded"), F.when(F.col("ask"), cost).otherwise(0).alias("tokens"))
 
 
 def consistent(triples: DataFrame) -> DataFrame:

@@ -13,22 +13,22 @@ def large_enough(figures: DataFrame, least: float = 50.0) -> DataFrame:
 
 
 def aligned(figures: DataFrame, chunks: DataFrame, far: bool = True) -> DataFrame:
-    """figure_id and chunk_id: on the page the chunk nearest by centre, or the first one; else the first on a page beside; else the first of the nearest page.
+    """figure_id and chunk_id: on the page the chunk nearest by centre, or the first one; else the first on a page beside; else the first of the nearest page of the document.
 
-    Only each page's own candidates meet a figure: equi-joins on the page and its neighbours.
-    The fallback looks at one chunk a page."""
+    Figures (doc_id, figure_id, page, bbox) meet chunks (doc_id, chunk_id, page, seq, bbox) of
+    their document and page, or a page beside, alone. The fallback looks at one chunk a page."""
     centre = lambda box: (box[1] + box[3]) / 2
-    c = chunks.select("page", "chunk_id", "seq", centre(F.col("bbox")).alias("cy"))
-    f = figures.select("figure_id", F.col("page").alias("at"), centre(F.col("bbox")).alias("fy"))
-    near = f.withColumn("page", F.explode(F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1))).join(c, "page")
+    c = chunks.select("doc_id", "page", "chunk_id", "seq", centre(F.col("bbox")).alias("cy"))
+    f = figures.select("doc_id", "figure_id", F.col("page").alias("at"), centre(F.col("bbox")).alias("fy"))
+    near = f.withColumn("page", F.explode(F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1))).join(c, ["doc_id", "page"])
     tier = F.when(F.col("page") == F.col("at"), 0).otherwise(1)
     apart = F.when(tier == 0, F.coalesce(F.abs(F.col("fy") - F.col("cy")), F.lit(float("inf")))).otherwise(0.0)
     best = near.groupBy("figure_id").agg(F.min_by("chunk_id", F.struct(tier, apart, F.col("seq"))).alias("chunk_id"))
     if not far:
         return best
-    # A row for each page that has chunks: as many as the document has pages.
-    pages = c.groupBy("page").agg(F.min_by("chunk_id", "seq").alias("chunk_id"), F.min("seq").alias("seq"))
-    rest = f.join(best, "figure_id", "left_anti").join(pages, F.lit(True))
+    # A row for each page of a document that has chunks.
+    pages = c.groupBy("doc_id", "page").agg(F.min_by("chunk_id", "seq").alias("chunk_id"), F.min("seq").alias("seq"))
+    rest = f.join(best, "figure_id", "left_anti").join(pages, "doc_id")
     return best.union(rest.groupBy("figure_id").agg(F.min_by("chunk_id", F.struct(F.abs(F.col("page") - F.col("at")), F.col("seq"))).alias("chunk_id")))
 
 

@@ -84,15 +84,16 @@ def _by_start(scored: DataFrame, claim, schema: str) -> DataFrame:
     return scored.select("query_id", "start", "path", "turn", "visited", "found", "dst", "score").groupBy("query_id", "start").applyInPandas(run, schema)
 
 
-def ranked_paths(paths: DataFrame, edges: DataFrame, similarity: DataFrame, limit: int = 10) -> DataFrame:
-    """Paths by final score within each query, the best ``limit``."""
+def ranked_paths(paths: DataFrame, edges: DataFrame, similarity: DataFrame, limit: int | None = 10) -> DataFrame:
+    """Paths by final score within each query, the best ``limit`` or all."""
     paths = paths.withColumn("path_id", F.xxhash64("query_id", "start", "path"))
     weights = path_weights(paths, edges).select("path_id", "mean_weight")
     best = paths.select("path_id", "query_id", F.explode("path").alias("node")).join(similarity, ["query_id", "node"], "left").groupBy("path_id").agg(F.max(F.coalesce("sim", F.lit(0.0))).alias("query_relevance"))
     out = paths.join(weights, "path_id").join(best, "path_id")
     final = F.col("score") * 0.4 + F.col("mean_weight") * 0.25 + 0.15 / (1 + 0.1 * F.size("path")) + F.col("query_relevance") * 0.2
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "start", "path")
-    return out.withColumn("final_score", final).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).drop("path_id")
+    out = out.withColumn("final_score", final).withColumn("rank", F.row_number().over(order))
+    return (out if limit is None else out.where(F.col("rank") <= limit)).drop("path_id")
 
 
 def confidence(paths: DataFrame) -> DataFrame:

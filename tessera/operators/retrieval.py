@@ -16,18 +16,19 @@ def build_store(chunks: DataFrame, embed: Callable[[Column], Column] = v.hashing
     return chunks.join(texts, chunks["chunk"] == texts["text"]).drop("text")
 
 
-def top_k(store: DataFrame, queries: DataFrame, k: int = 5, broadcast_rows: int = 10_000) -> DataFrame:
-    """The k rows of highest inner product for every query.
+def scores(store: DataFrame, queries: DataFrame, block_rows: int = 65_536) -> DataFrame:
+    """Every row of the store with every query's inner product: (query key, vec_id, score).
 
-    Few queries are broadcast, after they were counted, and every task keeps its own best k of
-    each before anything is shuffled. More queries meet the store in hashed blocks instead."""
+    The store is dealt into blocks by hash and never copied; each block gets the stated queries."""
+    key = queries.columns[0]
+    blocks = max(1, -(-store.count() // block_rows))
+    dealt = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = store.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(dealt, "_block").drop("_block")
+    return met.withColumn("score", v.dot(F.col("q"), F.col("emb"))).select(key, "vec_id", "score")
+
+
+def top_k(store: DataFrame, queries: DataFrame, k: int = 5, block_rows: int = 65_536) -> DataFrame:
+    """The k rows of highest inner product for every query. Every task keeps its own best k of each query before anything is shuffled."""
     key = queries.columns[0]
-    if queries.count() <= broadcast_rows:
-        met = store.join(F.broadcast(queries), F.lit(True))
-    else:
-        blocks = 64
-        dealt = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = store.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).join(dealt, "_block").drop("_block")
-    scored = met.withColumn("score", v.dot(F.col("q"), F.col("emb"))).select(key, "vec_id", "score")
     order = Window.partitionBy(key).orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scores(store, queries, block_rows).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

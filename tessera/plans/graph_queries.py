@@ -9,8 +9,8 @@ from tessera.functions import relations as rel
 from tessera.functions import text as fn
 from tessera.functions import triples as tf
 from tessera.functions import vectors as vf
-from tessera.operators import linking, paths, weighting
-from tessera.session import table
+from tessera.operators import chunking, linking, paths, questions, retrieval, weighting
+from tessera.session import cut_lineage, table
 
 from .registry import query
 
@@ -300,6 +300,65 @@ def _multihop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.answers(paths.multi_hop(*_search(spark, sf_dir)))
 
 
+# --- questions --------------------------------------------------------------------------------
+ASKED_CHUNKS = """nodes AS (SELECT n_name AS node, ['chunk_' || n_nationkey, 'chunk_r' || n_regionkey] AS chunk_ids FROM nation UNION ALL SELECT r_name, [] FROM region),
+asked AS (SELECT n_nationkey AS query_id, n_name AS chunk_id FROM nation UNION SELECT n_nationkey, 'chunk_' || n_nationkey FROM nation UNION SELECT n_nationkey + 100, 'chunk_r' || n_regionkey FROM nation
+  UNION SELECT n_nationkey + 200, 'doc_' || lower(n_name) || '_chunk3' FROM nation UNION SELECT n_nationkey + 300, lower(substr(n_name, 2, 5)) FROM nation UNION SELECT n_nationkey + 400, lower(substr(n_name, 1, 3)) FROM nation)"""
+
+
+@query("chunk_nodes", f"""WITH {ASKED_CHUNKS} SELECT DISTINCT query_id, node FROM asked JOIN nodes ON CASE WHEN chunk_id IN (SELECT node FROM nodes) THEN chunk_id = node
+  ELSE list_contains(chunk_ids, chunk_id) OR (length(node) >= 5 AND contains(lower(chunk_id), lower(node))) OR (length(chunk_id) >= 5 AND contains(lower(node), lower(chunk_id))) END""")
+def _chunk_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk ids of all kinds, by name, list and part, resolved to the nodes of nations and regions."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    key, name = F.col("n_nationkey").cast("long"), F.col("n_name")
+    chunk = lambda prefix, c: F.concat(F.lit(f"chunk_{prefix}"), F.col(c).cast("string"))
+    nodes = nation.select(name.alias("node"), F.array(chunk("", "n_nationkey"), chunk("r", "n_regionkey")).alias("chunk_ids")).union(region.select("r_name", F.array().cast("array<string>")))
+    kinds = [(0, name), (0, chunk("", "n_nationkey")), (100, chunk("r", "n_regionkey")), (200, F.concat(F.lit("doc_"), F.lower(name), F.lit("_chunk3"))), (300, F.lower(F.substring(name, 2, 5))), (400, F.lower(F.substring(name, 1, 3)))]
+    asked = nation.select(F.explode(F.array(*[F.struct((key + n).alias("query_id"), c.alias("chunk_id")) for n, c in kinds])).alias("x")).select("x.*")
+    return questions.nodes_of_chunks(asked, nodes)
+
+
+def question_set(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Questions about each region, the weighted graph, its nodes, and a retrieval store of a text for each nation with its mapping."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    asked = region.select(F.col("r_regionkey").cast("long").alias("query_id"), F.format_string("Which nations are part of %s?", "r_name").alias("question"))
+    docs = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("doc_id"), "n_name", F.format_string("%s is one of the nations that are part of %s.", "n_name", "r_name").alias("text"))
+    chunks = cut_lineage(chunking.dual_chunks(docs.drop("n_name")), "chunks")
+    store = retrieval.build_store(chunks.where("chunk_type = 'semantic'"))
+    edges = weighting.weighted_graph(geo_triples(spark, sf_dir))
+    held = chunks.where("chunk_type = 'structural'").join(docs.select("doc_id", "n_name"), "doc_id").select(F.col("n_name").alias("node"), "chunk_id")
+    names = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    nodes = cut_lineage(names.join(held.groupBy("node").agg(F.collect_set("chunk_id").alias("chunk_ids")), "node", "left").withColumn("chunk_ids", F.coalesce("chunk_ids", F.array().cast("array<string>"))), "nodes")
+    return asked, cut_lineage(edges, "graph"), nodes, store, chunking.overlapping(chunks)
+
+
+@query("question_entities")
+def _question_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nodes of the graph most like each question."""
+    asked, _, nodes, _, _ = question_set(spark, sf_dir)
+    return questions.nodes_for_questions(asked, nodes)
+
+
+@query("answered_questions")
+def _answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From question to answer, over all of the graph and the store."""
+    return questions.answer(*question_set(spark, sf_dir)).select("query_id", "question", "answer", "documents", F.round("confidence", 6).alias("confidence"))
+
+
+@query("sample_questions")
+def _sample_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return questions.sample_questions(table(spark, sf_dir, "documents"), weighting.weighted_graph(geo_triples(spark, sf_dir)), 30)
+
+
+@query("precomputed_paths")
+def _precomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths of sample questions, merged into the graph as support of its edges."""
+    _, edges, nodes, _, _ = question_set(spark, sf_dir)
+    found = questions.precomputed_paths(table(spark, sf_dir, "documents"), edges, nodes)
+    return paths.merge_paths(edges, found).where("path_support > 0").select("src", "dst", "relation", "path_support")
+
+
 # --- vectors ----------------------------------------------------------------------------------
 UNIT = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS e FROM embeddings)"
 
@@ -318,9 +377,7 @@ def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_topk", f"WITH {UNIT}, q AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(e) AS x, unnest(range(len(e))) AS i FROM u) GROUP BY 1, 2) GROUP BY 1), s AS (SELECT q.label AS query_label, vec_id, list_inner_product(c, e) AS score FROM q, u) SELECT query_label, vec_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY round(score, 9) DESC, vec_id) AS k FROM s) WHERE k <= 5")
 def _topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five vectors nearest to each label's centroid; centroids are a row a label."""
-    from tessera.operators.retrieval import top_k
-
     unit = table(spark, sf_dir, "embeddings").select("vec_id", "label", vf.l2_normalize(F.col("embedding")).alias("emb"))
     means = unit.select("label", F.posexplode("emb").alias("i", "x")).groupBy("label", "i").agg(F.avg("x").alias("m"))
     centroids = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda x: x["m"]).alias("q")).withColumnRenamed("label", "query_label")
-    return top_k(unit, centroids, 5).select("query_label", "vec_id", F.round("score", 6).alias("score"))
+    return retrieval.top_k(unit, centroids, 5).select("query_label", "vec_id", F.round("score", 6).alias("score"))

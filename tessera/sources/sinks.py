@@ -1,7 +1,10 @@
 """Sinks: idempotent tables, reports, notes and graph exports.
 
-Tables are written beside the old ones and then swapped in, so no job overwrites
-what it reads, and running a write again changes nothing.
+A table is a folder of versions and a pointer, the name of the newest whole one. A
+write adds a version and then moves the pointer in one rename, so readers always
+find a whole table, no job overwrites what it reads, and running a write again
+changes nothing. Pointers are numbered and the highest counts, so a crash between
+two steps leaves the old table.
 """
 
 from __future__ import annotations
@@ -22,25 +25,56 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     files, at, _ = _files(spark, path)
     return files.exists(at)
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside and swaps; the old table is there until the new one is whole."""
-    spark = df.sparkSession
-    new, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the whole versions, oldest first."""
+    files, at, _ = _files(spark, path)
+    if not files.exists(at):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(at)]
+    return sorted(n for n in names if n.startswith("v"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path))
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table."""
+    return spark.read.parquet(f"{path}/{_versions(spark, path)[-1]}")
+
+
+def _add_version(df: DataFrame, path: str) -> list[str]:
+    """Writes a version beside the others; a rename makes it the newest. Names of all."""
+    spark, new = df.sparkSession, f"{path}/_{uuid.uuid4().hex}"
     df.write.parquet(new)
-    files, at, of = _files(spark, path)
-    if files.exists(at):
-        files.rename(at, of(old))
-    files.rename(of(new), at)
-    files.delete(of(old), True)
+    known = _versions(spark, path)
+    name = f"v{int(known[-1][1:]) + 1 if known else 0:012d}"
+    files, at, of = _files(spark, new)
+    if files.exists(of(f"{path}/{name}")) or not files.rename(at, of(f"{path}/{name}")):
+        raise RuntimeError(f"another writer took version {name} of {path}")
+    return [*known, name]
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """A new version of the whole table. The ``keep`` newest stay for those who read them."""
+    files, _, of = _files(df.sparkSession, path)
+    for name in _add_version(df, path)[:-keep]:
+        files.delete(of(f"{path}/{name}"), True)
+
+
+def read_all(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """All versions together, of a table to which rows are only added."""
+    found = [f"{path}/{name}" for name in _versions(spark, path)]
+    return spark.read.parquet(*found) if found else spark.createDataFrame([], like.schema)
 
 
 def read_or_empty(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], like.schema)
+    return read_table(spark, path) if exists(spark, path) else spark.createDataFrame([], like.schema)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,9 +92,22 @@ def upsert_edges(spark: SparkSession, edges: DataFrame, path: str, cutoff: float
 
 
 def insert_if_absent(spark: SparkSession, rows: DataFrame, path: str, key: str) -> None:
-    """Appends rows whose key the table doesn't hold."""
-    fresh = rows.dropDuplicates([key]).join(read_or_empty(spark, path, rows).select(key), key, "left_anti").select(*rows.columns)
-    fresh.write.mode("append").parquet(path)
+    """Adds rows whose key the table doesn't hold, as a version that has these alone; ``read_all`` reads the table."""
+    _add_version(rows.dropDuplicates([key]).join(read_all(spark, path, rows).select(key), key, "left_anti").select(*rows.columns), path)
+
+
+def upsert_figures(spark: SparkSession, figures: DataFrame, links: DataFrame, chunks: DataFrame, path: str) -> None:
+    """Figures by id into a table, and the links to chunks that exist into one beside it."""
+    kept = links.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").select("figure_id", "chunk_id").distinct()
+    replace_table(upserted(read_or_empty(spark, f"{path}/figures", figures), figures, ["figure_id"]), f"{path}/figures")
+    old = read_or_empty(spark, f"{path}/aligned_with", kept)
+    replace_table(old.unionByName(kept).distinct(), f"{path}/aligned_with")
+
+
+def with_provenance(edges: DataFrame, title: str) -> DataFrame:
+    """Edges without a source get the document's title, those without a section 'unknown', those without a confidence 1."""
+    have = lambda c, kind: F.col(c) if c in edges.columns else F.lit(None).cast(kind)
+    return edges.withColumns({"source_paper": F.coalesce(have("source_paper", "string"), F.lit(title)), "section": F.coalesce(have("section", "string"), F.lit("unknown")), "confidence": F.coalesce(have("confidence", "double"), F.lit(1.0))})
 
 
 def upsert_files(spark: SparkSession, files: DataFrame, path: str) -> None:
@@ -72,12 +119,22 @@ def upsert_files(spark: SparkSession, files: DataFrame, path: str) -> None:
     replace_table(kept.unionByName(now.join(old.select("file_hash"), "file_hash", "left_anti").select(*now.columns)), path)
 
 
+def parsed_files(sections: DataFrame) -> DataFrame:
+    """One record for each parsed file: its metadata, its sections in order, and their number."""
+    section = F.struct("section_index", "section", "text")
+    own = F.transform(F.array_sort(F.collect_list(section)), lambda x: F.struct(x["section"].alias("section"), x["text"].alias("text")))  # bounded by one file
+    found = sections.where("status = 'success'").groupBy("path", "title", "source_format").agg(own.alias("documents"))
+    return found.select("path", F.struct("title", "source_format").alias("metadata"), "documents", F.size("documents").alias("count"), F.current_timestamp().alias("created_at"))
+
+
 def save_documents(docs: DataFrame, path: str) -> None:
     docs.write.json(path)
 
 
-def save_by_source(sections: DataFrame, path: str) -> None:
-    sections.write.partitionBy("source_format").json(path)
+def save_by_path(sections: DataFrame, path: str) -> None:
+    """Parsed files as JSON, a folder for each file's path."""
+    found = parsed_files(sections)
+    found.withColumn("file", F.sha2("path", 256).substr(1, 16)).write.partitionBy("file").json(path)
 
 
 def save_errors(sections: DataFrame, path: str) -> None:

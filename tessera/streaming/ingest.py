@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tessera.functions.text import text_hash
 from tessera.operators.dedup import first_of_each
-from tessera.sources.sinks import exists
+from tessera.sources.sinks import path_exists
 
 
 def document_stream(spark: SparkSession, folder: str, schema: str, files_per_trigger: int = 16) -> DataFrame:
@@ -23,7 +23,7 @@ def ingest_new(stream: DataFrame, registry: str, output: str, checkpoint: str) -
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = first_of_each(batch, text_hash(F.col("text")), F.col("doc_id")).withColumn("text_hash", text_hash(F.col("text")))
-        if exists(spark, registry):
+        if path_exists(spark, registry):
             known = spark.read.option("basePath", registry).parquet(registry)
             rows = rows.join(known.where(F.col("batch") != number).select("text_hash"), "text_hash", "left_anti")
         rows.write.mode("overwrite").parquet(f"{output}/batch={number}")

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import relations, text, triples, vectors
-from tessera.operators import chunking, dedup, extraction, figures, linking, paths, quality, weighting
+from tessera.operators import chunking, dedup, extraction, figures, linking, paths, phrases, quality, questions, retrieval, weighting
 from tessera.operators.components import connected_components
 from tessera.plans.config import merged, settings
 from tessera.plans.graph_build import build_with_retrieval
@@ -95,6 +95,19 @@ def test_intra_by_counts_equals_pairs(spark):
     assert got == pytest.approx(want)
 
 
+def test_phrases_in_texts(spark):
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice(["alpha", "be", "gamma-ray", "d", "ein", "eine", "x.y"]) + draw.choice(["", "", ",", "\n"]) for _ in range(draw.randrange(25))) for _ in range(60)] + ["", None]
+    known = ["alpha", "lph", "be", "e", "d", "ein eine", "a-ray, d", "ein be d", "pha be d ei", "be  be", "gamma-ray alpha be d ein eine x.y alpha be d e", "no such phrase here", "zz", " ", " be", ""] + [t[2:40] for t in texts if t and len(t) > 45]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(p,) for p in known], "phrase string")
+    want = {(p, i) for p in known if p.strip() for i, t in enumerate(texts) if t and p in t}
+    got = [tuple(r) for r in phrases.holders(docs, asked).collect()]
+    assert set(got) == want and len(got) == len(want)
+    first = {p: min(i for q, i in want if q == p) for p, _ in want}
+    assert {r.phrase: r.doc_id for r in phrases.first_holders(docs, asked).collect()} == first
+
+
 @pytest.mark.parametrize("threshold", [0.11, 0.33, 0.5])
 def test_inter_by_counts_equals_pairs(spark, threshold):
     draw = random.Random(5)
@@ -171,6 +184,59 @@ def test_beam_search(spark, most):
     assert [r["rank"] for r in sorted(ranked, key=lambda r: -r.final_score)] == [1, 2, 3, 4, 5]
 
 
+def unit(text):
+    return vectors.embedded(text)
+
+
+def near(a, b):
+    return sum(x * y for x, y in zip(unit(a), unit(b), strict=True))
+
+
+def test_nodes_for_questions(spark):
+    names = [f"node {c}{i}" for c in "abcdef" for i in range(9)]
+    asked = [(1, "what is node c4?"), (2, "tell me of f8 and a1")]
+    nodes = spark.createDataFrame([(n, []) for n in names], "node string, chunk_ids array<string>")
+    got = {(r.query_id, r.node) for r in questions.nodes_for_questions(spark.createDataFrame(asked, "query_id long, question string"), nodes).collect()}
+    assert got == {(q, n) for q, text in asked for n in sorted(names, key=lambda n: (-round(near(text, n), 9), n))[:5]}
+
+
+def test_sample_questions(spark):
+    docs = spark.createDataFrame([(1, "A first sentence of a text. More."), (2, "Short."), (3, "No end " * 40)], "doc_id long, text string")
+    edges = spark.createDataFrame([("hub", x, "r" if x != "b" else None, w) for x, w in (("a", 0.1), ("b", 0.9), ("c", 0.5))], "src string, dst string, relation string, weight double")
+    got = {r.question for r in questions.sample_questions(docs, edges, 6).collect()}
+    every = {"What is hub?", "How does hub work?", "What is a?", "How does a work?", "What is b?", "How does b work?", "A first sentence of a text", ("No end " * 40).strip()[:100], "How is hub related to b?", "How is hub r c?"}
+    assert len(got) == 6 and got <= every
+    assert {r.question for r in questions.sample_questions(docs, edges, 60).collect()} >= every
+
+
+def test_question_to_answer(spark):
+    edges = [("lava", "volcano", 0.9), ("basalt", "lava", 0.8), ("ash", "volcano", 0.3), ("glacier", "ice", 0.7), ("ice", "water", 0.6)]
+    texts = {1: "A volcano throws out lava and ash.", 2: "A glacier is made of ice.", 3: "Nothing of this kind at all."}
+    df = spark.createDataFrame([(a, b, "r", w) for a, b, w in edges], "src string, dst string, relation string, weight double")
+    chunks = chunking.dual_chunks(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    graph = {r.doc_id: r.chunk_id for r in chunks.where("chunk_type = 'structural'").collect()}
+    of = {"volcano": [graph[1]], "lava": [graph[1]], "glacier": [graph[2]]}
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    nodes = spark.createDataFrame([(n, of.get(n, [])) for n in names], "node string, chunk_ids array<string>")
+    asked = [(1, "What does a volcano throw out?"), (2, "Is a glacier made of ice?"), (3, "Nothing of this kind at all?")]
+    store = retrieval.build_store(chunks.where("chunk_type = 'semantic'"))
+    out = {r.query_id: r for r in questions.answer(spark.createDataFrame(asked, "query_id long, question string"), df, nodes, store, chunking.overlapping(chunks), top_k=1, max_steps=3).collect()}
+    weight = {frozenset(e[:2]): e[2] for e in edges}
+    for q, text in asked:
+        best = max(texts, key=lambda d: near(text, texts[d]))
+        sims = {n: near(text, n) for n in names}
+        starts = [n for n in names if graph[best] in of.get(n, [])] or sorted(names, key=lambda n: (-round(sims[n], 9), n))[:5]
+        found = [(s, p, x) for s in starts for p, x in beam(edges, sims, s, 3, 2, 50)]
+        if sum(x for _, _, x in found) / len(found) < 0.7:
+            found = [(s, p, x) for s in starts for p, x in beam(edges, sims, s, 5, 2, 50)]
+        scored = []
+        for s, p, x in found:
+            steps = [weight[frozenset(e)] for e in zip(p, p[1:], strict=False)]
+            scored.append((-(0.4 * x + 0.25 * sum(steps) / len(steps) + 0.15 / (1 + 0.1 * len(p)) + 0.2 * max(sims[n] for n in p)), s, p))
+        lines = [f"{' → '.join(p)} ({-x:.3f})" for x, _, p in sorted(scored)[:3]]
+        assert out[q].answer == "\n".join(lines) and out[q].documents == texts[best] + "..."
+
+
 def test_fuzzy_pairs(spark):
     base = "the cat sat on the mat and looked at the moon for a long time before it went to sleep again "
     docs = spark.createDataFrame([(1, base * 2), (2, base * 2 + "!"), (3, base * 2), (4, "the other text entirely"), (5, "")], "doc_id long, text string")
@@ -213,10 +279,10 @@ def test_quality(spark):
 
 
 def test_figures(spark):
-    f = spark.createDataFrame([(1, 1, [0.0, 0.0, 60.0, 60.0]), (2, 2, [0.0, 0.0, 60.0, 60.0]), (3, 9, [0.0, 0.0, 10.0, 60.0])], "figure_id int, page int, bbox array<double>")
-    c = spark.createDataFrame([("a", 1, [0.0, 500.0, 1.0, 600.0], 0), ("b", 1, [0.0, 40.0, 1.0, 60.0], 1), ("c", 3, None, 2), ("d", 3, None, 3)], "chunk_id string, page int, bbox array<double>, seq int")
-    assert {r.figure_id: r.chunk_id for r in figures.aligned(f, c).collect()} == {1: "b", 2: "a", 3: "c"}
-    assert figures.large_enough(f).count() == 2
+    f = spark.createDataFrame([(7, 1, 1, [0.0, 0.0, 60.0, 60.0]), (7, 2, 2, [0.0, 0.0, 60.0, 60.0]), (7, 3, 9, [0.0, 0.0, 10.0, 60.0]), (8, 4, 1, [0.0, 0.0, 60.0, 60.0]), (9, 5, 1, [0.0, 0.0, 60.0, 60.0])], "doc_id int, figure_id int, page int, bbox array<double>")
+    c = spark.createDataFrame([(7, "a", 1, [0.0, 500.0, 1.0, 600.0], 0), (7, "b", 1, [0.0, 40.0, 1.0, 60.0], 1), (7, "c", 3, None, 2), (7, "d", 3, None, 3), (8, "e", 5, None, 4)], "doc_id int, chunk_id string, page int, bbox array<double>, seq int")
+    assert {r.figure_id: r.chunk_id for r in figures.aligned(f, c).collect()} == {1: "b", 2: "a", 3: "c", 4: "e"}
+    assert figures.large_enough(f).count() == 4
 
 
 def test_validator(spark):
@@ -274,15 +340,21 @@ def test_json_documents(spark, tmp_path):
 def test_upserts(spark, tmp_path):
     path = str(tmp_path / "edges")
     edges = lambda rows: spark.createDataFrame(rows, "src string, dst string, relation string, weight double")
+    assert sinks.with_provenance(edges([("a", "b", "r", 0.5)]), "Paper").select("source_paper", "section", "confidence").first() == ("Paper", "unknown", 1.0)
+    figures_at, links = spark.createDataFrame([(1, "x"), (2, "y")], "figure_id long, type string"), spark.createDataFrame([(1, "c1"), (2, "gone")], "figure_id long, chunk_id string")
+    for _ in range(2):
+        sinks.upsert_figures(spark, figures_at, links, spark.createDataFrame([("c1",)], "chunk_id string"), str(tmp_path / "fig"))
+    assert sinks.read_table(spark, str(tmp_path / "fig/figures")).count() == 2 and sinks.read_table(spark, str(tmp_path / "fig/aligned_with")).collect() == [(1, "c1")]
     assert tuple(sinks.upsert_edges(spark, edges([("a", "b", "r", 0.5), ("a", "c", "r", 0.035)]), path).first()) == (1, 1)
     sinks.upsert_edges(spark, edges([("a", "b", "r", 0.7), ("b", "c", "r", 0.2)]), path)
     sinks.upsert_edges(spark, edges([("a", "b", "r", 0.7), ("b", "c", "r", 0.2)]), path)
-    assert sorted((r.src, r.dst, r.weight) for r in spark.read.parquet(path).collect()) == [("a", "b", 0.7), ("b", "c", 0.2)]
+    assert sorted((r.src, r.dst, r.weight) for r in sinks.read_table(spark, path).collect()) == [("a", "b", 0.7), ("b", "c", 0.2)]
     rows = dedup.content_records(spark.createDataFrame([(1, "x"), (2, "x"), (3, "y")], "doc_id long, text string"))
     for _ in range(2):
         sinks.insert_if_absent(spark, rows, str(tmp_path / "content"), "text_hash")
-    assert sinks.is_unique(spark.read.parquet(str(tmp_path / "content")), "text_hash")
-    sinks.export_graph(spark.read.parquet(path), str(tmp_path / "nt"), "ntriples")
+    held = sinks.read_all(spark, str(tmp_path / "content"), rows)
+    assert sinks.is_unique(held, "text_hash") and held.count() == 2
+    sinks.export_graph(sinks.read_table(spark, path), str(tmp_path / "nt"), "ntriples")
     assert "<urn:entity:a> <urn:entity:r> <urn:entity:b> ." in (tmp_path / "nt").glob("*.txt").__next__().read_text()
 
 

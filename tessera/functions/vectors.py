@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -32,15 +30,52 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b) + F.lit(1e-9))
 
 
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1).astype(np.uint32)
+    return table
+
+
+CRC = _crc_table()
+CHARS = 1 << 18  # characters embedded at once
+
+
+def _embedded(plain: list[str], dims: int, n: int) -> np.ndarray:
+    joined = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), np.uint32)
+    data = np.frombuffer("".join(plain).encode("utf-8", "surrogatepass"), np.uint8)
+    widths = 1 + (joined > 0x7F) + (joined > 0x7FF) + (joined > 0xFFFF)
+    at = np.concatenate([[0], np.cumsum(widths)])  # where each character's bytes begin
+    sizes = np.array([len(x) for x in plain])
+    grams = np.where(sizes >= n, sizes - n + 1, 1)
+    row = np.repeat(np.arange(len(plain)), grams)
+    first = np.repeat(np.cumsum(sizes) - sizes, grams) + np.arange(grams.sum()) - np.repeat(np.cumsum(grams) - grams, grams)
+    begin, end = at[first], at[np.minimum(first + n, np.repeat(np.cumsum(sizes), grams))]
+    crc = np.full(len(row), 0xFFFFFFFF, np.uint32)
+    for k in range(int((end - begin).max(initial=0))):
+        own = begin + k < end
+        crc[own] = CRC[(crc[own] ^ data[begin[own] + k]) & 0xFF] ^ (crc[own] >> np.uint32(8))
+    crc ^= np.uint32(0xFFFFFFFF)
+    signs = np.where(crc >> np.uint32(20) & 1, 1.0, -1.0)
+    sums = np.bincount(row * dims + crc % dims, signs, len(plain) * dims).reshape(-1, dims)
+    norms = np.sqrt((sums * sums).sum(1, keepdims=True))
+    return sums / np.where(norms > 1e-9, norms, 1.0)
+
+
+def embedded_all(texts: list[str | None], dims: int = 64, n: int = 3) -> np.ndarray:
+    """Signed counts of hashed character n-grams, of unit length, a row for each text."""
+    plain = [(text or "").lower() for text in texts]
+    out, start, held = [np.zeros((0, dims))], 0, 0
+    for i, text in enumerate(plain):
+        held += len(text)
+        if held >= CHARS or i + 1 == len(plain):
+            out.append(_embedded(plain[start : i + 1], dims, n))
+            start, held = i + 1, 0
+    return np.concatenate(out)
+
+
 def embedded(text: str | None, dims: int = 64, n: int = 3) -> list[float]:
-    """Signed counts of hashed character n-grams, of unit length."""
-    plain = (text or "").lower()
-    sums = np.zeros(dims)
-    for i in range(max(1, len(plain) - n + 1)):
-        h = zlib.crc32(plain[i : i + n].encode())
-        sums[h % dims] += 1.0 if h >> 20 & 1 else -1.0
-    size = float(np.sqrt((sums * sums).sum()))
-    return (sums / size if size > 1e-9 else sums).tolist()
+    return embedded_all([text], dims, n)[0].tolist()
 
 
 def hashing_embedding(x: Column, dims: int = 64, n: int = 3) -> Column:
@@ -48,6 +83,6 @@ def hashing_embedding(x: Column, dims: int = 64, n: int = 3) -> Column:
 
     @F.pandas_udf("array<double>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: embedded(text, dims, n))
+        return pd.Series(list(embedded_all(texts.tolist(), dims, n)), index=texts.index, dtype="object")
 
     return run(x)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import dealt_anew, remove, shared_path, written
+from tessera.session import dealt_anew, remove, shared_path, sized, written
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     spark = links.sparkSession
     path = shared_path(spark, "edges")
     edges = written(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), path)
-    state = None
+    rows, state = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(dealt_anew("u"), "m")
@@ -27,10 +27,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m")).select(dealt_anew("u"), "m")
         moved = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before, path = path, shared_path(spark, "edges")
-        edges = written(moved.union(least.select("u", "m")).where("u <> v").distinct(), path)
+        edges = written(sized(moved.union(least.select("u", "m")).where("u <> v").distinct(), rows), path)  # a round makes no more links than there were
         remove(spark, before)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state:
             break
-        state = now
+        rows, state = now.n, now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 from tessera.functions import vectors as v
 
+from . import models
+
 # Issues of high and of medium severity.
 HIGH = ("missing_subject", "contradiction", "structural_damage")
 MEDIUM = ("missing_visual",)
@@ -19,12 +24,15 @@ def line_count(x: Column) -> Column:
     return F.size(F.filter(F.split(x, "\n"), lambda line: fn.stripped(line) != ""))
 
 
-def issues(text: Column, embedding: Column | None = None) -> Column:
-    """Names of what is wrong with a text; the norm and line similarity tests need an embedding or use the hashing one."""
+def issues(text: Column, embedding: Column | None = None, repeats: Column | None = None) -> Column:
+    """Names of what is wrong with a text, with the test of an embedding's norm and of whether lines repeat, if they are known."""
     empty = F.coalesce(fn.stripped(text), F.lit("")) == ""
-    found = [F.when(empty, "empty"), F.when(~empty & (line_count(text) < 3), "too_short")]
+    found = [F.when(empty, "empty")]
     if embedding is not None:
         found.append(F.when(~empty & (v.norm(embedding) / 0.5 < 0.6), "too_abstract"))
+    found.append(F.when(~empty & (line_count(text) < 3), "too_short"))
+    if repeats is not None:
+        found.append(F.when(~empty & repeats, "potential_contradiction"))
     return F.array_compact(F.array(*found))
 
 
@@ -33,12 +41,11 @@ def repeats_lines(text: Column, lines: int = 5, threshold: float = 0.98) -> Colu
 
     @F.pandas_udf("boolean")
     def run(texts: pd.Series) -> pd.Series:
-        def repeats(value: str | None) -> bool:
-            head = [line for line in (value or "").split("\n") if line.strip()][:lines]
-            vectors = [v.embedded(line) for line in head]
-            return any(sum(x * y for x, y in zip(a, b, strict=True)) > threshold for a, b in zip(vectors, vectors[1:], strict=False))
-
-        return texts.map(repeats)
+        heads = [[line.strip() for line in (value or "").split("\n") if line.strip()][:lines] for value in texts]
+        of = np.repeat(np.arange(len(heads)), [len(head) for head in heads])
+        vectors = v.embedded_all([line for head in heads for line in head])
+        alike = (vectors[1:] * vectors[:-1]).sum(1) > threshold
+        return pd.Series(np.isin(np.arange(len(heads)), of[1:][alike & (of[1:] == of[:-1])]), index=texts.index)
 
     return run(text)
 
@@ -57,9 +64,19 @@ def needs_model_check(text: Column) -> Column:
     return text.rlike("(?i)\\b(however|therefore|moreover)\\b") | (F.regexp_count(text, F.lit("。")) > 10) | (F.regexp_count(text, F.lit("[,、]")) > 20)
 
 
-def routed(docs: DataFrame) -> DataFrame:
-    """Documents with issues, severity and where they go."""
-    out = docs.withColumn("issues", issues(F.col("text")))
+def routed(docs: DataFrame, embed: Callable[[Column], Column] | None = None, check: Callable[[str], str] | None = None) -> DataFrame:
+    """Documents with issues, severity and where they go.
+
+    ``embed`` adds the tests that need an embedding. ``check``, a model that answers in JSON, is
+    asked about documents that have an issue already, and adds its own."""
+    text = F.col("text")
+    if embed is None:
+        out = docs.withColumn("issues", issues(text))
+    else:
+        out = docs.withColumns({"_emb": embed(text), "_repeats": repeats_lines(text)}).withColumn("issues", issues(text, F.col("_emb"), F.col("_repeats"))).drop("_emb", "_repeats")
+    if check is not None:
+        out = out.withColumn("_said", models.called(F.when(F.size("issues") > 0, text), models.with_retries(check)))
+        out = out.withColumn("issues", F.array_distinct(F.concat("issues", models.issues_in(F.col("_said"))))).drop("_said")
     return out.withColumns({"severity": severity(F.col("issues")), "route": F.when(F.size("issues") == 0, "clean").otherwise("flagged")})
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
-from tessera.operators import chunking, dedup, quality
+from tessera.operators import chunking, dedup, models, quality
 from tessera.session import table
 
 from .registry import query
@@ -148,6 +148,18 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").groupBy("route", "quality").agg(F.count("*").alias("docs"))
 
 
+@query("quality_deep", f"""WITH documents AS (SELECT d.doc_id, CASE WHEN doc_id % 3 = 0 THEN lower(text) ELSE text END || CASE WHEN doc_id % 5 = 0 THEN ' (' ELSE '' END || CASE WHEN doc_id % 7 = 0 THEN ' See figure 1.' ELSE '' END AS text FROM main.documents d), i AS ({ISSUES}), a AS (SELECT doc_id, list_filter([issue, CASE WHEN issue <> '' AND regexp_matches(text, '^\\p{{Ll}}') THEN 'missing_subject' ELSE '' END,
+  CASE WHEN issue <> '' AND length(replace(text, '(', '')) <> length(replace(text, ')', '')) THEN 'structural_damage' ELSE '' END, CASE WHEN issue <> '' AND contains(lower(text), 'figure') THEN 'missing_visual' ELSE '' END], lambda x: x <> '') AS f FROM i)
+SELECT doc_id, array_to_string(f, ', ') AS issues, CASE WHEN list_contains(f, 'missing_subject') OR list_contains(f, 'structural_damage') THEN 'high' WHEN list_contains(f, 'missing_visual') THEN 'medium' ELSE 'low' END AS severity, CASE WHEN len(f) = 0 THEN 'clean' ELSE 'flagged' END AS route FROM a""")
+def _deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues with those that the stand-in model finds in flagged documents. Every third text begins in lower case, every fifth lacks a bracket, every seventh speaks of a figure."""
+    k = F.col("doc_id")
+    text = F.when(k % 3 == 0, F.lower("text")).otherwise(F.col("text"))
+    text = F.concat(text, F.when(k % 5 == 0, " (").otherwise(""), F.when(k % 7 == 0, " See figure 1.").otherwise(""))
+    docs = table(spark, sf_dir, "documents").withColumn("text", text)
+    return quality.routed(docs, check=models.plain_check).select("doc_id", F.concat_ws(", ", "issues").alias("issues"), "severity", "route")
+
+
 @query("conversation_nav", "SELECT conv_id, turn, row_number() OVER w - 1 AS position, count(*) OVER (PARTITION BY conv_id) AS total, lag(role) OVER w AS previous, lead(role) OVER w AS next FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
 def _navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.neighbours(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role").select("conv_id", "turn", F.col("position").cast("long").alias("position"), "total", "previous", "next")

@@ -51,6 +51,11 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame, rows: int, each: int = 1 << 20) -> DataFrame:
+    """The frame in no more partitions than so many rows call for, or than there are cores: small tables make few tasks and few files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def cut_lineage(df: DataFrame, name: str) -> DataFrame:
     """The frame as a table under a name of its own in the shared folder, read again."""
     return written(df, shared_path(df.sparkSession, name))

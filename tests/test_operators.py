@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import relations, text, triples, vectors
-from tessera.operators import chunking, dedup, extraction, figures, linking, paths, phrases, quality, questions, retrieval, weighting
+from tessera.operators import chunking, dedup, extraction, figures, linking, models, paths, phrases, quality, questions, retrieval, weighting
 from tessera.operators.components import connected_components
 from tessera.plans.config import merged, settings
 from tessera.plans.graph_build import build_with_retrieval
@@ -184,6 +184,61 @@ def test_beam_search(spark, most):
     assert [r["rank"] for r in sorted(ranked, key=lambda r: -r.final_score)] == [1, 2, 3, 4, 5]
 
 
+def test_embedding_is_that_of_each_gram():
+    import zlib
+
+    texts = ["", "a", "ab", "Abc", "naïve Straße", "日本語の文", "😀 smile 😀", None, "x" * 5000]
+    for n in (1, 3, 4):
+        for text, got in zip(texts, vectors.embedded_all(texts, 16, n), strict=True):
+            plain, sums = (text or "").lower(), [0.0] * 16
+            for i in range(max(1, len(plain) - n + 1)):
+                h = zlib.crc32(plain[i : i + n].encode())
+                sums[h % 16] += 1.0 if h >> 20 & 1 else -1.0
+            size = math.sqrt(sum(x * x for x in sums))
+            assert got.tolist() == pytest.approx([x / size if size > 1e-9 else x for x in sums])
+
+
+def test_router():
+    router = models.Router({"api": lambda p, t: f"api {p} {t.max_tokens}", "local": lambda p, t: f"local {t.temperature}"})
+    assert router.call("triplet", "x") == "api x 1024" and router.switched("local").call("quality", "x") == "local 0.15"
+    changed = router.updated("refiner", max_tokens=5)
+    assert changed.call("refiner", "y") == "api y 5" and router.call("refiner", "y") == "api y 2048" and changed.status()["tasks"]["refiner"]["max_tokens"] == 5
+    with pytest.raises(ValueError):
+        models.Router({"api": print}).switched("local")
+
+
+def test_retries():
+    calls = []
+
+    def fails(times):
+        calls.append(1)
+        if len(calls) <= times:
+            raise OSError
+        return "good"
+
+    assert models.with_retries(fails, "default", 3, 0)(2) == "good" and len(calls) == 3
+    calls.clear()
+    assert models.with_retries(fails, "default", 3, 0)(5) == "default" and len(calls) == 3
+
+
+def test_model_answers_and_caches(spark):
+    for answer, want in (('say {"issues": [{"type": "a", "reason": "r"}]}', ["a"]), ('{"issues": ["b", "c"]}', ["b", "c"]), ("no", []), ('{"issues": []}', [])):
+        assert one(spark, models.issues_in(F.col("t")), t=answer) == want
+    figs = spark.createDataFrame([(1, "p1", "c", "h1"), (2, "p2", None, "h2"), (3, "p3", "d", "h2"), (4, "p4", "e", None)], "figure_id long, path string, caption string, image_hash string")
+    cache = spark.createDataFrame([("h1", "known")], "image_hash string, answer string")
+    seen, new = models.analysed_figures(figs, cache, lambda path, caption: f"{path}/{caption}")
+    assert {(r.figure_id, r.answer) for r in seen.collect()} == {(1, "known"), (2, "p2/"), (3, "p2/"), (4, None)}
+    assert {r.image_hash for r in new.where("image_hash is not null").collect()} == {"h2"}
+    rows = models.embedded_once(spark.createDataFrame([(1, "ab c"), (2, None), (3, "ab c")], "id long, t string"), "t").collect()
+    assert {r.id: r.emb for r in rows} == {1: pytest.approx(unit("ab c")), 2: [0.0] * 64, 3: pytest.approx(unit("ab c"))}
+
+
+def test_quality_with_an_embedding(spark):
+    docs = spark.createDataFrame([(1, "the same line\nthe same line\nother words here"), (2, "alpha beta\nsomething else\nthird one"), (3, " "), (4, "one line (")], "doc_id long, text string")
+    got = {r.doc_id: (r.issues, r.severity, r.route) for r in quality.routed(docs, vectors.hashing_embedding, models.plain_check).collect()}
+    assert got == {1: (["potential_contradiction", "missing_subject"], "high", "flagged"), 2: ([], "low", "clean"), 3: (["empty"], "low", "flagged"), 4: (["too_short", "missing_subject", "structural_damage"], "high", "flagged")}
+
+
 def unit(text):
     return vectors.embedded(text)
 

@@ -21,6 +21,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ SPLIT_AT = str.maketrans("\n\t\r", "   ")
 #: Texts of these characters alone are split here as the tokenizer does: composed Latin letters, for which lower case and composition need no context.
 LATIN = "À-ÖØ-öø-įı-ɏ"
 ODD = re.compile(rf"[^\x00-\x1b\x20-\x7f{LATIN}]|<\|")
-TOKENS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\s0-9a-z{LATIN}]+")
+TOKENS = re.compile(rf"[a-z{LATIN}]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^\s0-9a-z{LATIN}]+")
 
 
 class Words(dict):
@@ -49,9 +50,10 @@ class Words(dict):
     The tokenizer drops white space before it splits, so words are independent.
     ``remembered`` bounds the bytes of the table, which a worker keeps over its tasks."""
 
-    def __init__(self, path: str, remembered: int = 48 << 20) -> None:
+    def __init__(self, path: str, remembered: int) -> None:
         from tokenizers import Tokenizer
 
+        super().__init__({"": b""})
         self.tokenizer, self.remembered, self.bytes = Tokenizer.from_file(path), remembered, 0
         ends = [number for token, number in self.tokenizer.get_vocab().items() if token.endswith("</w>")]
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
@@ -67,47 +69,40 @@ class Words(dict):
                 return [data[i:j] for i, j in zip([0, *at], at, strict=False)]
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def learn(self, words: set[str], single: bool) -> dict[str, bytes]:
-        """Encodes new words; long ones and those beyond the bound are returned and not kept."""
-        once: dict[str, bytes] = {}
+    def learn(self, words: set[str], single: bool) -> None:
         new = list(words)
-        for word, ids in zip(new, self.encoded(new, single), strict=True):
-            keep = len(word) <= 64 and self.bytes < self.remembered
-            (self if keep else once)[word] = ids
-            self.bytes += keep * (OBJECTS + 2 * len(word) + len(ids))
-        return once
+        ids = self.encoded(new, single)
+        self.update(zip(new, ids, strict=True))
+        self.bytes += OBJECTS * len(new) + 2 * sum(map(len, new)) + sum(map(len, ids))
 
-    def forget(self) -> None:
-        self.clear()
-        self.bytes = 0
+    def forget(self, but: set[str]) -> None:
+        """Beyond the bound, drops all words but those of the present batch that are short: the frequent ones are among them."""
+        if self.bytes > self.remembered:
+            kept = {word: self[word] for word in but if len(word) <= 64}
+            self.clear()
+            self.update(kept, **{"": b""})
+            self.bytes = sum(OBJECTS + 2 * len(word) + len(ids) for word, ids in kept.items())
 
 
-_words: dict[str, Words] = {}
+_words: dict[tuple[str, int], Words] = {}
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
+def token_bytes(texts: list[str], path: str, remembered: int = 128 << 20) -> list[bytes]:
     """The ids of each text as bytes, without an end id: by what the tokenizer splits a text into, or by words between blanks."""
-    if path not in _words:
-        _words[path] = Words(path)
-    known = _words[path]
+    key = path, remembered
+    if key not in _words:
+        _words[key] = Words(path, remembered)
+    known = _words[key]
     odd = [bool(ODD.search(text)) for text in texts]
     split = [text.translate(SPLIT_AT).split(" ") if x else TOKENS.findall(text.lower()) for text, x in zip(texts, odd, strict=True)]
-    found = [list(map(known.get, words)) for words in split]
-    new: tuple[set[str], set[str]] = set(), set()
-    for words, ids, x in zip(split, found, odd, strict=True):
-        if None in ids:
-            new[x].update(word for word, i in zip(words, ids, strict=True) if i is None)
-    if known.bytes + sum(OBJECTS + 4 * len(word) for words in new for word in words) > known.remembered:
-        known.forget()
-    once = known.learn(new[False], True)
-    once |= known.learn(new[True] - {""} - known.keys() - once.keys(), False) | {"": b""}
-    for words, ids in zip(split, found, strict=True):
-        if None in ids:
-            for i, x in enumerate(ids):
-                if x is None:
-                    word = words[i]
-                    ids[i] = once[word] if word in once else known[word]
-    return [b"".join(ids) for ids in found]
+    met: set[str] = set()
+    for single in (True, False):
+        own = set(chain.from_iterable(words for words, x in zip(split, odd, strict=True) if x != single))
+        known.learn(own.difference(known), single)
+        met |= own
+    out = [b"".join(map(known.__getitem__, words)) for words in split]
+    known.forget(met)
+    return out
 
 
 def differenced(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -166,8 +161,8 @@ def cut(tokens: int, capacity: int, piece: int) -> list[tuple[int, int]]:
     return [(i, capacity) for i in range(0, whole, capacity)] + [(i, min(piece, tokens - i)) for i in range(whole, tokens, piece)]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512, group_docs: int = 1024, keep_ids: bool = False) -> DataFrame:
-    """A row for each piece with its place in a window of at most ``capacity`` ids."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = 2048, piece: int = 512, group_docs: int = 1024, keep_ids: bool = False, remembered: int = 128 << 20) -> DataFrame:
+    """A row for each piece with its place in a window of at most ``capacity`` ids. ``remembered`` bounds each worker's table of words."""
     end = np.array([end_id], "<u4").tobytes()
     schema = T.StructType([T.StructField("grp", T.LongType()), *PIECES.fields, *([IDS] if keep_ids else [])])
     result = T.StructType([*PACKED.fields, IDS]) if keep_ids else PACKED
@@ -179,7 +174,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capaci
         met: Counter[tuple[int | None, int]] = Counter()  # equal rows of this task are told apart by their number alone, so that a repeated task deals them alike
         for keys, texts in batches(items):
             rows: list[list] = [[] for _ in schema]
-            for key, ids in zip(keys, token_bytes(texts, tokenizer_path), strict=True):
+            for key, ids in zip(keys, token_bytes(texts, tokenizer_path, remembered), strict=True):
                 ids += end
                 count, own = len(ids) // 4, (key, zlib.crc32(ids))
                 met[own] += 1

@@ -60,7 +60,7 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
 
 
 #: Rows and bytes that a Python worker turns into objects at once.
-ROWS, BYTES = 512, 1 << 22
+ROWS, BYTES = 1024, 1 << 22
 
 
 def slices(items: Iterable[pa.RecordBatch], column: str | int = "text") -> Iterator[pa.RecordBatch]:

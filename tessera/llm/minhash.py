@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import connected_components
-from tessera.session import dealt_anew
+from tessera.session import dealt_anew, sized
 
 from .shared import NULL_ID, Scratch, slices, trim, utf8
 
@@ -325,7 +325,8 @@ def left_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: i
     """Links (a, b) between members of different components in a bucket, or None if no bucket has several."""
     now = members.join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(dealt_anew("bucket"))
-    left = scratch.keep(now.join(several.hint("merge"), "bucket").select("bucket", "node", "n", "component"), "left")
+    rows = members.count()
+    left = scratch.keep(sized(now.join(several.hint("merge"), "bucket").select("bucket", "node", "n", "component"), rows), "left")
     if left.isEmpty():
         scratch.drop("left")
         return None
@@ -345,9 +346,9 @@ def left_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: i
         trim()
 
     reached = _in_blocks(left, sets.select("node", "bands", "counts"), None).mapInArrow(near, "bucket long, node long, n long, component long").distinct()
-    reached = scratch.keep(reached, "reached")
+    reached = scratch.keep(sized(reached, rows), "reached")
     scratch.drop("left")
-    links = scratch.keep(_in_blocks(reached, sets.drop("bands"), BLOCK_BYTES).mapInArrow(found, "a long, b long").distinct(), "more")
+    links = scratch.keep(sized(_in_blocks(reached, sets.drop("bands"), BLOCK_BYTES).mapInArrow(found, "a long, b long").distinct(), rows), "more")
     scratch.drop("reached")
     return links
 
@@ -358,25 +359,26 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = texts.withColumn("sig", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession)
     signed = scratch.keep(signatures(texts, words), "signatures")
+    rows = signed.count()
     # Nodes are numbered as they are written, so that rows which repeat an id need no other key.
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig", "n_shingles", "bands")).alias("x"))
-    classes = scratch.keep(classes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
+    classes = scratch.keep(sized(classes, rows, 1 << 17).select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(dealt_anew("bucket"))
-    members = scratch.keep(members.join(several.hint("merge"), "bucket").select("bucket", "node", "n"), "buckets")  # few buckets have more than one member
+    members = scratch.keep(sized(members.join(several.hint("merge"), "bucket").select("bucket", "node", "n"), 32 * rows, 1 << 21), "buckets")  # few buckets have more than one member
     needed = classes.join(members.select("node").distinct().hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "sig", "bands")
     held = texts.join(needed, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
-    sets = scratch.keep(_sets(held, words), "sets")
+    sets = scratch.keep(_sets(sized(held, rows, 1 << 13), words), "sets")
 
     centres = members.groupBy("bucket").agg(F.min("node").alias("a")).select(dealt_anew("bucket"), "a")
     sizes = members.join(centres.hint("merge"), "bucket").where("node <> a").select("a", F.col("node").alias("b"), F.col("n").alias("n_b")).distinct()
     first = sizes.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     first = first.where(F.least(F.octet_length("set_a"), 8 * F.col("n_b")) * 100 >= F.greatest(F.octet_length("set_a"), 8 * F.col("n_b")) * percent)
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
-    parts = scratch.keep(connected_components(confirmed(both, percent)), "parts")
+    parts = connected_components(confirmed(both, percent))
     more = left_links(members, parts, sets, percent, scratch)
     if more is not None and not more.isEmpty():
-        parts = scratch.keep(connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "all-parts")
+        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     scratch.drop("buckets", "sets")
     linked = parts.join(classes.select("node", "first").hint("merge"), "node")
     least = linked.groupBy("component").agg(F.min("first").alias("least")).select(dealt_anew("component"), "least")

@@ -136,7 +136,7 @@ def chunks(column: pa.Array, length: int) -> Iterator[tuple[int, int, np.ndarray
         at = to
 
 
-SMALL = 1 << 16
+SMALL = 1 << 18
 
 
 def sorted_order(keys: list[np.ndarray]) -> np.ndarray:
@@ -293,12 +293,13 @@ def _told(table: list[np.ndarray], doc: np.ndarray, block: np.ndarray, status: i
     return (d[order][place] == doc) & (b[order][place] == block)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 16 << 20, least_buckets: int = 64, each: int = 64, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, least_buckets: int = 64, each: int = 64, keep_text: bool = False) -> DataFrame:
     """Per row the bytes, removed bytes and runs, and a digest of what stays; with ``keep_text`` what stays, too.
 
     ``bucket_bytes`` of text are meant for each bucket and each group of documents. Splitters come
     from ``each`` suffixes of a hashed sample of documents, about eight suffixes for each bucket and
-    128,000 at least: what reaches the driver grows as the number of buckets, by 128 bytes each."""
+    128,000 at least: what reaches the driver grows as the number of buckets, by 128 bytes each,
+    so very large tables want larger buckets (100 TB in buckets of 64 MB: 200 MB)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(NO_ID)))
     total = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()

@@ -230,15 +230,11 @@ def test_words_beyond_the_bound():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    small = packing.Words(path, remembered=3)
-    packing._words[path], kept = small, packing._words.get(path)
-    texts = ["The quick, brown fox's", "日本語 the <|endoftext|> ÉTÉ", "", "  \x1c\u0085 odd​ spaces ", "don't we'll 12 ½ ＡＢ"]
-    for _ in range(2):
-        got = packing.token_bytes(texts, path)
-        assert got == [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    packing._words.pop(path)
-    if kept:
-        packing._words[path] = kept
+    texts = ["The quick, brown fox's", "日本語 the <|endoftext|> ÉTÉ", "", "  \x1c\u0085 odd\u200b spaces ", "don't we'll 12 ½ ＡＢ", "x" * 100]
+    for some in (texts, texts[:3], texts, texts[3:], texts):
+        got = packing.token_bytes(some, path, 3)
+        assert got == [np.array(Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+    assert len(packing._words[path, 3]) < 40
 
 
 # 5

@@ -99,11 +99,34 @@ def sentence_context(docs: DataFrame, width: int = 1) -> DataFrame:
     return rows.select("doc_id", "position", "sentence", F.array_join(F.slice("parts", low(i), F.least(F.size("parts"), i + 1 + width) - low(i) + 1), " ").alias("context"))
 
 
-def entity_contexts(docs: DataFrame, entities: DataFrame, width: int = 1) -> DataFrame:
-    """Sentences that hold an entity (any case), with neighbours; names are looked up by their words, not by testing all pairs.
-
-    An entity of several words is found by its first word and then verified."""
-    spoken = sentence_context(docs, width)
-    words = spoken.select("*", F.explode(F.array_distinct(F.split(F.lower("sentence"), "[^\\p{L}\\p{N}]+"))).alias("word"))
-    named = entities.select("entity", F.element_at(F.filter(F.split(F.lower("entity"), "[^\\p{L}\\p{N}]+"), lambda w: w != ""), 1).alias("word"))
-    return words.join(named, "word").where(F.contains(F.lower("sentence"), F.lower("entity"))).select("entity", "doc_id", "position", "context").distinct()
+def entity_contexts(docs: DataFrame, mentions: DataFrame, width: int = 1) -> DataFrame:
+    """entity, doc_id, position and context: the sentences of its documents (doc_id, entity) that hold an entity in any case, with their neighbours.
+
+    An entity whose first document doesn't hold it has that document's first sentence, or its
+    first 200 characters, as well, at position -1. Each mention meets its own document alone."""
+    pairs = mentions.select("doc_id", F.trim("entity").alias("entity")).where("entity <> ''").distinct()
+    first = pairs.groupBy("entity").agg(F.min("doc_id").alias("first"))
+    text = F.coalesce("text", F.lit(""))
+    known = pairs.join(first, "entity").join(docs.select("doc_id", text.alias("text"), fn.split_sentences(text).alias("parts")), "doc_id")
+    places = F.filter(F.sequence(F.lit(0), F.size("parts")), lambda i: F.coalesce(F.contains(F.lower(F.get("parts", i)), F.lower("entity")), F.lit(False)))
+    known = known.withColumn("places", places)
+    fallback = (F.size("places") == 0) & (F.col("doc_id") == F.col("first"))
+    rows = known.withColumn("position", F.explode(F.when(fallback, F.array(F.lit(-1))).otherwise(F.col("places"))))
+    low = F.greatest(F.lit(0), F.col("position") - width)
+    around = F.array_join(F.slice("parts", low + 1, F.least(F.size("parts"), F.col("position") + 1 + width) - low), " ")
+    start = F.coalesce(F.get("parts", F.lit(0)), F.substring("text", 1, 200))
+    return rows.select("entity", "doc_id", "position", F.when(F.col("position") < 0, start).otherwise(around).alias("context"))
+
+
+def dual_chunks_by_language(docs: DataFrame, sizes: dict[str, tuple[tuple[int, int], tuple[int, int]]]) -> DataFrame:
+    """Dual chunks with the sizes and overlaps of each document's language; languages that aren't named take those of 'en'."""
+    spoken = docs.withColumn("_language", fn.document_language(F.col("text")))
+    parts = []
+    for language, (retrieval, graph) in sizes.items():
+        named = F.col("_language") == language
+        own = spoken.where(named if language != "en" else named | ~F.col("_language").isin(*sizes))
+        parts.append(dual_chunks(own.drop("_language"), retrieval, graph))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

@@ -6,12 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as v
+from tessera.functions.arrow import matrix, runs
+from tessera.session import cut_lineage
 
 from .components import connected_components
+from .phrases import holders
 
 
 def string_clusters(entities: DataFrame) -> DataFrame:
@@ -21,30 +26,88 @@ def string_clusters(entities: DataFrame) -> DataFrame:
     return named.join(large.select("cluster"), "cluster", "left_semi")
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048) -> DataFrame:
+def _celled(unit: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Unit vectors with the cell of their nearest centre and the angle to it."""
+    kind = dict(unit.dtypes)["id"]
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in items:
+            if batch.num_rows:
+                near = matrix(batch.column("emb"), centres.shape[1]) @ centres.T
+                cell = near.argmax(1)
+                angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("emb"), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["id", "emb", "cell", "angle"])
+
+    return unit.select("id", "emb").mapInArrow(run, f"id {kind}, emb array<double>, cell int, angle double")
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048, cells: int = 256) -> DataFrame:
     """All pairs of vectors at a cosine of the threshold or more, exactly.
 
-    Vectors are dealt into blocks; each pair of blocks meets once in a task that
-    multiplies them as matrices. Only pairs that pass leave the task."""
+    Vectors live in the cell of their nearest centre, one of at most ``cells`` vectors drawn by a
+    hash. A vector visits another cell only if the angle to its centre, less the cell's widest
+    angle, allows the threshold; so a vector is copied to the cells that it may match and not
+    to all. A cell of more than ``block_rows`` residents is split into blocks. A task holds one
+    block's residents, and visitors stream past them. Only pairs that pass leave the task."""
     unit = vectors.select(F.col("id"), v.l2_normalize(F.col("emb")).alias("emb")).where(v.norm(F.col("emb")) > 0.5)
-    blocks = max(1, -(-unit.count() // block_rows))
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = unit.withColumn("own", own).select("id", "emb", "own", F.explode(every).alias("other")).select("id", "emb", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-
-    def multiply(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-        a, b = rows[rows["own"] == i], rows[rows["own"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"a": [], "b": [], "similarity": []})
-        scores = np.stack(a["emb"].to_list()) @ np.stack(b["emb"].to_list()).T
-        x, y = np.nonzero(scores >= threshold)
-        ids_a, ids_b = a["id"].to_numpy()[x], b["id"].to_numpy()[y]
-        out = pd.DataFrame({"a": np.minimum(ids_a, ids_b), "b": np.maximum(ids_a, ids_b), "similarity": scores[x, y]})
-        return out[(ids_a != ids_b) & ((i != j) | (ids_a < ids_b))]
-
-    kind = dict(unit.dtypes)["id"]
-    return dealt.groupBy("i", "j").applyInPandas(lambda rows: multiply(rows), f"a {kind}, b {kind}, similarity double")
+    unit = cut_lineage(unit, "unit-vectors")
+    kind, dims = dict(unit.dtypes)["id"], unit.agg(F.max(F.size("emb"))).first()[0]
+    if dims is None:
+        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    rows = unit.count()
+    drawn = unit.orderBy(F.xxhash64("id"), "id").limit(min(cells, -(-rows // block_rows))).select("emb").collect()  # at most ``cells`` rows
+    centres = np.array([r.emb for r in drawn])
+    held = cut_lineage(_celled(unit, centres), "celled")
+    stats = {r.cell: r for r in held.groupBy("cell").agg(F.max("angle").alias("wide"), F.count("*").alias("n")).collect()}
+    wide = np.array([stats[c].wide if c in stats else -10.0 for c in range(len(centres))])
+    blocks = np.array([-(-stats[c].n // block_rows) if c in stats else 0 for c in range(len(centres))])
+    reach = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+
+    def dealt(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in items:
+            if not batch.num_rows:
+                continue
+            cell = batch.column("cell").to_numpy()
+            angles = np.arccos(np.clip(matrix(batch.column("emb"), dims) @ centres.T, -1, 1))
+            visits = (angles - wide <= reach) & (np.arange(len(centres)) > cell[:, None])  # a pair of cells meets in the later one
+            visits[np.arange(len(cell)), cell] = True  # residents visit their own cell's blocks
+            row, to = np.nonzero(visits)
+            many = blocks[to]
+            row, to = np.repeat(row, many), np.repeat(to, many)
+            block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            salt = batch.column("salt").to_numpy() % blocks[cell]
+            row, to = np.concatenate([np.arange(len(cell)), row]), np.concatenate([cell, to])
+            block = np.concatenate([salt, block])
+            guest = np.concatenate([np.zeros(len(cell)), np.ones(len(row) - len(cell))])
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("emb").take(own), pa.array(to.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(guest.astype(np.int32)), pa.array(cell[row] == to)], names=["id", "emb", "cell", "block", "guest", "own"])
+
+    def multiply(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, held_rows = None, [], []
+        for (cell, block, guest), part in runs(items, ["cell", "block", "guest"]):
+            if (cell, block) != key:
+                key, ids, held_rows = (cell, block), [], []
+            if not guest:
+                ids.append(part.column("id"))
+                held_rows.append(matrix(part.column("emb"), dims))
+                continue
+            if len(held_rows) > 1:
+                held_rows, ids = [np.concatenate(held_rows)], [pa.concat_arrays(ids)]
+            if not held_rows:
+                continue
+            for at in range(0, part.num_rows, 4096):
+                some = part.slice(at, 4096)
+                scores = matrix(some.column("emb"), dims) @ held_rows[0].T
+                x, y = np.nonzero(scores >= threshold)
+                a, b = some.column("id").take(pa.array(x)), ids[0].take(pa.array(y))
+                keep = pc.or_(pc.and_(pc.invert(some.column("own").take(pa.array(x))), pc.not_equal(a, b)), pc.less(a, b))
+                a, b = a.filter(keep), b.filter(keep)
+                swap = pc.greater(a, b)
+                found = [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(scores[x, y]).filter(keep)]
+                yield pa.RecordBatch.from_arrays(found, names=["a", "b", "similarity"])
+
+    sent = held.withColumn("salt", F.xxhash64("id").bitwiseAND(F.lit((1 << 31) - 1))).mapInArrow(dealt, f"id {kind}, emb array<double>, cell int, block int, guest int, own boolean")
+    return sent.repartition("cell", "block").sortWithinPartitions("cell", "block", "guest").mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
 
 
 def embedding_clusters(vectors: DataFrame, threshold: float = 0.88) -> DataFrame:
@@ -59,6 +122,31 @@ def canonical_names(clusters: DataFrame, degrees: DataFrame) -> DataFrame:
     return clusters.join(best, "cluster").select(F.col("entity").alias("old"), "canonical")
 
 
+def canonical_by_documents(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """old and canonical name of the groups (entity, leader): the name that most documents hold in any case, then the shortest, then the first."""
+    low = docs.select("doc_id", F.lower("text").alias("text"))
+    known = holders(low, groups.select(F.lower("entity").alias("phrase"))).groupBy("phrase").agg(F.count("*").alias("docs"))
+    scored = groups.join(known, F.lower("entity") == F.col("phrase"), "left").withColumn("docs", F.coalesce("docs", F.lit(0)))
+    best = scored.groupBy("leader").agg(F.min_by("entity", F.struct(-F.col("docs"), F.char_length("entity"), F.col("entity"))).alias("canonical"))
+    return groups.join(best, "leader").select(F.col("entity").alias("old"), "canonical")
+
+
+def linking_summary(names: DataFrame, examples: int = 10) -> DataFrame:
+    """How many entities came to how many names, and the first of these."""
+    first = names.select("canonical").distinct().orderBy("canonical").limit(examples).agg(F.array_sort(F.collect_list("canonical")).alias("examples"))
+    counts = names.agg(F.count("*").alias("entities"), F.count_distinct("canonical").alias("groups"), F.sum((F.col("old") != F.col("canonical")).cast("long")).alias("merged"))
+    return counts.join(F.broadcast(first), F.lit(True))  # one row each
+
+
+def profiles(contexts: DataFrame, most: int = 2) -> DataFrame:
+    """entity and the text of its first contexts, for embedding. The number is the operator's own."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("entity").orderBy("doc_id", "position")
+    first = contexts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    return first.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "context"))), lambda x: x["context"]), " ").alias("profile"))
+
+
 def renamed_triples(triples: DataFrame, names: DataFrame) -> DataFrame:
     """Triples under canonical names, without those that became loops."""
     out = triples

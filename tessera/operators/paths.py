@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import path_pairs
+from tessera.functions.vectors import cosine
 from tessera.session import cut_lineage
 
 
@@ -35,6 +36,24 @@ def path_weights(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return met.groupBy("path_id").agg(F.avg(F.coalesce("weight", F.lit(0.0))).alias("mean_weight"), F.sum(F.coalesce("weight", F.lit(0.0))).alias("sum_weight"))
 
 
+def path_records(paths: DataFrame, edges: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """What is known of each path (path_id, path): nodes, edge weights, mean similarity of neighbours by ``embeddings`` (node, emb), and hops between its ends.
+
+    Hops are 1 where an edge joins the ends, 2 where a node is next to both, else null."""
+    steps = paths.select("path_id", F.explode(path_pairs(F.col("path"))).alias("e"))
+    of = lambda side: embeddings.select(F.col("node").alias(side), F.col("emb").alias(f"{side}_emb"))
+    alike = steps.select("path_id", F.col("e.src").alias("x"), F.col("e.dst").alias("y")).join(of("x"), "x").join(of("y"), "y")
+    alike = alike.groupBy("path_id").agg(F.avg(cosine(F.col("x_emb"), F.col("y_emb"))).alias("adjacent_similarity"))
+    ways = adjacency(edges).select("src", "dst")
+    ends = paths.where(F.size("path") > 1).select("path_id", F.element_at("path", 1).alias("src"), F.element_at("path", -1).alias("last"))
+    next_to = ends.join(ways, "src").select("path_id", "last", "dst")
+    one = next_to.where("dst = last").select("path_id", F.lit(1).alias("hops"))
+    two = next_to.join(ways.select(F.col("src").alias("dst"), F.col("dst").alias("last")), ["dst", "last"]).select("path_id", F.lit(2))
+    hops = one.union(two).groupBy("path_id").agg(F.min("hops").alias("hops"))
+    out = paths.select("path_id", "path", F.size("path").alias("nodes")).join(path_weights(paths, edges), "path_id", "left")
+    return out.join(alike, "path_id", "left").join(hops, "path_id", "left")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select("src", F.col("dst").alias("dst"), "weight").union(edges.where("src <> dst").select("dst", "src", "weight"))
 

@@ -120,6 +120,6 @@ def answer(questions: DataFrame, edges: DataFrame, nodes: DataFrame, store: Data
     starts = cut_lineage(starts_of(questions, nodes, chunks, embed=embed), "starts")
     sims = cut_lineage(similarities(questions, nodes, embed), "similarities")
     ranked = cut_lineage(paths.multi_hop(edges, starts, sims, max_steps, limit=top_paths), "ranked")
-    preview = F.concat(F.substring("chunk", 1, 200), F.lit("..."))
-    texts = hits.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", preview.alias("text")))), lambda x: x["text"]), "\n").alias("documents"))
+    preview = F.concat(F.substring("chunk", 1, 150), F.lit("..."))
+    texts = hits.where(F.col("rank") <= 3).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", preview.alias("text")))), lambda x: x["text"]), "\n").alias("documents"))
     return questions.join(paths.answers(ranked), "query_id", "left").join(texts, "query_id", "left").join(paths.confidence(ranked), "query_id", "left")

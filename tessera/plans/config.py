@@ -49,6 +49,10 @@ PRESETS = {
 }
 
 
+# Sizes and overlaps in characters of retrieval and of graph chunks, by language.
+CHUNKS_BY_LANGUAGE = {"en": ((320, 120), (512, 50)), "ja": ((200, 80), (350, 35))}
+
+
 def settings(preset: str = "general", **changes: object) -> Settings:
     """A preset with changes; unknown names are refused."""
     known = {f.name for f in fields(Settings)}

@@ -55,6 +55,7 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("fuzzy_dups_levenshtein")
 def _levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances in characters; the SQL at hand measures bytes, so there is none to compare with."""
     pairs = dedup.fuzzy_pairs(table(spark, sf_dir, "documents"), measure="levenshtein")
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
@@ -114,8 +115,8 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.paragraph_chunks(table(spark, sf_dir, "documents"), separator="\n")
 
 
-SENTENCES = r"""WITH s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS position, p FROM (
-  SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。．.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents))"""
+SENTENCE_LISTS = r"""d AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([。．.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> '') AS p FROM documents)"""
+SENTENCES = f"WITH {SENTENCE_LISTS}, s AS (SELECT doc_id, unnest(p) AS sentence, unnest(range(len(p))) AS position, p FROM d)"
 
 
 @query("sentence_split", f"{SENTENCES} SELECT doc_id, CAST(position AS INT) AS position, sentence FROM s")
@@ -128,6 +129,21 @@ def _context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.sentence_context(table(spark, sf_dir, "documents")).select("doc_id", "position", "context")
 
 
+MENTIONS = """m AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ')[5] AS entity FROM documents UNION SELECT doc_id, 'zz' || doc_id % 7 FROM documents), u AS (SELECT * FROM m WHERE entity <> '')"""
+
+
+@query("entity_contexts", f"""WITH {SENTENCE_LISTS}, {MENTIONS}, f AS (SELECT entity, min(doc_id) AS first FROM u GROUP BY 1),
+x AS (SELECT u.entity, u.doc_id, p, text, first, list_filter(range(len(p)), lambda i: contains(lower(p[i + 1]), lower(u.entity))) AS places FROM u JOIN f USING (entity) JOIN d USING (doc_id) JOIN documents USING (doc_id)),
+y AS (SELECT *, unnest(CASE WHEN len(places) = 0 AND doc_id = first THEN [-1] ELSE places END) AS position FROM x)
+SELECT entity, doc_id, CAST(position AS INT) AS position, CASE WHEN position < 0 THEN coalesce(p[1], substr(text, 1, 200)) ELSE array_to_string(p[greatest(1, position) : position + 2], ' ') END AS context FROM y""")
+def _entity_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth word of each document, and names that occur nowhere, with the sentences around them."""
+    docs = table(spark, sf_dir, "documents")
+    word = F.get(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " "), F.lit(4))
+    mentions = docs.select("doc_id", F.explode(F.array(word, F.concat(F.lit("zz"), (F.col("doc_id") % 7).cast("string")))).alias("entity"))
+    return chunking.entity_contexts(docs, mentions)
+
+
 LINES = r"len(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+', '', 'g') <> ''))"
 ISSUES = f"SELECT *, CASE WHEN trim(text) = '' THEN 'empty' WHEN {LINES} < 3 THEN 'too_short' ELSE '' END AS issue FROM documents"
 

@@ -114,12 +114,11 @@ def _filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_triples(spark, sf_dir).select(score.alias("score")).agg(F.count("*").alias("original"), F.sum(kept).alias("kept"), F.sum(1 - kept).alias("rejected"), F.round(F.avg("score"), 6).alias("avg_quality"))
 
 
-@query("triple_alignment", f"""WITH {TEXT_TRIPLES}, l AS (SELECT t.*, lower(s) AS ls, replace(lower(r), '_', ' ') AS lr, lower(o) AS lo, lower(text) AS x FROM t JOIN documents USING (doc_id) WHERE lower(r) NOT IN {_in(tuple(w for k, v in tf.SYNONYMS.items() for w in (k, *v) if ' ' not in w))})
+@query("triple_alignment", f"""WITH {TEXT_TRIPLES}, l AS (SELECT t.*, lower(s) AS ls, replace(lower(r), '_', ' ') AS lr, lower(o) AS lo, lower(text) AS x FROM t JOIN documents USING (doc_id))
 SELECT doc_id, CAST(triple_idx AS INT) AS triple_idx, round(least(1.0, 0.5 + 0.3 + CASE WHEN abs(instr(x, lo) - instr(x, ls)) < 50 THEN 0.2 WHEN abs(instr(x, lo) - instr(x, ls)) < 100 THEN 0.1 ELSE 0.0 END)::DOUBLE, 6) AS alignment FROM l""")
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples cut from a text occur in it, so both entities and the relation count."""
-    known = [w for k, v in tf.SYNONYMS.items() for w in (k, *v) if " " not in w]
-    rows = text_triples(spark, sf_dir).where(~F.lower("r").isin(*known)).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    rows = text_triples(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     return rows.select("doc_id", "triple_idx", F.round(tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text")), 6).alias("alignment"))
 
 

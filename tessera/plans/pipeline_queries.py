@@ -10,7 +10,7 @@ from tessera.operators import chunking, dedup, extraction, figures, paths, phras
 from tessera.session import cut_lineage, shared_path, table
 from tessera.sources import files, sinks
 
-from .graph_queries import GEO, PATHS, chains, geo_triples
+from .graph_queries import GEO, LOWER, PATHS, PENALTY, chains, geo_triples
 from .registry import query
 
 
@@ -65,11 +65,14 @@ def _contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.holders(table(spark, sf_dir, "documents"), items).join(items, "phrase").select("doc_id", "item_id")
 
 
-@query("extracted_triples")
+@query("extracted_triples", rf"""WITH c AS (SELECT doc_id, list_filter(regexp_split_to_array(substr(text, i * 462 + 1, 512), '\s+'), lambda x: x <> '') AS w
+  FROM (SELECT *, unnest(range(0, CAST(greatest(0, ceil((length(text) - 512) / 462)) AS BIGINT) + 1)) AS i FROM documents WHERE length(text) > 0)),
+t AS (SELECT doc_id, CAST(k AS INT) AS triple_idx, w[3 * k + 1] AS s, w[3 * k + 2] AS r, w[3 * k + 3] AS o FROM (SELECT doc_id, w, unnest(range(least(15, len(w) // 3))) AS k FROM c)),
+l AS ({LOWER}), q AS (SELECT doc_id, triple_idx, s, r, o, round(CAST({PENALTY} AS DOUBLE), 6) AS quality FROM l) SELECT * FROM q WHERE quality >= 0.3""")
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 15 triples of each graph chunk by the stand-in extractor, filtered; triple_idx counts within a chunk."""
     chunks = chunking.window_chunks(table(spark, sf_dir, "documents"), 512, 462, "structural")
-    return extraction.filtered(extraction.extract_triples(chunks), 0.3)
+    return extraction.filtered(extraction.extract_triples(chunks), 0.3).withColumn("quality", F.round("quality", 6))
 
 
 @query("consistent_triples")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import relations, text, triples, vectors
 from tessera.operators import chunking, dedup, extraction, figures, linking, models, paths, phrases, quality, questions, retrieval, weighting
 from tessera.operators.components import connected_components
-from tessera.plans.config import merged, settings
+from tessera.plans.config import CHUNKS_BY_LANGUAGE, merged, settings
 from tessera.plans.graph_build import build_with_retrieval
 from tessera.sources import documents, files, sinks
 from tessera.streaming import ingest
@@ -146,6 +146,49 @@ def test_doc_links_by_rare_entities(spark):
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize(("block", "cells"), [(7, 5), (2048, 256), (3, 200)])
+def test_similar_pairs_by_cells(spark, block, cells):
+    draw = random.Random(block)
+    rows = [(f"v{i}", [draw.gauss(0, 1) + 3 * ((i // 20) % 3 == k) for k in range(4)]) for i in range(150)] + [("zero", [0.0] * 4), ("copy", [1.0, 1.0, 0.0, 0.0]), ("copy2", [2.0, 2.0, 0.0, 0.0])]
+    held = {n: [x / math.hypot(*v) for x in v] for n, v in rows if any(v)}
+    for threshold in (0.5, 0.95):
+        got = {(r.a, r.b): r.similarity for r in linking.similar_pairs(spark.createDataFrame(rows, "id string, emb array<double>"), threshold, block, cells).collect()}
+        want = {(a, b): s for a, b in combinations(sorted(held), 2) if (s := sum(x * y for x, y in zip(held[a], held[b], strict=True))) >= threshold}
+        assert got == pytest.approx(want)
+    assert linking.similar_pairs(spark.createDataFrame([], "id long, emb array<double>"), 0.5).count() == 0
+
+
+def test_canonical_names_by_documents(spark):
+    groups = spark.createDataFrame([("Big Cat", "Big Cat"), ("cat", "Big Cat"), ("felid", "Big Cat"), ("dog", "dog"), ("hound", "dog")], "entity string, leader string")
+    docs = spark.createDataFrame([(1, "a CAT and a felid"), (2, "the big cat"), (3, "felids are cats"), (4, None)], "doc_id long, text string")
+    names = linking.canonical_by_documents(groups, docs)
+    assert {r.old: r.canonical for r in names.collect()} == {"Big Cat": "cat", "cat": "cat", "felid": "cat", "dog": "dog", "hound": "dog"}
+    assert linking.linking_summary(names).first() == (5, 2, 3, ["cat", "dog"])
+
+
+def test_entity_contexts_and_profiles(spark):
+    docs = spark.createDataFrame([(1, "One. Two cats. Three."), (2, "No animal here. At all."), (3, "Cats again."), (4, "")], "doc_id long, text string")
+    mentions = spark.createDataFrame([(1, "cat"), (2, "cat"), (3, " cat "), (2, "dog"), (3, "dog"), (4, "fox")], "doc_id long, entity string")
+    found = chunking.entity_contexts(docs, mentions)
+    assert {tuple(r) for r in found.collect()} == {("cat", 1, 1, "One. Two cats. Three."), ("cat", 3, 0, "Cats again."), ("dog", 2, -1, "No animal here."), ("fox", 4, -1, "")}
+    assert {r.entity: r.profile for r in linking.profiles(found).collect()}["cat"] == "One. Two cats. Three. Cats again."
+
+
+def test_path_records(spark):
+    edges = spark.createDataFrame([("a", "b", 0.5), ("b", "c", 0.3), ("c", "d", 0.1)], "src string, dst string, weight double")
+    rows = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b", "a"]), (3, ["a", "b", "c", "d"]), (4, ["a"])], "path_id long, path array<string>")
+    emb = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0]), ("c", [0.0, 2.0])], "node string, emb array<double>")
+    got = {r.path_id: r for r in paths.path_records(rows, edges, emb).collect()}
+    assert [got[i].hops for i in (1, 2, 3, 4)] == [2, 1, None, None] and [got[i].nodes for i in (1, 2, 3, 4)] == [3, 2, 4, 1]
+    assert got[1].adjacent_similarity == pytest.approx(0.5) and got[2].adjacent_similarity == pytest.approx(1.0) and got[3].sum_weight == pytest.approx(0.9)
+
+
+def test_chunks_by_language(spark):
+    docs = spark.createDataFrame([(1, "x" * 600), (2, "これは日本語の文です。" * 60)], "doc_id long, text string")
+    got = {(r.doc_id, r.chunk_type): r.n for r in chunking.dual_chunks_by_language(docs, CHUNKS_BY_LANGUAGE).groupBy("doc_id", "chunk_type").agg(F.max("chunk_size").alias("n")).collect()}
+    assert got == {(1, "semantic"): 320, (1, "structural"): 512, (2, "semantic"): 200, (2, "structural"): 350}
+
+
 def test_leaders_are_greedy(spark):
     v = lambda degrees: [math.cos(math.radians(degrees)), math.sin(math.radians(degrees))]
     rows = [(f"e{d}", i, v(d), "en" if d < 50 else "ja") for i, d in enumerate((0, 20, 40, 55, 170))]

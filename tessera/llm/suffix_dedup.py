@@ -150,13 +150,13 @@ def sorted_order(keys: list[np.ndarray]) -> np.ndarray:
         own = order[low:high]
         word = keys[depth][own]
         if high - low <= SMALL:
-            by = np.argsort(word, kind="stable")
+            by = np.argsort(word)
             word = word[by]
-            tied = np.flatnonzero(np.concatenate([[False], word[1:] == word[:-1]]))
+            same = word[1:] == word[:-1]
+            tied = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
             if len(tied) and depth + 1 < len(keys):
-                both = np.union1d(tied - 1, tied)
-                run = np.cumsum(np.concatenate([[True], word[1:] != word[:-1]]))[both]
-                by[both] = by[both][np.lexsort([key[own[by[both]]] for key in keys[:depth:-1]] + [run])]
+                run = np.cumsum(np.concatenate([[True], ~same]))[tied]
+                by[tied] = by[tied][np.lexsort([key[own[by[tied]]] for key in keys[:depth:-1]] + [run])]
             order[low:high] = own[by]
             continue
         pivot = np.median(word[:: max(1, len(word) // 255)][:255].astype(np.float64))

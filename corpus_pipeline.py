@@ -4,6 +4,14 @@ one of each group of near-duplicates stays, secrets are masked, the rest is pack
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept
 and returns the columns of documents, the last one its pieces. ``run`` writes
 each stage's rows as Parquet in the shared folder and reads them again.
+
+Cases: a null text scores like an empty one, has nothing to drop, link or mask, stays
+null until packing, and is packed as the end id alone; so is a text of which no line
+stays. Rows without a doc_id count as larger than all others where ids are compared;
+repeated rows are kept, lose the same lines and are packed each; rows that repeat an
+id with another text are judged by their own text. Columns beside doc_id and text are
+carried along whatever their names, but for n_chars, which is counted anew. An empty
+table passes through all stages and gives no pieces.
 """
 
 from __future__ import annotations

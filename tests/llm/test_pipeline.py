@@ -28,5 +28,19 @@ def test_stages(spark, sf):
     assert {r.doc_id for r in whole} == {d for d, _ in texts(masked)} and all(r.doc_tokens == r["sum(length)"] for r in whole)
 
 
+def test_stages_on_odd_and_empty_tables(spark, sf, odd, none):
+    for docs, rows in ((odd, 15), (none, 0)):
+        held, counts = docs, []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            held = stage(spark, held, sf)
+            assert held.columns == docs.columns
+            counts.append(held.count())
+        texts = lambda df: [(r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()]
+        lines = [(d, t) for d, _, _, t in brute_lines(texts(docs))]
+        assert counts[:2] == [rows, rows] and counts[2] == counts[3] == sum(k for *_, k in brute_groups(lines, 5))
+        pieces = corpus_pipeline.STAGES[-1][1](spark, held, sf)
+        assert sum(r.start == 0 for r in pieces.collect()) == counts[3]
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0

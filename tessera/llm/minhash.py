@@ -362,10 +362,10 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     rows = signed.count()
     # Nodes are numbered as they are written, so that rows which repeat an id need no other key.
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig", "n_shingles", "bands")).alias("x"))
-    classes = scratch.keep(sized(classes, rows, 1 << 17).select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
+    classes = scratch.keep(sized(classes, rows, 1 << 15).select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
     members = classes.select("node", "n", F.explode("bands").alias("bucket"))
     several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select(dealt_anew("bucket"))
-    members = scratch.keep(sized(members.join(several.hint("merge"), "bucket").select("bucket", "node", "n"), 32 * rows, 1 << 21), "buckets")  # few buckets have more than one member
+    members = scratch.keep(sized(members.join(several.hint("merge"), "bucket").select("bucket", "node", "n"), 32 * rows, 1 << 19), "buckets")  # few buckets have more than one member
     needed = classes.join(members.select("node").distinct().hint("merge"), "node").select("node", F.col("first").alias("doc_id"), "sig", "bands")
     held = texts.join(needed, ["doc_id", "sig"]).dropDuplicates(["doc_id", "sig"])
     sets = scratch.keep(_sets(sized(held, rows, 1 << 13), words), "sets")

@@ -14,22 +14,52 @@ INVERSE = (
 )
 # Groups of related relations.
 GROUPS = {
-    "cause": "cause_of caused_by leads_to results_in triggers produces generates effect_of",
-    "part": "part_of has_part component_of has_component contains includes consists_of comprises",
-    "membership": "member_of has_member belongs_to works_at employed_by affiliated_with",
-    "time": "before after during precedes follows happens_before happens_after",
-    "place": "located_in location_of near adjacent_to contains inside outside",
-    "kind": "is_a type_of instance_of has_property characterized_by defined_by",
-    "interaction": "interacts_with collaborates_with competes_with influences affected_by",
-}
+    "cause": (
+        "cause_of", "caused_by", "leads_to", "results_in", "triggers", "produces", "generates", "effect_of",
+    ),
+    "part": (
+        "part_of", "has_part", "component_of", "has_component", "contains", "includes", "consists_of", "comprises",
+    ),
+    "membership": (
+        "member_of", "has_member", "belongs_to", "works_at", "employed_by", "affiliated_with",
+    ),
+    "time": (
+        "before", "after", "during", "precedes", "follows", "happens_before", "happens_after",
+    ),
+    "place": (
+        "located_in", "location_of", "near", "adjacent_to", "contains", "inside", "outside",
+    ),
+    "kind": (
+        "is_a", "type_of", "instance_of", "has_property", "characterized_by", "defined_by",
+    ),
+    "interaction": (
+        "interacts_with", "collaborates_with", "competes_with", "influences", "affected_by",
+    ),
+}
 # Categories of verbs.
 CATEGORIES = {
-    "action": "creates builds develops produces makes constructs designs implements generates enables powers leverages accelerates utilizes parameterizes fine_tunes approximates encodes regularizes iterates optimizes traverses samples augments normalizes quantizes distills ensembles prunes compresses aggregates fuses aligns projects embeds transforms adapts detects segments classifies recognizes extracts filters convolves pools tokenizes parses generates_text translates attends_to masks predicts propagates aggregates_neighbors diffuses clusters partitions samples_neighbors",
-    "state": "is has contains includes comprises exists represents defines consists_of maintains preserves exhibits displays",
-    "relation": "relates_to associated_with connected_to linked_to corresponds_to depends_on derived_from based_on inspired_by",
-    "computation": "computes calculates evaluates measures estimates infers learns trains updates backpropagates forward_passes",
-    "comparison": "outperforms surpasses exceeds improves_upon compares_to contrasts_with benchmarks_against",
-}
+    "action": (
+        "creates", "builds", "develops", "produces", "makes", "constructs", "designs", "implements", "generates", "enables", "powers", "leverages",
+        "accelerates", "utilizes", "parameterizes", "fine_tunes", "approximates", "encodes", "regularizes", "iterates", "optimizes", "traverses",
+        "samples", "augments", "normalizes", "quantizes", "distills", "ensembles", "prunes", "compresses", "aggregates", "fuses", "aligns",
+        "projects", "embeds", "transforms", "adapts", "detects", "segments", "classifies", "recognizes", "extracts", "filters", "convolves", "pools",
+        "tokenizes", "parses", "generates_text", "translates", "attends_to", "masks", "predicts", "propagates", "aggregates_neighbors", "diffuses",
+        "clusters", "partitions", "samples_neighbors",
+    ),
+    "state": (
+        "is", "has", "contains", "includes", "comprises", "exists", "represents", "defines", "consists_of", "maintains", "preserves", "exhibits",
+        "displays",
+    ),
+    "relation": (
+        "relates_to", "associated_with", "connected_to", "linked_to", "corresponds_to", "depends_on", "derived_from", "based_on", "inspired_by",
+    ),
+    "computation": (
+        "computes", "calculates", "evaluates", "measures", "estimates", "infers", "learns", "trains", "updates", "backpropagates", "forward_passes",
+    ),
+    "comparison": (
+        "outperforms", "surpasses", "exceeds", "improves_upon", "compares_to", "contrasts_with", "benchmarks_against",
+    ),
+}
 SAME, INVERSES, RELATED, SAME_KIND, OTHER = 1.0, 0.9, 0.7, 0.5, 0.3
 
 
@@ -47,7 +77,7 @@ def tags(r: Column) -> Column:
     """All that compatibility needs of a relation: name, and bits of its inverse pairs by side, groups and categories. Taken once a row, they make pairs cheap."""
     n = normalized(r)
     first, second = ([(pair[i],) for pair in INVERSE] for i in (0, 1))
-    groups, kinds = ([tuple(words.split()) for words in sets.values()] for sets in (GROUPS, CATEGORIES))
+    groups, kinds = (list(sets.values()) for sets in (GROUPS, CATEGORIES))
     return F.struct(n.alias("name"), _mask(n, first).alias("first"), _mask(n, second).alias("second"), _mask(n, groups).alias("groups"), _mask(n, kinds).alias("kinds"))
 
 

@@ -18,6 +18,14 @@ def clean_text(x: Column) -> Column:
     return F.btrim(F.regexp_replace(x, WHITE, " "))
 
 
+def repair_mojibake(x: Column) -> Column:
+    """UTF-8 that was read as Latin-1, read again as what it is; any other text as it is."""
+    single = x.rlike("^[\\x{00}-\\x{ff}]*$") & x.rlike("[\\x{c2}-\\x{f4}][\\x{80}-\\x{bf}]")
+    raw = F.encode(F.when(single, x), "ISO-8859-1")
+    read = F.try_validate_utf8(raw.cast("string"))
+    return F.when(single & read.isNotNull(), read).otherwise(x)
+
+
 def sanitize_filename(x: Column, max_length: int = 50) -> Column:
     """A safe file stem; 'untitled' if nothing is left."""
     safe = F.regexp_replace(x, '[<>:"/\\\\|?*]', "")

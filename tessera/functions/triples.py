@@ -13,10 +13,15 @@ from .text import stripped
 BLACKLIST = ("is", "has", "are", "was", "were", "the", "a", "an", "of", "in", "on", "at")
 PRONOUNS = ("it", "this", "that", "these", "those", "they", "them")
 # Relations of high and of medium clarity.
-HIGH = tuple(
-    "causes results_in leads_to enables triggers produces generates influences affects part_of component_of consists_of comprises contains includes uses utilizes employs applies leverages implements adopts based_on derived_from inspired_by extends improves_upon builds_on optimizes parameterizes regularizes approximates encodes decodes transforms projects outperforms surpasses exceeds improves".split()
-)
-MEDIUM = tuple("is_a type_of instance_of subclass_of related_to associated_with connected_to depends_on requires needs".split())
+HIGH = (
+    "causes", "results_in", "leads_to", "enables", "triggers", "produces", "generates", "influences", "affects", "part_of", "component_of",
+    "consists_of", "comprises", "contains", "includes", "uses", "utilizes", "employs", "applies", "leverages", "implements", "adopts", "based_on",
+    "derived_from", "inspired_by", "extends", "improves_upon", "builds_on", "optimizes", "parameterizes", "regularizes", "approximates", "encodes",
+    "decodes", "transforms", "projects", "outperforms", "surpasses", "exceeds", "improves",
+)
+MEDIUM = (
+    "is_a", "type_of", "instance_of", "subclass_of", "related_to", "associated_with", "connected_to", "depends_on", "requires", "needs",
+)
 # Phrases that stand for a relation.
 SYNONYMS = {
     "uses": ("use", "utilizes", "employs", "applies"),

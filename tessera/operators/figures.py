@@ -12,6 +12,22 @@ def large_enough(figures: DataFrame, least: float = 50.0) -> DataFrame:
     return figures.where((F.col("bbox")[2] - F.col("bbox")[0] >= least) & (F.col("bbox")[3] - F.col("bbox")[1] >= least))
 
 
+def captions(figures: DataFrame, lines: DataFrame, reach: float = 60.0, preview: int = 150) -> DataFrame:
+    """figure_id and caption: the nearest line that starts like a caption within reach below a figure, else above it; else the first characters of the lines in reach.
+
+    Figures (doc_id, figure_id, page, bbox) meet the lines (doc_id, page, y0, y1, text) of their page alone."""
+    top, bottom = F.col("bbox")[1], F.col("bbox")[3]
+    below, above = F.col("y0") - bottom, top - F.col("y1")
+    met = figures.select("doc_id", "figure_id", "page", "bbox").join(lines, ["doc_id", "page"])
+    side = F.when((below >= 0) & (below <= reach), 0).when((above >= 0) & (above <= reach), 1)
+    met = met.withColumns({"side": side, "apart": F.when(side == 0, below).otherwise(above)}).where("side is not null")
+    named = F.col("text").rlike("(?i)^\\s*(figure|fig\\.|table|tab\\.)")
+    near = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "text"))), lambda l: l["text"]), " ")  # a few lines of a page
+    found = met.groupBy("figure_id").agg(F.min_by(F.when(named, F.col("text")), F.when(named, F.struct("side", "apart", "text"))).alias("caption"), near.alias("near"))
+    out = figures.select("figure_id").join(found, "figure_id", "left")
+    return out.select("figure_id", F.coalesce("caption", F.substring("near", 1, preview), F.lit("")).alias("caption"))
+
+
 def aligned(figures: DataFrame, chunks: DataFrame, far: bool = True) -> DataFrame:
     """figure_id and chunk_id: on the page the chunk nearest by centre, or the first one; else the first on a page beside; else the first of the nearest page of the document.
 

@@ -53,14 +53,14 @@ def _values(rows: list[tuple]) -> str:
 
 
 COMPAT = f"""inverse(a, b) AS {_values(list(rel.INVERSE))},
-groups(name, r) AS {_values([(n, r) for n, rs in rel.GROUPS.items() for r in rs.split()])},
-kinds(name, r) AS {_values([(n, r) for n, rs in rel.CATEGORIES.items() for r in rs.split()])},
+groups(name, r) AS {_values([(n, r) for n, rs in rel.GROUPS.items() for r in rs])},
+kinds(name, r) AS {_values([(n, r) for n, rs in rel.CATEGORIES.items() for r in rs])},
 compat AS (SELECT r1, r2, CASE WHEN x = y THEN 1.0::DOUBLE
   WHEN (x, y) IN (SELECT a, b FROM inverse UNION ALL SELECT b, a FROM inverse) THEN 0.9
   WHEN (x, y) IN (SELECT g.r, h.r FROM groups g JOIN groups h USING (name)) THEN 0.7
   WHEN (x, y) IN (SELECT g.r, h.r FROM kinds g JOIN kinds h USING (name)) THEN 0.5 ELSE 0.3 END AS c
   FROM (SELECT a.r AS r1, b.r AS r2, replace(lower(a.r), '-', '_') AS x, replace(lower(b.r), '-', '_') AS y FROM names a, names b))"""
-RELATION_NAMES = sorted({r for rs in (*rel.GROUPS.values(), *rel.CATEGORIES.values()) for r in rs.split()} | {r for pair in rel.INVERSE for r in pair} | {"foo", "Part-Of", "LEADS-TO"})
+RELATION_NAMES = sorted({r for rs in (*rel.GROUPS.values(), *rel.CATEGORIES.values()) for r in rs} | {r for pair in rel.INVERSE for r in pair} | {"foo", "Part-Of", "LEADS-TO"})
 
 
 @query("relation_compat", f"WITH names(r) AS {_values([(r,) for r in RELATION_NAMES])}, {COMPAT} SELECT r1, r2, c AS compat FROM compat")

@@ -32,6 +32,16 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     return files.select("path", "modificationTime", "length").distinct()
 
 
+def collect_files(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), patterns: tuple[str, ...] = ()) -> DataFrame:
+    """Paths below a folder, sorted. Glob patterns of names win over extensions, which match in any case, with or without a dot; neither means all files."""
+    glob = "{" + ",".join(patterns) + "}" if patterns else "*"
+    found = list_files(spark, root, glob).select("path")
+    if extensions and not patterns:
+        ends = [F.lower("path").endswith("." + e.lower().lstrip(".")) for e in extensions]
+        found = found.where(F.array_contains(F.array(*ends), True))
+    return found.distinct().orderBy("path")
+
+
 def newest(files: DataFrame, count: int = 1) -> DataFrame:
     return files.orderBy(F.desc("modificationTime"), "path").limit(count)
 
@@ -46,13 +56,34 @@ def detect_format(path: Column, content: Column) -> Column:
     return found
 
 
+# The Japanese encodings beside UTF-8.
+JAPANESE = ("cp932", "euc_jp")
+SAMPLE = 10_000  # bytes by which an encoding is told
+
+
+def _kana(text: str) -> float:
+    """The share of kana and kanji, halfwidth kana counted against it: they are what a wrong guess gives."""
+    full = sum("\u3040" <= c <= "\u30ff" or "\u4e00" <= c <= "\u9fff" for c in text)
+    half = sum("\uff61" <= c <= "\uff9f" for c in text)
+    return (full - half) / max(1, len(text))
+
+
 def decode_text(data: bytes) -> str:
-    """UTF-8, with or without a mark; UTF-16 by its mark; else Latin-1, which takes any bytes."""
+    """UTF-8, with or without a mark; UTF-16 by its mark; Shift-JIS or EUC-JP where that gives Japanese; else Latin-1, which takes any bytes."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(name)
     try:
         return data.decode("utf-8")
+    except UnicodeDecodeError:
+        pass
+    best, most = "latin-1", 0.1
+    for name in JAPANESE:
+        share = _kana(data[:SAMPLE].decode(name, "ignore"))
+        if share > most:
+            best, most = name, share
+    try:
+        return data.decode(best)
     except UnicodeDecodeError:
         return data.decode("latin-1")
 
@@ -79,6 +110,17 @@ def parse_tei(path: str, data: bytes, least: int = LEAST_CHARS) -> tuple[str, li
     return (title if len(title) > 10 else _stem(path).replace("_", " ").title())[:200], [a for a in authors if a][:5] or ["Unknown Author"], sections
 
 
+def parse_tei_plain(path: str, data: bytes) -> tuple[str, list[str], list[Section]]:
+    """TEI without a least length: a title may be 'Unknown', a section 'Untitled Section'."""
+    root = ElementTree.fromstring(re.sub(r'\sxmlns="[^"]*"', "", decode_text(data), count=1).encode())
+    whole = lambda node: squeeze("".join(node.itertext())) if node is not None else ""
+    sections = []
+    for i, div in enumerate(root.iter("div")):
+        if body := "\n".join(filter(None, (whole(p) for p in div.iter("p")))):
+            sections.append((whole(div.find("head")) or "Untitled Section", i, body))
+    return whole(root.find(".//titleStmt/title")) or "Unknown", ["Unknown Author"], sections
+
+
 def front_matter(text: str) -> tuple[dict[str, list[str]], str]:
     """Simple keys of a YAML head (scalars, inline and dashed lists) and the rest."""
     found = re.match(r"---\s*\n(.*?)\n---\s*\n?", text, re.DOTALL)
@@ -228,6 +270,24 @@ def parse_files(files: DataFrame, parsers: dict[str, Callable] | None = None) ->
     return files.select("path", "content", "format").mapInPandas(run, SECTION)
 
 
+def with_tei(pdfs: DataFrame, cache: DataFrame, service: Callable[[bytes], str], attempts: int = 3, wait: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """PDF files (path, content, file_hash) with the TEI (tei) that a service makes of them, and what the cache (file_hash, tei) lacked.
+
+    Known bytes aren't sent again and equal files are sent once; a call that fails is tried again
+    after twice the wait, and gives null in the end."""
+    from tessera.operators.models import with_retries
+
+    call = with_retries(service, None, attempts, wait)
+
+    @F.pandas_udf("string")
+    def ask(contents: pd.Series) -> pd.Series:
+        return pd.Series([call(bytes(x)) for x in contents], dtype="object")
+
+    first = pdfs.join(cache.select("file_hash"), "file_hash", "left_anti").dropDuplicates(["file_hash"])
+    new = first.select("file_hash", ask("content").alias("tei")).where("tei is not null")
+    return pdfs.join(cache.select("file_hash", "tei").unionByName(new), "file_hash", "left"), new
+
+
 def ingest(spark: SparkSession, root: str, glob: str = "*", known_hashes: DataFrame | None = None) -> DataFrame:
     """Parses every file of a tree whose bytes aren't known yet, each distinct content once."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)

@@ -383,6 +383,45 @@ def test_figures(spark):
     assert figures.large_enough(f).count() == 4
 
 
+def test_captions(spark):
+    figs = spark.createDataFrame([(1, 1, 1, [0.0, 100.0, 9.0, 200.0]), (1, 2, 2, [0.0, 100.0, 9.0, 200.0]), (1, 3, 3, [0.0, 100.0, 9.0, 200.0]), (2, 4, 1, [0.0, 0.0, 9.0, 9.0])], "doc_id int, figure_id int, page int, bbox array<double>")
+    rows = [(1, 1, 80.0, 90.0, "Figure 9. above"), (1, 1, 240.0, 250.0, "Fig. 1 far below"), (1, 1, 215.0, 225.0, "some words"), (1, 2, 85.0, 95.0, "TABLE 2 above"), (1, 2, 300.0, 310.0, "Figure too far"), (1, 3, 210.0, 220.0, "b" * 200), (1, 3, 50.0, 60.0, "first")]
+    got = {r.figure_id: r.caption for r in figures.captions(figs, spark.createDataFrame(rows, "doc_id int, page int, y0 double, y1 double, text string")).collect()}
+    assert got == {1: "Fig. 1 far below", 2: "TABLE 2 above", 3: ("first " + "b" * 200)[:150], 4: ""}
+
+
+def test_collected_files(spark, tmp_path):
+    for name in ("a.TXT", "b.md", "sub/c.txt", "sub/d.pdf"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    names = lambda **k: [r.path.rsplit("/", 1)[1] for r in files.collect_files(spark, str(tmp_path), **k).collect()]
+    assert names() == ["a.TXT", "b.md", "c.txt", "d.pdf"] and names(extensions=("txt", ".MD")) == ["a.TXT", "b.md", "c.txt"]
+    assert names(extensions=("txt",), patterns=("*.pdf", "b.*")) == ["b.md", "d.pdf"]
+
+
+@pytest.mark.parametrize("encoding", ["utf-8", "cp932", "euc_jp", "utf-16", "utf-8-sig"])
+def test_japanese_encodings(encoding):
+    value = "これは日本語の文章です。漢字とかなとカタカナを含みます。" * 5
+    assert files.decode_text(value.encode(encoding)) == value
+    assert files.decode_text("café à la crème".encode("latin-1")) == "café à la crème"
+
+
+def test_mojibake(spark):
+    for value in ("naïve café", "日本語の文", "Straße – “quoted”"):
+        assert one(spark, text.repair_mojibake(F.col("t")), t=value.encode().decode("latin-1")) == value
+        assert one(spark, text.repair_mojibake(F.col("t")), t=value) == value
+    assert one(spark, text.repair_mojibake(F.col("t")), t="Ã and more") == "Ã and more"
+
+
+def test_tei_of_pdfs(spark):
+    pdfs = spark.createDataFrame([("a.pdf", b"1", "h1"), ("b.pdf", b"2", "h2"), ("c.pdf", b"2", "h2"), ("d.pdf", b"bad", "h3")], "path string, content binary, file_hash string")
+    out, new = files.with_tei(pdfs, spark.createDataFrame([("h1", "known")], "file_hash string, tei string"), lambda data: f"tei{int(data)}", wait=0)
+    assert {r.path: r.tei for r in out.collect()} == {"a.pdf": "known", "b.pdf": "tei2", "c.pdf": "tei2", "d.pdf": None}
+    assert [tuple(r) for r in new.collect()] == [("h2", "tei2")]
+    plain = files.parse_tei_plain("x", b"<TEI><teiHeader/><text><body><div><p>short</p></div><div><head>H</head><p>a</p><p>b</p></div></body></text></TEI>")
+    assert plain == ("Unknown", ["Unknown Author"], [("Untitled Section", 0, "short"), ("H", 1, "a\nb")])
+
+
 def test_validator(spark):
     rows = [(1, 1, "A", "before", "B"), (1, 2, "b", "after", "a"), (1, 3, "a", "Before", "b"), (1, 4, "x", "uses", "X"), (1, 5, "A", "part-of", "C"), (1, 6, "A", "contains", "C"), (1, 7, "A", "likes", "C")]
     got = extraction.consistent(spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string"))

@@ -55,6 +55,7 @@ FLUSH = 2_000_000  # suffixes that a task gathers before it compares and sends t
 REPEATED, ASKED = 1, 2
 NO_ID = 7 << 60  # rows without an id are numbered from here on
 HIGH = np.uint64(1 << 63)
+SPACING = 16  # bytes from one sampled suffix to the next, on average
 BLOB = 1 << 16  # replies in a blob
 DEALT = "bucket int, kind int, blob binary"
 REPLY = "doc long, block long, status int"
@@ -293,32 +294,30 @@ def _told(table: list[np.ndarray], doc: np.ndarray, block: np.ndarray, status: i
     return (d[order][place] == doc) & (b[order][place] == block)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, least_buckets: int = 64, each: int = 64, keep_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, bucket_bytes: int = 4 << 20, least_buckets: int = 64, each: int = 16, keep_text: bool = False) -> DataFrame:
     """Per row the bytes, removed bytes and runs, and a digest of what stays; with ``keep_text`` what stays, too.
 
-    ``bucket_bytes`` of text are meant for each bucket and each group of documents. Splitters come
-    from ``each`` suffixes of a hashed sample of documents, about eight suffixes for each bucket and
-    128,000 at least: what reaches the driver grows as the number of buckets, by 128 bytes each,
+    ``bucket_bytes`` of text are meant for each bucket and each four groups of documents. Splitters come
+    from a hashed sample of documents, about ``each`` suffixes of a document of average length,
+    eight suffixes for each bucket and 128,000 at least: what reaches the driver grows as the number of buckets, by 128 bytes each,
     so very large tables want larger buckets (100 TB in buckets of 64 MB: 200 MB)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("doc", F.coalesce("doc_id", F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)) + F.lit(NO_ID)))
     total = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    buckets = groups = max(least_buckets, -(-(total.bytes or 0) // bucket_bytes))
+    buckets = max(least_buckets, -(-(total.bytes or 0) // bucket_bytes))
+    groups = 4 * buckets  # of documents; small ones fill the partitions evenly
 
     def sampled(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in slices(items):
                 for _, _, _, chunk in chunks(batch.column("text"), length):
                     lead, gram, block = chunk.suffixes()
-                    order = np.argsort(block)  # a random order
-                    rank = np.zeros(len(order), np.int64)
-                    by_text = order[np.argsort(chunk.own[order], kind="stable")]
-                    start = np.searchsorted(chunk.own[by_text], chunk.own[by_text])
-                    rank[by_text] = np.arange(len(by_text)) - start
-                    own = rank < each
+                    own = (mixed(block) >> U(11)).astype(np.float64) < kept * 2.0**53
                     yield pa.RecordBatch.from_arrays([pa.array(lead[own].view(np.int64)), pa.array((gram[own] & U(0xFFFFFFFF)).view(np.int64))], names=["lead", "gram"])
 
-    share = max(1, (total.n or 1) * each // max(128_000, 8 * buckets))
+    wanted = max(128_000, 8 * buckets)
+    share = max(1, (total.n or 1) * each // wanted)
+    kept = min(1.0, SPACING * each * (total.n or 1) / max(1, total.bytes or 1))  # a long document gives more
     picked = texts.where(F.pmod(F.xxhash64("doc"), F.lit(share)) == 0).select("text").mapInArrow(sampled, "lead long, gram long").toArrow()
     lead, gram = (picked.column(c).to_numpy().view(U) for c in ("lead", "gram"))
     order = np.lexsort((gram, lead))[np.arange(1, buckets) * len(lead) // buckets] if len(lead) else np.zeros(0, np.int64)

@@ -36,14 +36,15 @@ def _pair(compat: Column, shared: int) -> Column:
 def intra_raw(triples: DataFrame) -> DataFrame:
     """src, dst, intra_raw: for each edge the summed weights of all pairs of triples of one document that its triples are in."""
     t = triples.select("doc_id", "s", "r", "o", F.least("s", "o").alias("src"), F.greatest("s", "o").alias("dst"))
-    distinct = cut_lineage(t.groupBy("doc_id", "s", "r", "o", "src", "dst").agg(F.count("*").alias("m")), "intra")
-    by_doc = distinct.groupBy("doc_id", "r").agg(F.sum("m").alias("n"))
-    by_entity = distinct.select("doc_id", F.explode(F.array_distinct(F.array("s", "o"))).alias("e"), "r", "m").groupBy("doc_id", "e", "r").agg(F.sum("m").alias("n"))
-    by_pair = distinct.where("s <> o").groupBy("doc_id", "src", "dst", "r").agg(F.sum("m").alias("n"))
+    distinct = t.groupBy("doc_id", "s", "r", "o", "src", "dst").agg(F.count("*").alias("m"))
+    distinct = cut_lineage(distinct.withColumn("x", tags(F.col("r"))), "intra")  # tags are taken once
+    by_doc = distinct.groupBy("doc_id", "r", "x").agg(F.sum("m").alias("n"))
+    by_entity = distinct.select("doc_id", F.explode(F.array_distinct(F.array("s", "o"))).alias("e"), "r", "x", "m").groupBy("doc_id", "e", "r", "x").agg(F.sum("m").alias("n"))
+    by_pair = distinct.where("s <> o").groupBy("doc_id", "src", "dst", "r", "x").agg(F.sum("m").alias("n"))
 
     def weighted(counts: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-        other = counts.select(*keys, tags(F.col("r")).alias("y"), F.col("n").alias("k"))
-        met = counts.select(*keys, "r", tags(F.col("r")).alias("x")).join(other, keys).withColumn("c", compatible(F.col("x"), F.col("y")))
+        other = counts.select(*keys, F.col("x").alias("y"), F.col("n").alias("k"))
+        met = counts.select(*keys, "r", "x").join(other, keys).withColumn("c", compatible(F.col("x"), F.col("y")))
         return met.groupBy(*keys, "r").agg(F.sum(F.col("k") * value).alias(name))
 
     c = F.col("c")
@@ -104,18 +105,18 @@ def inter_raw(triples: DataFrame, threshold: float = 0.11, top_entities: int = 1
     distinct = triples.groupBy("s", "r", "o").agg(F.count("*").alias("m"))
     is_top = lambda c: top.select(F.col("entity").alias(c), F.lit(True).alias(f"{c}_top"))
     distinct = distinct.join(F.broadcast(is_top("s")), "s", "left").join(F.broadcast(is_top("o")), "o", "left")  # at most top_entities rows
-    distinct = cut_lineage(distinct.where("s_top or o_top").select("s", "r", "o", "m", F.coalesce("s_top", F.lit(False)).alias("s_top"), F.coalesce("o_top", F.lit(False)).alias("o_top")), "inter")
+    distinct = cut_lineage(distinct.where("s_top or o_top").select("s", "r", tags(F.col("r")).alias("x"), "o", "m", F.coalesce("s_top", F.lit(False)).alias("s_top"), F.coalesce("o_top", F.lit(False)).alias("o_top")), "inter")
 
-    as_subject = distinct.where("s_top").select(F.col("s").alias("e"), "r", "m", F.lit(1).alias("role"))
-    as_object = distinct.where("o_top and s <> o").select(F.col("o").alias("e"), "r", "m", F.lit(0).alias("role"))
-    counts = as_subject.union(as_object).groupBy("e", "r").agg(F.sum(F.col("m") * F.col("role")).alias("subjects"), F.sum(F.col("m") * (1 - F.col("role"))).alias("objects"))
-    other = counts.select("e", tags(F.col("r")).alias("y"), F.col("subjects").alias("ns"), F.col("objects").alias("no"))
-    met = counts.select("e", "r", tags(F.col("r")).alias("x")).join(other, "e").withColumn("c", compatible(F.col("x"), F.col("y")))
+    as_subject = distinct.where("s_top").select(F.col("s").alias("e"), "r", "x", "m", F.lit(1).alias("role"))
+    as_object = distinct.where("o_top and s <> o").select(F.col("o").alias("e"), "r", "x", "m", F.lit(0).alias("role"))
+    counts = as_subject.union(as_object).groupBy("e", "r", "x").agg(F.sum(F.col("m") * F.col("role")).alias("subjects"), F.sum(F.col("m") * (1 - F.col("role"))).alias("objects"))
+    other = counts.select("e", F.col("x").alias("y"), F.col("subjects").alias("ns"), F.col("objects").alias("no"))
+    met = counts.select("e", "r", "x").join(other, "e").withColumn("c", compatible(F.col("x"), F.col("y")))
     at = met.groupBy("e", "r").agg(F.sum(F.col("ns") * w(1, 0) + F.col("no") * w(1, 1)).alias("as_s"), F.sum(F.col("ns") * w(1, 1) + F.col("no") * w(1, 2)).alias("as_o"))
 
-    ends = distinct.where("s <> o").groupBy("s", "o", "r", "s_top", "o_top").agg(F.sum("m").alias("n"))
-    facing = ends.select("s", "o", tags(F.col("r")).alias("y"), "n", F.lit(0).alias("hops")).union(ends.select("o", "s", tags(F.col("r")), "n", F.lit(1)))
-    met = ends.select("s", "o", "r", "s_top", "o_top", tags(F.col("r")).alias("x")).join(facing, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
+    ends = distinct.where("s <> o").groupBy("s", "o", "r", "x", "s_top", "o_top").agg(F.sum("m").alias("n"))
+    facing = ends.select("s", "o", F.col("x").alias("y"), "n", F.lit(0).alias("hops")).union(ends.select("o", "s", "x", "n", F.lit(1)))
+    met = ends.select("s", "o", "r", "s_top", "o_top", "x").join(facing, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
     once = F.when(F.col("hops") == 0, w(2, 0)).otherwise(w(2, 1))
     at_s = F.when(F.col("s_top"), F.when(F.col("hops") == 0, w(1, 0)).otherwise(w(1, 1))).otherwise(0.0)
     at_o = F.when(F.col("o_top"), F.when(F.col("hops") == 0, w(1, 2)).otherwise(w(1, 1))).otherwise(0.0)
@@ -125,8 +126,8 @@ def inter_raw(triples: DataFrame, threshold: float = 0.11, top_entities: int = 1
     upon = distinct.where("o_top and s <> o")
     links = edge_list(triples).where("src <> dst").select("src", "dst")
     links = links.union(links.select("dst", "src")).join(upon.select(F.col("s").alias("src")).distinct(), "src", "left_semi").join(upon.select(F.col("s").alias("dst")).distinct(), "dst", "left_semi")
-    thirds = links.join(upon.select(F.col("s").alias("dst"), "o", tags(F.col("r")).alias("y"), F.col("m").alias("n")), "dst").select(F.col("src").alias("s"), "o", "y", "n")
-    near = upon.select("s", "o", "r", tags(F.col("r")).alias("x")).join(thirds, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
+    thirds = links.join(upon.select(F.col("s").alias("dst"), "o", F.col("x").alias("y"), F.col("m").alias("n")), "dst").select(F.col("src").alias("s"), "o", "y", "n")
+    near = upon.select("s", "o", "r", "x").join(thirds, ["s", "o"]).withColumn("c", compatible(F.col("x"), F.col("y")))
     near = near.groupBy("s", "o", "r").agg(F.sum(F.col("n") * (w(1, 1) - w(1, 2))).alias("near"))
 
     out = distinct.join(at.select(F.col("e").alias("s"), "r", "as_s"), ["s", "r"], "left").join(at.select(F.col("e").alias("o"), "r", "as_o"), ["o", "r"], "left")

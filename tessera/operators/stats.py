@@ -19,3 +19,10 @@ def error_histogram(log: DataFrame) -> DataFrame:
 def over_threshold(log: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The summary if the error rate lies above the threshold, no row otherwise."""
     return run_summary(log).where(F.col("error_rate") > threshold)
+
+
+def batch_summary(sections: DataFrame) -> DataFrame:
+    """Files of a batch by how they ended, and the sections they gave, from rows (path, status) of parsed files."""
+    ended = sections.groupBy("path").agg(F.min("status").alias("status"), F.sum((F.col("status") == "success").cast("long")).alias("documents"))
+    one = lambda status: F.coalesce(F.sum((F.col("status") == status).cast("long")), F.lit(0)).alias(status)
+    return ended.agg(F.count("*").alias("total"), one("success"), one("failed"), one("skipped"), F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"))

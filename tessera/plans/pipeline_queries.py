@@ -99,6 +99,16 @@ def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.read_table(spark, path).select("src", "dst", "weight")
 
 
+@query("file_upsert", "SELECT sha256(html) AS file_hash, max(length(html)) AS file_size FROM pages GROUP BY 1")
+def _file_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files, upserted by hash: first those of even ids, then all; read back from the table."""
+    path = shared_path(spark, "file-upsert")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.sha2("html", 256).alias("file_hash"), F.char_length("html").cast("long").alias("file_size"))
+    sinks.upsert_files(spark, pages.where("page_id % 2 = 0").drop("page_id"), path)
+    sinks.upsert_files(spark, pages.drop("page_id"), path)
+    return sinks.read_table(spark, path).select("file_hash", "file_size")
+
+
 @query("content_registry", "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, length(any_value(text)) AS text_length FROM documents GROUP BY text")
 def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = dedup.content_records(dedup.exact_dedup(table(spark, sf_dir, "documents")))

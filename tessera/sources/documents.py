@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as fn
+from tessera.operators.phrases import holders
 
 DOCUMENT = "text string, metadata struct<title:string,authors:string,section:string,section_index:int,source_format:string>"
 
@@ -36,6 +37,17 @@ def load_paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path).where("translated_paths is not null")
 
 
+def flattened(record: dict) -> dict:
+    """A record without the levels that hold a single record each."""
+    while len(record) == 1 and isinstance(inner := next(iter(record.values())), dict):
+        record = inner
+    return record
+
+
+def missing_keys(record: dict, required: tuple[str, ...]) -> list[str]:
+    return sorted(set(required) - set(record))
+
+
 def path_rows(records: DataFrame) -> DataFrame:
     """question, path, distance: a row for each path."""
     pairs = F.arrays_zip(F.col("translated_paths").alias("path"), F.col("path_distances").alias("distance"))
@@ -45,11 +57,9 @@ def path_rows(records: DataFrame) -> DataFrame:
 def documents_with_paths(docs: DataFrame, records: DataFrame, key: str = "question") -> DataFrame:
     """Each document with the record of its question, or else of the first question that its text holds."""
     exact = docs.join(records, key, "left") if key in docs.columns else docs.withColumns({c: F.lit(None).cast(t) for c, t in records.dtypes})
-    missing = exact.where("translated_paths is null").select(*docs.columns)
-    asked = records.withColumns({"_first": F.element_at(F.split(F.lower("question"), "[^\\p{L}\\p{N}]+"), 1)})
-    words = missing.withColumn("_first", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}\\p{N}]+"))))
-    held = words.join(asked.drop(*[c for c in records.columns if c in docs.columns and c != "question"]).withColumnRenamed("question", "_q"), "_first").where(F.contains("text", F.col("_q")))
-    best = held.groupBy("doc_id").agg(F.min_by(F.struct("_q", "translated_paths", "path_distances"), "_q").alias("m"))
+    missing = exact.where("translated_paths is null").select("doc_id", "text")
+    held = holders(missing, records.select(F.col("question").alias("phrase")))
+    best = held.groupBy("doc_id").agg(F.min("phrase").alias("_q")).join(records.select(F.col("question").alias("_q"), F.struct("translated_paths", "path_distances").alias("m")), "_q").drop("_q")
     return exact.join(best, "doc_id", "left").withColumns({"translated_paths": F.coalesce("translated_paths", "m.translated_paths"), "path_distances": F.coalesce("path_distances", "m.path_distances")}).drop("m")
 
 

@@ -193,6 +193,11 @@ def export_graph(edges: DataFrame, path: str, kind: str) -> None:
         raise ValueError(f"unknown export {kind}")
 
 
+def run(spark: SparkSession, statement: str, **values: object) -> DataFrame:
+    """Any statement over registered tables, with named values."""
+    return spark.sql(statement, args=values)
+
+
 def is_unique(df: DataFrame, *keys: str) -> bool:
     """Whether no two rows share the keys."""
     return df.groupBy(*keys).count().where("count > 1").isEmpty()

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import relations, text, triples, vectors
-from tessera.operators import chunking, dedup, extraction, figures, linking, models, paths, phrases, quality, questions, retrieval, weighting
+from tessera.operators import chunking, dedup, extraction, figures, linking, models, paths, phrases, quality, questions, retrieval, stats, weighting
 from tessera.operators.components import connected_components
 from tessera.plans.config import CHUNKS_BY_LANGUAGE, merged, settings
 from tessera.plans.graph_build import build_with_retrieval
@@ -383,6 +383,21 @@ def test_figures(spark):
     assert figures.large_enough(f).count() == 4
 
 
+def test_small_things(spark):
+    assert documents.flattened({"a": {"b": {"x": 1, "y": 2}}}) == {"x": 1, "y": 2} and documents.flattened({"x": 1}) == {"x": 1}
+    assert documents.missing_keys({"a": 1}, ("a", "c", "b")) == ["b", "c"]
+    rows = spark.createDataFrame([("f1", "success"), ("f1", "success"), ("f2", "failed"), ("f3", "skipped")], "path string, status string")
+    assert stats.batch_summary(rows).first() == (3, 1, 1, 1, 2) and stats.batch_summary(rows.limit(0)).first() == (0, 0, 0, 0, 0)
+    assert sinks.run(spark, "SELECT :a + 1 AS x", a=2).first().x == 3
+
+
+def test_documents_with_paths(spark):
+    docs = spark.createDataFrame([(1, "What is it? Ask why so now."), (2, "nothing"), (3, "Ask why so")], "doc_id long, text string")
+    records = spark.createDataFrame([("Ask why so", [["a", "b"]], [1.0]), ("What is", [["c"]], [2.0])], "question string, translated_paths array<array<string>>, path_distances array<double>")
+    got = {r.doc_id: r.translated_paths for r in documents.documents_with_paths(docs, records).collect()}
+    assert got == {1: [["a", "b"]], 2: None, 3: [["a", "b"]]}
+
+
 def test_captions(spark):
     figs = spark.createDataFrame([(1, 1, 1, [0.0, 100.0, 9.0, 200.0]), (1, 2, 2, [0.0, 100.0, 9.0, 200.0]), (1, 3, 3, [0.0, 100.0, 9.0, 200.0]), (2, 4, 1, [0.0, 0.0, 9.0, 9.0])], "doc_id int, figure_id int, page int, bbox array<double>")
     rows = [(1, 1, 80.0, 90.0, "Figure 9. above"), (1, 1, 240.0, 250.0, "Fig. 1 far below"), (1, 1, 215.0, 225.0, "some words"), (1, 2, 85.0, 95.0, "TABLE 2 above"), (1, 2, 300.0, 310.0, "Figure too far"), (1, 3, 210.0, 220.0, "b" * 200), (1, 3, 50.0, 60.0, "first")]

@@ -54,6 +54,29 @@ def test_toxicity_finds_held_out_documents(spark):
     assert len(caught) > 50 and np.mean(caught) > 0.85 and np.mean(wrong) < 0.005  # a few labelled toxic documents hold no toxic term at all
 
 
+def test_toxicity_scores_as_plain_search_says(spark, sf, odd):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    lexicon = toxicity.fit(docs, labels)
+    assert len(lexicon.weights) > 20
+    safe = [toxicity.folded(x) for x in lexicon.exceptions]
+
+    def plain(text):
+        text = toxicity.folded(text)
+        covered = {k for phrase in safe for at in range(len(text)) if text.startswith(phrase, at) for k in range(at, at + len(phrase))}
+        found = set()
+        for at in (i for i, c in enumerate(text) if c == " " and i not in covered):
+            terms = [text[at : at + n] for n in range(2, 60) if text[at : at + n] in lexicon.weights and at + n <= len(text)]
+            if terms:
+                found.add(max((lexicon.weights[t], t) for t in terms))
+        total, most, words = sum(sorted(w for w, _ in found)), max((w for w, _ in found), default=0.0), len(text.split())
+        x = (1.0, most, np.log1p(total), np.log1p(100 * total / (words + 50)))
+        return 1 / (1 + np.exp(-np.clip(np.dot(x, lexicon.curve), -30, 30)))
+
+    for rows in (docs, odd):
+        got = sorted((LAST if r.doc_id is None else r.doc_id, round(r.score, 9)) for r in toxicity.score_documents(rows, lexicon).collect())
+        assert got == sorted((LAST if d is None else d, round(float(plain(t)), 9)) for d, t in pairs(rows))
+
+
 def test_toxicity_folding_and_exceptions():
     lexicon = toxicity.Lexicon({" idiot ": 5.0, " vequ": 3.0}, (-4.0, 0.1, 2.0, 0.5), ("idiot light",))
     automaton = lexicon.automaton()

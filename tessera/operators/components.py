@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.session import dealt_anew, remove, shared_path, sized, written
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and the smallest node of its component, for every node of a link.
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", most: int | None = None) -> DataFrame:
+    """node and the smallest node of its component, for every node of a link; of ``most`` links, if that is known.
 
     A round halves the distance to the smallest node, so few are needed; they go on
     until one changes nothing. Only minima are gathered at a node, never its
@@ -18,7 +18,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     costs one round; the round before is then removed."""
     spark = links.sparkSession
     path = shared_path(spark, "edges")
-    edges = written(links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), path)
+    first = links.where(f"{a} <> {b}").select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    edges = written(first if most is None else sized(first, most), path)
     rows, state = edges.count(), None
     while True:
         both = edges.union(edges.select(F.col("v"), F.col("u")))

@@ -47,8 +47,8 @@ BENCHMARK_TRIPLES = """w AS (SELECT item_id, string_split(text, ' ') AS w FROM b
 
 
 @query("triple_to_doc", f"""WITH {BENCHMARK_TRIPLES}, n AS (SELECT DISTINCT lower(x) AS name FROM (SELECT s AS x FROM t UNION ALL SELECT o FROM t)), d AS (SELECT doc_id, lower(text) AS x FROM documents),
-at AS (SELECT name, min(doc_id) AS doc_id FROM n JOIN d ON contains(x, name) WHERE name <> '' GROUP BY 1)
-SELECT triple_idx, s, o, coalesce(least(a.doc_id, b.doc_id), a.doc_id, b.doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id FROM t LEFT JOIN at a ON a.name = lower(s) LEFT JOIN at b ON b.name = lower(o)""")
+held AS (SELECT name, min(doc_id) AS doc_id FROM n JOIN d ON contains(x, name) WHERE name <> '' GROUP BY 1)
+SELECT triple_idx, s, o, coalesce(least(a.doc_id, b.doc_id), a.doc_id, b.doc_id, (SELECT min(doc_id) FROM documents)) AS doc_id FROM t LEFT JOIN held a ON a.name = lower(s) LEFT JOIN held b ON b.name = lower(o)""")
 def _to_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each three words of a benchmark passage as a triple, with the first document that holds its subject or object."""
     words = F.split("text", " ")

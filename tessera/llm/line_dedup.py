@@ -31,12 +31,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.session import sized
+
 from .shared import NULL_ID, release, remove, shared_path
 
 LEAST_CHARS = 10
 # The white space that keys are stripped of.
 BLANKS = " \t\n\x0b\x0c\r"
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+EACH = 1 << 20  # lines for each bucket
 #: Lets a scan of one sorted file for each bucket count as sorted.
 SORTED_SCANS = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
@@ -46,13 +49,16 @@ def line_key(line: Column) -> Column:
 
 
 @contextmanager
-def _sorted_scans(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(SORTED_SCANS, None)
-    spark.conf.set(SORTED_SCANS, "true")
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings for the actions inside, and the former ones after them."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(SORTED_SCANS, before) if before is not None else spark.conf.unset(SORTED_SCANS)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
 
 
 class Runs:
@@ -113,18 +119,21 @@ def _decided(docs: DataFrame, batches: int, fan: int, least_chars: int) -> DataF
     lines = docs.select("_id", "_sig", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("place", "line"))
     keyed = lines.select("_id", "_sig", "place", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least_chars)
     hashed = keyed.select(batch.alias("batch"), "_id", "_sig", "place", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
-    path = shared_path(spark, "lines")
-    hashed.write.partitionBy("batch").parquet(path)
+    path, rows = shared_path(spark, "lines"), docs.count()
+    sized(hashed, rows, 1 << 13).write.partitionBy("batch").parquet(path)
     held_all = spark.read.schema("_id long, _sig long, place int, h1 long, h2 long, batch int").parquet(path)
-    runs, decided = Runs(spark, fan), shared_path(spark, "line-drops")
-    with _sorted_scans(spark):
+    buckets = max(spark.sparkContext.defaultParallelism, -(-held_all.count() // EACH))
+    decided = shared_path(spark, "line-drops")
+    with _settings(spark, {SORTED_SCANS: "true", "spark.sql.shuffle.partitions": str(buckets)}):
+        runs = Runs(spark, fan)
         for number in range(len(marks) + 1):
             held = held_all.where(F.col("batch") == number).drop("batch")
             first = held.groupBy("h1", "h2").agg(F.min("_id").alias("first"), F.max("_id").alias("last"))
             run = spark.read.schema("h1 long, h2 long, first long, last long, seen boolean").parquet(runs.add(first))
             repeated = run.where("seen or first < last").select("h1", "h2", F.when(~F.col("seen"), F.col("first")).alias("owner"))
             drops = held.join(repeated.hint("merge"), ["h1", "h2"]).where("owner is null or owner <> _id")
-            drops.groupBy("_id", "_sig").agg(F.sort_array(F.collect_set("place")).alias("_drops")).write.mode("append").parquet(decided)
+            drops = drops.groupBy("_id", "_sig").agg(F.sort_array(F.collect_set("place")).alias("_drops"))
+            sized(drops, rows, 1 << 15).write.mode("append").parquet(decided)
             if number < len(marks):
                 runs.compact()
             release(spark)

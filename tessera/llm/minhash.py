@@ -321,11 +321,10 @@ def _in_blocks(left: DataFrame, carried: DataFrame, block_bytes: int | None) ->
     return dealt.join(carried.hint("merge"), "node").repartition(*KEYS).sortWithinPartitions(*KEYS, "node")
 
 
-def left_links(members: DataFrame, parts: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
+def left_links(members: DataFrame, rows: int, parts: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame | None:
     """Links (a, b) between members of different components in a bucket, or None if no bucket has several."""
     now = members.join(parts.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = now.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(dealt_anew("bucket"))
-    rows = members.count()
     left = scratch.keep(sized(now.join(several.hint("merge"), "bucket").select("bucket", "node", "n", "component"), rows), "left")
     if left.isEmpty():
         scratch.drop("left")
@@ -358,8 +357,8 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     texts = texts.withColumn("sig", F.xxhash64("text"))
     scratch = Scratch(docs.sparkSession)
-    signed = scratch.keep(signatures(texts, words), "signatures")
-    rows = signed.count()
+    rows = docs.count()
+    signed = scratch.keep(signatures(sized(texts, rows, 1 << 13), words), "signatures")
     # Nodes are numbered as they are written, so that rows which repeat an id need no other key.
     classes = signed.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig", "n_shingles", "bands")).alias("x"))
     classes = scratch.keep(sized(classes, rows, 1 << 15).select(F.monotonically_increasing_id().alias("node"), "s1", "s2", F.col("x.doc_id").alias("first"), F.col("x.sig").alias("sig"), F.col("x.n_shingles").alias("n"), F.col("x.bands").alias("bands")), "classes")
@@ -375,10 +374,11 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     first = sizes.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a")).hint("merge"), "a")
     first = first.where(F.least(F.octet_length("set_a"), 8 * F.col("n_b")) * 100 >= F.greatest(F.octet_length("set_a"), 8 * F.col("n_b")) * percent)
     both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b")).hint("merge"), "b")
-    parts = connected_components(confirmed(both, percent))
-    more = left_links(members, parts, sets, percent, scratch)
+    held_in = members.count()
+    parts = connected_components(confirmed(both, percent), most=held_in)
+    more = left_links(members, held_in, parts, sets, percent, scratch)
     if more is not None and not more.isEmpty():
-        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+        parts = connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), most=2 * held_in)
     scratch.drop("buckets", "sets")
     linked = parts.join(classes.select("node", "first").hint("merge"), "node")
     least = linked.groupBy("component").agg(F.min("first").alias("least")).select(dealt_anew("component"), "least")

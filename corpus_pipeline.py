@@ -21,31 +21,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import line_dedup, minhash, packing, secret_scan, toxicity
 from tessera.llm.shared import table, written
+from tessera.session import sized
+
+
+def _sized(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """A stage's rows in as few partitions, and so files, as the number of documents calls for."""
+    return sized(df, docs.count(), 1 << 13)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.7; the lexicon is learnt from labelled training rows."""
-    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(_sized(docs, docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds are taken out; documents stay, even if nothing is left."""
-    return line_dedup.deduplicate(docs)
+    return _sized(line_dedup.deduplicate(docs), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near-duplicates, by five words and a similarity of 0.8."""
-    return minhash.keep_one(docs, words=5, percent=80)
+    return _sized(minhash.keep_one(docs, words=5, percent=80), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is replaced by a mask."""
-    return secret_scan.redact(docs)
+    return secret_scan.redact(_sized(docs, docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token ids in windows of at most 2048."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=32 << 20)  # beside the memory that the other stages' executors have taken
+    pieces = packing.pack_documents(_sized(docs, docs), public_tokenizers.path("word_bpe_49k.json"), remembered=32 << 20)  # beside the memory that the other stages have taken
+    return _sized(pieces, docs)
 
 
 STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_lines), ("near_dedup", drop_near_duplicates), ("secrets", mask_secrets), ("packing", pack)]

@@ -136,7 +136,7 @@ def test_runs_are_merged(spark):
         runs.compact()
     assert [len(x) for x in runs.levels] == [1, 0, 1]
     assert sorted((r.h1, r.first) for level in runs.levels for name in level for r in runs._new_in(name).collect()) == [(i, i) for i in range(5)]
-    with line_dedup._sorted_scans(spark):
+    with line_dedup._settings(spark, {line_dedup.SORTED_SCANS: "true"}):
         a, b = (runs._new_in(level[0]) for level in (runs.levels[0], runs.levels[2]))
         plan = a.join(b.hint("merge"), ["h1", "h2"], "left_anti")._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Exchange" not in plan

@@ -35,11 +35,12 @@ import re
 from collections import defaultdict, deque
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.arrow import runs
+
 from .shared import NULL_ID, Scratch, slices
 
 BLOCK = re.compile(r"<tool_call>(.*?)</tool_call>", re.DOTALL)
@@ -173,24 +174,44 @@ def _parsed(turns: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return turns.mapInArrow(run, PARSED)
 
 
-def placed(rows: pd.DataFrame) -> pd.DataFrame:
-    """Place and depth of the turns in a conversation's links (a before b)."""
-    place = {int(x): (int(t), 0) for x, t in [*zip(rows["a"], rows["ta"], strict=True), *zip(rows["b"], rows["tb"], strict=True)]}
+def placed(a: list[int], ta: list[int], b: list[int], tb: list[int]) -> list[tuple[int, int, int, bool]]:
+    """Turn, place, depth and whether it waits for a cycle, of the turns in a conversation's links (a before b)."""
+    place = {x: (t, 0) for x, t in [*zip(a, ta, strict=True), *zip(b, tb, strict=True)]}
     own, after, waits = dict(place), defaultdict(list), defaultdict(int)
-    for a, b in set(zip(rows["a"].tolist(), rows["b"].tolist(), strict=True)):
-        after[a].append(b)
-        waits[b] += 1
+    for x, y in set(zip(a, b, strict=True)):
+        after[x].append(y)
+        waits[y] += 1
     ready, done = deque(x for x in place if not waits[x]), set()
     while ready:
-        a = ready.popleft()
-        done.add(a)
-        for b in after[a]:
-            place[b] = max(place[b], (place[a][0], place[a][1] + 1))
-            waits[b] -= 1
-            if not waits[b]:
-                ready.append(b)
-    out = [(x, *(place if x in done else own)[x], x not in done) for x in place]
-    return pd.DataFrame(out, columns=["uid", "place", "depth", "cyclic"])
+        x = ready.popleft()
+        done.add(x)
+        for y in after[x]:
+            place[y] = max(place[y], (place[x][0], place[x][1] + 1))
+            waits[y] -= 1
+            if not waits[y]:
+                ready.append(y)
+    return [(x, *(place if x in done else own)[x], x not in done) for x in place]
+
+
+def _placed(links: DataFrame) -> DataFrame:
+    """``placed`` for each conversation of the links (conv, a, ta, b, tb)."""
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                found = placed(*(pa.chunked_array([part.column(c) for part in held]).to_pylist() for c in ("a", "ta", "b", "tb")))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*found, strict=True)], names=["uid", "place", "depth", "cyclic"])
+
+        for (own,), part in runs(items, ["conv"]):
+            if own != key:
+                yield from flush()
+                key, held = own, []
+            held.append(part)
+        yield from flush()
+
+    return links.repartition("conv").sortWithinPartitions("conv").mapInArrow(run, "uid long, place long, depth long, cyclic boolean")
 
 
 def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -212,7 +233,7 @@ def format_chats(conversations: DataFrame, schemas: dict[str, dict] | None = Non
     waits = refs.join(linked.select("conv", "id", F.col("b").alias("a"), F.col("tb").alias("ta")), ["conv", "id"]).where("a <> b")
     links = linked.select("conv", "a", "ta", "b", "tb").union(waits.select("conv", "a", "ta", "b", "tb"))
     late = links.where("ta >= tb").select("conv").distinct()
-    moved = links.join(late, "conv", "left_semi").groupBy("conv").applyInPandas(placed, "uid long, place long, depth long, cyclic boolean")
+    moved = _placed(links.join(late, "conv", "left_semi"))
 
     ends = linked.select(F.col("a").alias("uid"), "at").union(linked.select("b", F.lit(-1)))
     ends = ends.groupBy("uid").agg(F.collect_set("at").alias("ends"))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrow import runs
+
 from .shared import Scratch, trim
 
 LEAF, BLOCK = 64, 4096
@@ -122,16 +124,6 @@ def integers(column: str, scale: int = 256) -> Column:
     return F.when(F.forall(values, finite), F.transform(values, lambda x: F.floor(F.lit(float(scale)) * x).cast("long")))
 
 
-def _runs(items: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
-    """Stretches of a batch with equal keys."""
-    for batch in items:
-        if batch.num_rows:
-            columns = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
-            cuts = [0, *(np.flatnonzero((columns[:, 1:] != columns[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield tuple(columns[:, a].tolist()), batch.slice(a, b - a)
-
-
 def _matrix(batch: pa.RecordBatch, size: int) -> np.ndarray:
     return batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(batch.num_rows, size)
 
@@ -148,7 +140,7 @@ def _trees(held: DataFrame) -> DataFrame:
                 order = tree_order(_matrix(rows.to_batches()[0], key[1]).astype(np.float64))
                 yield from rows.take(pa.array(order)).append_column("at", pa.array(np.arange(len(order)))).to_batches(max_chunksize=4096)
 
-        for own, part in _runs(items, ["shard", "size"]):
+        for own, part in runs(items, ["shard", "size"]):
             if own != key:
                 yield from flush()
                 key, parts = own, []
@@ -164,7 +156,7 @@ def _answers(trees: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, rows, shard = None, [], [], None
-        for (number, size, is_query), part in _runs(items, ["shard", "size", "asks"]):
+        for (number, size, is_query), part in runs(items, ["shard", "size", "asks"]):
             if (number, size) != key:
                 key, ids, rows, shard = (number, size), [], [], None
             if not is_query:

@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import line_dedup, minhash, packing, secret_scan, toxicity
-from tessera.llm.shared import table, written
+from tessera.llm.shared import Scratch, table
 from tessera.session import sized
 
 
@@ -62,7 +62,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), []
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.keep(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        scratch.drop(*before)
+        before = [f"pipeline-{name}"]
     return docs

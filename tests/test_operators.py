@@ -592,3 +592,23 @@ def test_retrieval_store_holds_all_chunks(spark, tmp_path):
     rows = QUERIES["retrieval_store"](spark, str(tmp_path)).collect()
     assert len({r.chunk_id for r in rows}) == len(rows) == math.ceil((len(whole) - 320) / 200) + 1
     assert all(abs(sum(x * x for x in r.emb) - 1) < 1e-4 for r in rows)
+
+
+def test_common_subsequences():
+    from tessera.operators.dedup import in_common, places
+
+    def longest(a: str, b: str) -> int:
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *row[1:]]
+            before = row[:]
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return row[-1]
+
+    draw = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(draw.choice("abc") for _ in range(draw.randrange(30))) for _ in "ab")
+        b = a[draw.randrange(4) :] + b[:3] if draw.random() < 0.5 else b
+        want = longest(a, b)
+        assert all(in_common(places(a), len(a), b, need, step) == (want >= need) for need in range(32) for step in (1, 4, 128))

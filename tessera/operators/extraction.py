@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import triples as tf
+from tessera.session import cut_lineage
 
 from .phrases import first_holders
 
@@ -95,26 +96,18 @@ def refined(triples: DataFrame, texts: DataFrame, refiner: Callable[[str, str, s
 def consistent(triples: DataFrame) -> DataFrame:
     """Drops loops and repeats, then triples that contradict an earlier kept one between the same two entities.
 
-    Only pairs of entities with at least two different relations can contradict; the order-dependent
-    scan runs over those small groups alone."""
+    A relation contradicts one other at most, so of the two the one that comes first between two
+    entities stays: a minimum, which is aggregated before a shuffle. Of equal numbers the
+    one of the smaller document comes first."""
     low = lambda c: F.lower(F.col(c))
-    keyed = triples.where(low("s") != low("o")).withColumns({"_a": F.least(low("s"), low("o")), "_b": F.greatest(low("s"), low("o")), "_r": F.translate(low("r"), "_-", "  ")})
-    first = keyed.groupBy(low("s").alias("_s"), "_r", low("o").alias("_o")).agg(F.min("triple_idx").alias("_i"))
-    once = keyed.join(first, (low("s") == F.col("_s")) & (low("o") == F.col("_o")) & (keyed["_r"] == first["_r"]) & (F.col("triple_idx") == F.col("_i")), "left_semi")
-    named = [x for pair in tf.CONTRADICTIONS for x in pair]
-    risky = once.where(F.col("_r").isin(*named)).groupBy("_a", "_b").agg(F.countDistinct("_r").alias("n")).where("n > 1").select("_a", "_b")
-    safe = once.join(risky, ["_a", "_b"], "left_anti")
-    pairs = {frozenset(p) for p in tf.CONTRADICTIONS}
-
-    def scan(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[str] = []
-        keep = []
-        for r in rows.sort_values("triple_idx")["_r"]:
-            good = not any(frozenset((r, k)) in pairs for k in kept)
-            keep.append(good)
-            if good:
-                kept.append(r)
-        return rows.sort_values("triple_idx")[keep]
-
-    checked = once.join(risky, ["_a", "_b"]).select(*safe.columns).groupBy("_a", "_b").applyInPandas(lambda rows: scan(rows), safe.schema)
-    return safe.unionByName(checked).select(*triples.columns)
+    side = {r: i for i, pair in enumerate(tf.CONTRADICTIONS) for r in pair}
+    number = F.element_at(F.create_map(*[F.lit(x) for item in side.items() for x in item]), F.col("_r"))
+    keyed = triples.where(low("s") != low("o")).withColumns({"_s": low("s"), "_o": low("o"), "_r": F.translate(low("r"), "_-", "  ")})
+    keyed = keyed.withColumns({"_a": F.least("_s", "_o"), "_b": F.greatest("_s", "_o"), "_pair": number})
+    keyed = cut_lineage(keyed, "keyed-triples")
+    first = keyed.groupBy("_s", "_r", "_o").agg(F.min("triple_idx").alias("_i"))
+    once = keyed.join(first, ["_s", "_r", "_o"]).where(F.col("triple_idx") == F.col("_i"))
+    named = keyed.where("_pair is not null").groupBy("_a", "_b", "_pair").agg(F.min_by("_r", F.struct("triple_idx", "doc_id", "_r")).alias("_kept"), F.count_distinct("_r").alias("_n"))
+    lost = named.where("_n > 1").select("_a", "_b", F.explode(F.array(*[F.lit(r) for r in side])).alias("_r"), "_pair", "_kept")
+    lost = lost.where((number == F.col("_pair")) & (F.col("_r") != F.col("_kept"))).select("_a", "_b", "_r")
+    return once.join(lost, ["_a", "_b", "_r"], "left_anti").select(*triples.columns)

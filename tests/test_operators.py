@@ -612,3 +612,22 @@ def test_common_subsequences():
         b = a[draw.randrange(4) :] + b[:3] if draw.random() < 0.5 else b
         want = longest(a, b)
         assert all(in_common(places(a), len(a), b, need, step) == (want >= need) for need in range(32) for step in (1, 4, 128))
+
+
+def test_consistency_without_a_call_for_each_pair(spark):
+    draw = random.Random(5)
+    names = ["causes", "caused by", "is", "Is_Not", "has", "lacks", "near"]
+    rows = [(1, i, draw.choice("abc"), draw.choice(names), draw.choice("ABcd")) for i in range(120)]
+    found = extraction.consistent(spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string"))
+    against = {"causes": "caused by", "caused by": "causes", "is": "is not", "is not": "is", "has": "lacks", "lacks": "has"}
+    want, seen, kept = [], set(), set()
+    for _, i, s, r, o in rows:
+        ends, name = (s.lower(), o.lower()), r.lower().replace("_", " ")
+        if ends[0] == ends[1] or (ends, name) in seen:
+            continue
+        seen.add((ends, name))
+        if (frozenset(ends), against.get(name)) not in kept:
+            kept.add((frozenset(ends), name))
+            want.append(i)
+    assert sorted(r.triple_idx for r in found.collect()) == want
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()

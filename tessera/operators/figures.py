@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ANSWER = "type string, confidence double, summary string, key_values array<struct<label:string,value:string,metric:string>>, trend string"
@@ -31,21 +31,40 @@ def captions(figures: DataFrame, lines: DataFrame, reach: float = 60.0, preview:
 def aligned(figures: DataFrame, chunks: DataFrame, far: bool = True) -> DataFrame:
     """figure_id and chunk_id: on the page the chunk nearest by centre, or the first one; else the first on a page beside; else the first of the nearest page of the document.
 
-    Figures (doc_id, figure_id, page, bbox) meet chunks (doc_id, chunk_id, page, seq, bbox) of
-    their document and page, or a page beside, alone. The fallback looks at one chunk a page."""
-    centre = lambda box: (box[1] + box[3]) / 2
-    c = chunks.select("doc_id", "page", "chunk_id", "seq", centre(F.col("bbox")).alias("cy"))
-    f = figures.select("doc_id", "figure_id", F.col("page").alias("at"), centre(F.col("bbox")).alias("fy"))
-    near = f.withColumn("page", F.explode(F.array(F.col("at"), F.col("at") - 1, F.col("at") + 1))).join(c, ["doc_id", "page"])
-    tier = F.when(F.col("page") == F.col("at"), 0).otherwise(1)
-    apart = F.when(tier == 0, F.coalesce(F.abs(F.col("fy") - F.col("cy")), F.lit(float("inf")))).otherwise(0.0)
-    best = near.groupBy("figure_id").agg(F.min_by("chunk_id", F.struct(tier, apart, F.col("seq"))).alias("chunk_id"))
+    No figure meets the chunks one by one: the nearest centres above and below a place on a page
+    are the neighbours in one sorted run of both, and a page stands for its chunks by its first
+    one. Places and centres that occur often are put together first."""
+    known = lambda y: F.when(~F.isnan(y), y)
+    centre = lambda box: known((box[1] + box[3]) / 2)
+    c = chunks.select("doc_id", "page", "chunk_id", "seq", centre(F.col("bbox")).alias("y"))
+    f = figures.select("doc_id", "figure_id", "page", centre(F.col("bbox")).alias("y"))
+    one = F.min(F.struct("seq", "chunk_id")).alias("one")
+    centres = c.groupBy("doc_id", "page", "y").agg(one)
+    pages = centres.groupBy("doc_id", "page").agg(F.min("one").alias("one"))
+    spots = f.select("doc_id", "page", "y").distinct()
+    # On the page: the run of centres and places, each place with the centre before and after it.
+    both = centres.where("y is not null").select("doc_id", "page", "y", F.struct(F.col("y").alias("cy"), "one").alias("c")).unionByName(spots.where("y is not null"), allowMissingColumns=True)
+    run = Window.partitionBy("doc_id", "page")
+    so_far = lambda order: F.last("c", True).over(run.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    both = both.withColumns({"before": so_far(F.asc("y")), "after": so_far(F.desc("y"))}).where("c is null")
+    near = lambda x: F.when(F.col(x).isNotNull(), F.struct(F.abs(F.col("y") - F.col(x)["cy"]).alias("apart"), F.col(x)["one"].alias("one")))
+    nearest = both.select("doc_id", "page", "y", F.least(near("before"), near("after"))["one"].alias("nearest"))
+    spots = spots.withColumn("key", F.coalesce("y", F.lit(float("nan"))))
+    nearest = nearest.withColumn("key", F.col("y")).drop("y")
+    at = spots.join(nearest, ["doc_id", "page", "key"], "left").join(pages, ["doc_id", "page"], "left")
+    at = at.select("doc_id", "page", "key", F.coalesce("nearest", "one").alias("own"))
+    beside = pages.select("doc_id", F.explode(F.array(F.col("page") - 1, F.col("page") + 1)).alias("page"), "one").groupBy("doc_id", "page").agg(F.min("one").alias("beside"))
+    at = at.join(beside, ["doc_id", "page"], "left")
+    best = lambda tier, c: F.when(F.col(c).isNotNull(), F.struct(F.lit(tier).alias("tier"), F.col(c).alias("one")))
+    at = at.select("doc_id", "page", "key", F.coalesce(best(0, "own"), best(1, "beside")).alias("best"))
+    f = f.select("doc_id", "figure_id", "page", F.coalesce("y", F.lit(float("nan"))).alias("key"))
+    chosen = lambda rows: rows.groupBy("figure_id").agg(F.min("best")["one"]["chunk_id"].alias("chunk_id"))
+    out = chosen(f.join(at.where("best is not null"), ["doc_id", "page", "key"]))
     if not far:
-        return best
-    # A row for each page of a document that has chunks.
-    pages = c.groupBy("doc_id", "page").agg(F.min_by("chunk_id", "seq").alias("chunk_id"), F.min("seq").alias("seq"))
-    rest = f.join(best, "figure_id", "left_anti").join(pages, "doc_id")
-    return best.union(rest.groupBy("figure_id").agg(F.min_by("chunk_id", F.struct(F.abs(F.col("page") - F.col("at")), F.col("seq"))).alias("chunk_id")))
+        return out
+    rest = f.join(out, "figure_id", "left_anti").select("doc_id", "figure_id", "page")
+    away = rest.select("doc_id", F.col("page").alias("at")).distinct().join(pages, "doc_id").groupBy("doc_id", "at").agg(F.min(F.struct(F.abs(F.col("page") - F.col("at")).alias("away"), "one")).alias("best"))
+    return out.union(chosen(rest.join(away.withColumnRenamed("at", "page"), ["doc_id", "page"])))
 
 
 def parse_answer(x: Column) -> Column:

@@ -631,3 +631,31 @@ def test_consistency_without_a_call_for_each_pair(spark):
             want.append(i)
     assert sorted(r.triple_idx for r in found.collect()) == want
     assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_figures_among_many_chunks(spark):
+    draw = random.Random(9)
+    box = lambda: None if draw.random() < 0.1 else [0.0, float(draw.randrange(30)), 1.0, float(draw.randrange(30))]
+    f = [(draw.randrange(3), i, draw.randrange(8), box()) for i in range(80)]
+    c = [(draw.randrange(2), f"c{i}", draw.choice([0, 1, 2, 6]), box(), i) for i in range(60)]
+    centre = lambda b: None if b is None else (b[1] + b[3]) / 2
+    want = {}
+    for d, i, page, b in f:
+
+        def place(x, d=d, page=page, b=b):
+            y, z, away = centre(b), centre(x[3]), abs(x[2] - page)
+            return (min(away, 2), (math.inf if y is None or z is None else abs(y - z)) if away == 0 else 0 if away == 1 else away, x[4])
+
+        own = [x for x in c if x[0] == d]
+        if own:
+            want[i] = min(own, key=place)[1]
+    schema = "page int, bbox array<double>"
+    got = figures.aligned(spark.createDataFrame(f, f"doc_id int, figure_id int, {schema}"), spark.createDataFrame(c, f"doc_id int, chunk_id string, {schema}, seq int"))
+    assert {r.figure_id: r.chunk_id for r in got.collect()} == want
+
+
+def test_similar_pairs_send_few_copies(spark):
+    draw = random.Random(2)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, emb array<float>")
+    assert shuffled(spark, lambda: linking.similar_pairs(df, 0.9999).count()) < 3 * len(rows)  # a vector once and to two other cells at most

@@ -26,88 +26,107 @@ def string_clusters(entities: DataFrame) -> DataFrame:
     return named.join(large.select("cluster"), "cluster", "left_semi")
 
 
-def _celled(unit: DataFrame, centres: np.ndarray) -> DataFrame:
-    """Unit vectors with the cell of their nearest centre and the angle to it."""
-    kind = dict(unit.dtypes)["id"]
+def _unit(batch: pa.RecordBatch, dims: int) -> np.ndarray:
+    return matrix(batch.column("emb"), dims).astype(np.float64) / batch.column("size").to_numpy()[:, None]
+
+
+def _celled(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """Vectors with the cell of their nearest centre and the angle to it."""
+    kinds = dict(vectors.dtypes)
 
     def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in items:
             if batch.num_rows:
-                near = matrix(batch.column("emb"), centres.shape[1]) @ centres.T
+                near = _unit(batch, centres.shape[1]) @ centres.T
                 cell = near.argmax(1)
                 angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("emb"), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["id", "emb", "cell", "angle"])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("emb"), batch.column("size"), pa.array(cell.astype(np.int32)), pa.array(angle)], names=["id", "emb", "size", "cell", "angle"])
+
+    return vectors.select("id", "emb", "size").mapInArrow(run, f"id {kinds['id']}, emb {kinds['emb']}, size double, cell int, angle double")
 
-    return unit.select("id", "emb").mapInArrow(run, f"id {kind}, emb array<double>, cell int, angle double")
 
+#: Vectors in a cell on average, and the number of cells that small tables have at most, for where angles are wide each cell costs a copy of half of all vectors; copies that leave a worker at once; visitors that are multiplied at once, in numbers of their matrix.
+CELL_ROWS, FEW_CELLS, COPIES, SCORES = 2048, 16, 4096, 1 << 21
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 2048, cells: int = 256) -> DataFrame:
+
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = 65_536, cells: int = 256) -> DataFrame:
     """All pairs of vectors at a cosine of the threshold or more, exactly.
 
     Vectors live in the cell of their nearest centre, one of at most ``cells`` vectors drawn by a
     hash. A vector visits another cell only if the angle to its centre, less the cell's widest
     angle, allows the threshold; so a vector is copied to the cells that it may match and not
-    to all. A cell of more than ``block_rows`` residents is split into blocks. A task holds one
-    block's residents, and visitors stream past them. Only pairs that pass leave the task."""
-    unit = vectors.select(F.col("id"), v.l2_normalize(F.col("emb")).alias("emb")).where(v.norm(F.col("emb")) > 0.5)
-    unit = cut_lineage(unit, "unit-vectors")
-    kind, dims = dict(unit.dtypes)["id"], unit.agg(F.max(F.size("emb"))).first()[0]
+    to all. A cell of more than ``block_rows`` residents is split into blocks, of which a
+    resident visits the later ones. A task holds one block's residents, and visitors stream
+    past them. Vectors are sent as they came, with their length. Only pairs that pass leave the task."""
+    sized = vectors.select("id", "emb", v.norm(F.col("emb")).alias("size")).where("size > 1e-9 and size < double('infinity')")
+    sized = cut_lineage(sized, "vectors")
+    kinds, dims = dict(sized.dtypes), sized.agg(F.max(F.size("emb"))).first()[0]
     if dims is None:
-        return unit.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
-    rows = unit.count()
-    drawn = unit.orderBy(F.xxhash64("id"), "id").limit(min(cells, -(-rows // block_rows))).select("emb").collect()  # at most ``cells`` rows
-    centres = np.array([r.emb for r in drawn])
-    held = cut_lineage(_celled(unit, centres), "celled")
+        return sized.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity")).limit(0)
+    rows = sized.count()
+    drawn = sized.orderBy(F.xxhash64("id"), "id").limit(min(cells, max(-(-rows // block_rows), min(FEW_CELLS, -(-rows // CELL_ROWS))))).select("emb", "size").collect()  # at most ``cells`` rows
+    centres = np.array([r.emb for r in drawn], np.float64) / np.array([[r.size] for r in drawn])
+    held = cut_lineage(_celled(sized, centres), "celled")
     stats = {r.cell: r for r in held.groupBy("cell").agg(F.max("angle").alias("wide"), F.count("*").alias("n")).collect()}
     wide = np.array([stats[c].wide if c in stats else -10.0 for c in range(len(centres))])
     blocks = np.array([-(-stats[c].n // block_rows) if c in stats else 0 for c in range(len(centres))])
     reach = np.arccos(np.clip(threshold, -1, 1)) + 1e-6
 
     def dealt(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in items:
-            if not batch.num_rows:
-                continue
-            cell = batch.column("cell").to_numpy()
-            angles = np.arccos(np.clip(matrix(batch.column("emb"), dims) @ centres.T, -1, 1))
-            visits = (angles - wide <= reach) & (np.arange(len(centres)) > cell[:, None])  # a pair of cells meets in the later one
-            visits[np.arange(len(cell)), cell] = True  # residents visit their own cell's blocks
-            row, to = np.nonzero(visits)
-            many = blocks[to]
-            row, to = np.repeat(row, many), np.repeat(to, many)
-            block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            salt = batch.column("salt").to_numpy() % blocks[cell]
-            row, to = np.concatenate([np.arange(len(cell)), row]), np.concatenate([cell, to])
-            block = np.concatenate([salt, block])
-            guest = np.concatenate([np.zeros(len(cell)), np.ones(len(row) - len(cell))])
-            own = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("emb").take(own), pa.array(to.astype(np.int32)), pa.array(block.astype(np.int32)), pa.array(guest.astype(np.int32)), pa.array(cell[row] == to)], names=["id", "emb", "cell", "block", "guest", "own"])
+        for whole in items:
+            for start in range(0, whole.num_rows, 1024):
+                batch = whole.slice(start, 1024)
+                cell = batch.column("cell").to_numpy()
+                angles = np.arccos(np.clip(_unit(batch, dims) @ centres.T, -1, 1))
+                visits = (angles - wide <= reach) & (np.arange(len(centres)) > cell[:, None])  # a pair of cells meets in the later one
+                salt = batch.column("salt").to_numpy() % blocks[cell]
+                visits[np.arange(len(cell)), cell] = True
+                row, to = np.nonzero(visits)
+                many = blocks[to]
+                row, to = np.repeat(row, many), np.repeat(to, many)
+                block = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                home = to == cell[row]
+                guest = ~(home & (block == salt[row]))
+                sent = ~home | (block >= salt[row])  # a pair of blocks meets in the later one
+                row, to, block, guest = row[sent], to[sent], block[sent], guest[sent]
+                for at in range(0, len(row), COPIES):
+                    part = slice(at, at + COPIES)
+                    own = batch.select(["id", "emb", "size"]).take(pa.array(row[part]))
+                    yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x[part].astype(np.int32)) for x in (to, block, guest))], names=["id", "emb", "size", "cell", "block", "guest"])
 
     def multiply(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, held_rows = None, [], []
         for (cell, block, guest), part in runs(items, ["cell", "block", "guest"]):
             if (cell, block) != key:
                 key, ids, held_rows = (cell, block), [], []
+            first = sum(map(len, ids))
             if not guest:
                 ids.append(part.column("id"))
-                held_rows.append(matrix(part.column("emb"), dims))
-                continue
-            if len(held_rows) > 1:
+                held_rows.append(_unit(part, dims))
+            elif len(held_rows) > 1:
                 held_rows, ids = [np.concatenate(held_rows)], [pa.concat_arrays(ids)]
-            if not held_rows:
-                continue
-            for at in range(0, part.num_rows, 4096):
-                some = part.slice(at, 4096)
-                scores = matrix(some.column("emb"), dims) @ held_rows[0].T
-                x, y = np.nonzero(scores >= threshold)
-                a, b = some.column("id").take(pa.array(x)), ids[0].take(pa.array(y))
-                keep = pc.or_(pc.and_(pc.invert(some.column("own").take(pa.array(x))), pc.not_equal(a, b)), pc.less(a, b))
-                a, b = a.filter(keep), b.filter(keep)
-                swap = pc.greater(a, b)
-                found = [pc.if_else(swap, b, a), pc.if_else(swap, a, b), pa.array(scores[x, y]).filter(keep)]
-                yield pa.RecordBatch.from_arrays(found, names=["a", "b", "similarity"])
-
-    sent = held.withColumn("salt", F.xxhash64("id").bitwiseAND(F.lit((1 << 31) - 1))).mapInArrow(dealt, f"id {kind}, emb array<double>, cell int, block int, guest int, own boolean")
-    return sent.repartition("cell", "block").sortWithinPartitions("cell", "block", "guest").mapInArrow(multiply, f"a {kind}, b {kind}, similarity double")
+            many = max(1, SCORES // max(1, sum(map(len, ids))))
+            for at in range(0, part.num_rows, many):
+                some = part.slice(at, many)
+                unit = _unit(some, dims)
+                before = 0
+                for known, those in zip(held_rows, ids, strict=True):
+                    scores = unit @ known.T
+                    x, y = np.nonzero(scores >= threshold)
+                    if not guest:  # residents meet the earlier ones
+                        earlier = before + y < first + at + x
+                        x, y = x[earlier], y[earlier]
+                    before += len(those)
+                    a, b = some.column("id").take(pa.array(x)), those.take(pa.array(y))
+                    keep, swap = pc.not_equal(a, b), pc.greater(a, b)
+                    found = [pc.if_else(swap, b, a).filter(keep), pc.if_else(swap, a, b).filter(keep), pa.array(scores[x, y]).filter(keep)]
+                    for i in range(0, len(found[0]), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([z.slice(i, 1 << 16) for z in found], names=["a", "b", "similarity"])
+
+    given = held.withColumn("salt", F.xxhash64("id").bitwiseAND(F.lit((1 << 31) - 1)))
+    sent = given.mapInArrow(dealt, f"id {kinds['id']}, emb {kinds['emb']}, size double, cell int, block int, guest int")
+    tasks = max(int(blocks.sum()), vectors.sparkSession.sparkContext.defaultParallelism)
+    return sent.repartition(min(tasks, 2048), "cell", "block").sortWithinPartitions("cell", "block", "guest").mapInArrow(multiply, f"a {kinds['id']}, b {kinds['id']}, similarity double")
 
 
 def embedding_clusters(vectors: DataFrame, threshold: float = 0.88) -> DataFrame:

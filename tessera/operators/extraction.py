@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import triples as tf
 from tessera.session import cut_lineage
@@ -56,11 +59,53 @@ def to_documents(triples: DataFrame, docs: DataFrame) -> DataFrame:
     return out.withColumn("doc_id", F.coalesce(F.least("at_s", "at_o"), F.lit(first))).drop("at_s", "at_o")
 
 
+def alignments(triples: DataFrame, texts: DataFrame) -> DataFrame:
+    """The triples whose document has a text, with how well it supports them (see ``context_alignment``).
+
+    A text is lower-cased once and goes to its triples' task once; there each
+    different word is looked for once. A row of a document is a text or a triple, the texts first."""
+    low = lambda c: F.lower(F.col(c))
+    phrase = F.replace(low("r"), F.lit("_"), F.lit(" "))
+    rows = triples.select("doc_id", F.struct(*triples.columns).alias("t"), low("s").alias("s"), low("o").alias("o"), phrase.alias("r"), F.lit(None).cast("string").alias("text"), F.lit(1).alias("kind"))
+    none = F.lit(None).cast("string")
+    whole = texts.select("doc_id", F.lit(None).cast(rows.schema["t"].dataType).alias("t"), none.alias("s"), none.alias("o"), none.alias("r"), low("text").alias("text"), F.lit(0).alias("kind"))
+    synonyms = {r: phrases for key, phrases in reversed(tf.SYNONYMS.items()) for r in (key, *phrases)}
+
+    def score(at: Callable[[str | None], int | None], s: str | None, r: str | None, o: str | None) -> float:
+        x, y = at(s), at(o)
+        has_s, has_o = x is not None and x >= 0, y is not None and y >= 0
+        held = lambda w: w is not None and (at(w) if at(w) is not None else -1) >= 0
+        entities = 0.5 if has_s and has_o else 0.3 if has_s or has_o else 0.1
+        relation = 0.3 if held(r) else 0.2 if any(map(held, synonyms.get(r, ()))) else 0.0
+        apart = abs(y - x) if has_s and has_o else 100
+        return min(entities + relation + (0.2 if apart < 50 else 0.1 if apart < 100 else 0.0), 1.0)
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, looked = None, []
+        for batch in items:
+            part, values = [], []
+            ids, kinds, bodies = (batch.column(c).to_pylist() for c in ("doc_id", "kind", "text"))
+            for i, words in enumerate(zip(*(batch.column(c).to_pylist() for c in "sro"), strict=True)):
+                if ids[i] != doc:
+                    doc, looked = ids[i], []
+                if not kinds[i]:
+                    body = bodies[i]
+                    looked.append(cache(lambda w, body=body: None if w is None or body is None else body.find(w)))
+                    continue
+                for at in looked:
+                    part.append(i)
+                    values.append(score(at, *words))
+            if part:
+                yield pa.RecordBatch.from_arrays([batch.column("t").take(pa.array(part)), pa.array(values)], names=["t", "alignment"])
+
+    tasks = max(triples.sparkSession.sparkContext.defaultParallelism, int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = rows.unionByName(whole).where("doc_id is not null").repartition(tasks, "doc_id").sortWithinPartitions("doc_id", "kind")
+    return met.mapInArrow(run, T.StructType([rows.schema["t"], T.StructField("alignment", T.DoubleType())])).select("t.*", "alignment")
+
+
 def valid_in_context(triples: DataFrame, texts: DataFrame, threshold: float = 0.3) -> DataFrame:
     """Triples that their document's text supports well enough."""
-    known = triples.join(texts.select("doc_id", "text"), "doc_id")
-    aligned = tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text"))
-    return known.withColumn("alignment", aligned).where(F.col("alignment") >= threshold).drop("text")
+    return alignments(triples, texts).where(F.col("alignment") >= threshold)
 
 
 def refinement_stats(refined: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from tessera.functions import relations as rel
 from tessera.functions import text as fn
 from tessera.functions import triples as tf
 from tessera.functions import vectors as vf
-from tessera.operators import chunking, linking, paths, questions, retrieval, weighting
+from tessera.operators import chunking, extraction, linking, paths, questions, retrieval, weighting
 from tessera.session import cut_lineage, table
 
 from .registry import query
@@ -118,8 +118,8 @@ def _filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, CAST(triple_idx AS INT) AS triple_idx, round(least(1.0, 0.5 + 0.3 + CASE WHEN abs(instr(x, lo) - instr(x, ls)) < 50 THEN 0.2 WHEN abs(instr(x, lo) - instr(x, ls)) < 100 THEN 0.1 ELSE 0.0 END)::DOUBLE, 6) AS alignment FROM l""")
 def _alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples cut from a text occur in it, so both entities and the relation count."""
-    rows = text_triples(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return rows.select("doc_id", "triple_idx", F.round(tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text")), 6).alias("alignment"))
+    rows = extraction.alignments(text_triples(spark, sf_dir), table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "triple_idx", F.round("alignment", 6).alias("alignment"))
 
 
 PARSE = "SELECT '(' || n_name || ', located in, ' || r_name || ') and (' || r_name || ',has,' || n_name || ')' AS said, n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"

@@ -659,3 +659,17 @@ def test_similar_pairs_send_few_copies(spark):
     rows = [(i, [draw.gauss(0, 1) for _ in range(4)]) for i in range(6000)]
     df = spark.createDataFrame(rows, "id long, emb array<float>")
     assert shuffled(spark, lambda: linking.similar_pairs(df, 0.9999).count()) < 3 * len(rows)  # a vector once and to two other cells at most
+
+
+def test_alignments_equal_the_expression(spark):
+    from tessera.functions import triples as tf
+
+    draw = random.Random(4)
+    words = ["Cat", "dog", "uses", "employs", "part_of", "İx", "é", "", None, "is_a", "kind"]
+    texts = [(1, "The cat uses a DOG, a kind of é " * 3), (1, "dog employs cat"), (2, None), (3, "i̇x " + "pad " * 30 + "part of dog"), (None, "cat"), (5, "")]
+    rows = [(draw.choice([1, 2, 3, 4, 5, None]), i, draw.choice(words), draw.choice(words), draw.choice(words)) for i in range(300)]
+    t = spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string")
+    x = spark.createDataFrame(texts, "doc_id long, text string")
+    want = t.join(x, "doc_id").withColumn("alignment", tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text"))).drop("text")
+    got = extraction.alignments(t, x)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns

@@ -39,13 +39,26 @@ def geo_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _indexed(rows)
 
 
+#: Rows of a task of the joins of orders and of their lines: what a task holds doesn't grow with the tables, as a split of a file or a merged partition would.
+TASK_ROWS = 1 << 19
+
+
+def _tasks(rows: DataFrame) -> int:
+    """Tasks of some ``TASK_ROWS`` for a stored table, at least one for each core; the number of rows comes from the files' footers."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+
+
 def brand_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    """Orders with their customer, and with the brands of their lines; the brands of an order are made distinct by its key, where its lines are joined, before names are made."""
+    orders, customer = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     name = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))
-    own = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_custkey").alias("doc_id"), name.alias("s"), F.lit("belongs_to").alias("r"), F.col("c_name").alias("o"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
-    held = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("doc_id"), name.alias("s"), F.lit("contains").alias("r"), F.col("p_brand").alias("o")).distinct()
-    return _indexed(own.union(held))
+    triple = lambda r, o: (F.col("o_custkey").alias("doc_id"), name.alias("s"), F.lit(r).alias("r"), F.col(o).alias("o"))
+    own = orders.repartition(_tasks(orders), "o_custkey").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(*triple("belongs_to", "c_name"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = _tasks(lines)
+    lines = lines.join(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_brand")
+    held = orders.join(lines.repartition(tasks, "l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_custkey", "o_orderkey", "p_brand").distinct()
+    return _indexed(own.union(held.select(*triple("contains", "p_brand"))))
 
 
 def _values(rows: list[tuple]) -> str:

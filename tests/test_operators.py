@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions import relations, text, triples, vectors
 from tessera.operators import chunking, dedup, extraction, figures, linking, models, paths, phrases, quality, questions, retrieval, stats, weighting
 from tessera.operators.components import connected_components
+from tessera.plans import graph_queries
 from tessera.plans.config import CHUNKS_BY_LANGUAGE, merged, settings
 from tessera.plans.graph_build import build_with_retrieval
 from tessera.sources import documents, files, sinks
@@ -673,3 +674,15 @@ def test_alignments_equal_the_expression(spark):
     want = t.join(x, "doc_id").withColumn("alignment", tf.context_alignment(F.col("s"), F.col("r"), F.col("o"), F.col("text"))).drop("text")
     got = extraction.alignments(t, x)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
+
+
+def test_brands_of_orders_are_dealt_by_rows(spark, sf, monkeypatch):
+    want = set(graph_queries.brand_triples(spark, sf).collect())
+    monkeypatch.setattr(graph_queries, "TASK_ROWS", 500)
+    found = graph_queries.brand_triples(spark, sf)
+    rows = found.collect()
+    assert set(rows) == want and len(rows) == len(want)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    plan = weighting.bridge_entities(found)._jdf.queryExecution().sparkPlan().toString()
+    dealt = next(i for i, x in enumerate(plan.splitlines()) if "REPARTITION_BY_NUM" in x and "l_orderkey" in x and f", {-(-lines // 500)})" in x)
+    assert not any("Aggregate" in x for x in plan.splitlines()[dealt:])

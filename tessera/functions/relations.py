@@ -81,6 +81,19 @@ def tags(r: Column) -> Column:
     return F.struct(n.alias("name"), _mask(n, first).alias("first"), _mask(n, second).alias("second"), _mask(n, groups).alias("groups"), _mask(n, kinds).alias("kinds"))
 
 
+def bits(name: str) -> tuple[int, int, int, int]:
+    """The bits of ``tags`` for one normalized name, in Python."""
+    mask = lambda sets: sum(1 << i for i, names in enumerate(sets) if name in names)
+    return mask([(pair[0],) for pair in INVERSE]), mask([(pair[1],) for pair in INVERSE]), mask(GROUPS.values()), mask(CATEGORIES.values())
+
+
+def bits_compatible(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> float:
+    """``compatible`` of two relations of different names, in Python."""
+    if a[0] & b[1] or a[1] & b[0]:
+        return INVERSES
+    return RELATED if a[2] & b[2] else SAME_KIND if a[3] & b[3] else OTHER
+
+
 def compatible(a: Column, b: Column, similarity: Column | None = None) -> Column:
     """Compatibility of two relations by their tags."""
     meet = lambda x, y: a[x].bitwiseAND(b[y]) != 0

@@ -197,7 +197,8 @@ def _zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("intra_raw_orders", f"WITH {BRAND}, triples AS (SELECT * FROM brand), names AS (SELECT DISTINCT r FROM triples), {COMPAT}, {INTRA} SELECT src, dst, round(intra_raw, 5) AS intra_raw FROM intra")
 def _intra_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return weighting.intra_raw(brand_triples(spark, sf_dir)).where("intra_raw > 1e-9").select("src", "dst", F.round("intra_raw", 5).alias("intra_raw"))
+    tasks = _tasks(table(spark, sf_dir, "lineitem"))
+    return weighting.intra_raw(brand_triples(spark, sf_dir), tasks).where("intra_raw > 1e-9").select("src", "dst", F.round("intra_raw", 5).alias("intra_raw"))
 
 
 @query("intra_pair_weight", f"""WITH {BRAND}, seen AS (SELECT doc_id, s AS e1, o AS e2, r, 1 AS f FROM brand WHERE s <> o UNION ALL SELECT doc_id, o, s, r, 0 FROM brand WHERE s <> o),

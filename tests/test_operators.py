@@ -7,6 +7,7 @@ import zipfile
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -676,6 +677,38 @@ def test_alignments_equal_the_expression(spark):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
 
 
+def test_intra_of_many_documents(spark, monkeypatch):
+    draw = random.Random(7)
+    names = ["part_of", "Has-Part", "cause_of", "caused_by", "contains", "includes", "is", "uses", "own words", "other words", "samples"]
+    rows = [(d, i, draw.choice("abcd"), draw.choice(names), draw.choice(["a", "b", "c", "d", None])) for d in range(30) for i in range(1 if d % 3 else 40)]
+    rows += [(None, 1, "a", "is", "b"), (1, 99, "a", None, "b"), (0, 98, None, "is", None)]
+    df = spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string")
+    compat = {(r.r1, r.r2): r.compat for r in relations.compatibility_table(df.where("r is not null")).collect()}
+    want: dict = {}
+    for x, y in combinations([r for r in rows if r[0] is not None and r[3] is not None], 2):
+        w = compat[x[3], y[3]] * 0.6 + len(({x[2], x[4]} & {y[2], y[4]}) - {None}) * 0.5 * 0.4
+        if x[0] == y[0] and w > 0.3:
+            for t in (x, y):
+                ends = [e for e in (t[2], t[4]) if e is not None] or [None]
+                edge = (min(ends), max(ends)) if ends != [None] else (None, None)
+                want[edge] = want.get(edge, 0.0) + w
+    for many in (1 << 16, 16):
+        monkeypatch.setattr(weighting, "INTRA_ROWS", many)
+        parts = [pa.RecordBatch.from_pylist([{"doc_id": d, "r": r.lower().replace("-", "_"), "src": min(filter(None, (s, o)), default=None), "dst": max(filter(None, (s, o)), default=None)} for d, _, s, r, o in sorted((x for x in rows if x[0] is not None and x[3]), key=lambda x: x[0])[i : i + 9]]) for i in range(0, len(rows), 9)]
+        sums: dict = {}
+        for x in (x for b in weighting._intra_batches(iter([b.cast(pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("r", "src", "dst"))])) for b in parts if b.num_rows])) for x in b.to_pylist()):
+            sums[x["src"], x["dst"]] = sums.get((x["src"], x["dst"]), 0.0) + x["w"]
+        assert {k: v for k, v in sums.items() if v > 1e-9} == pytest.approx(want)
+    got = {(r.src, r.dst): r.intra_raw for r in weighting.intra_raw(df).where("intra_raw > 1e-9").collect()}
+    assert got == pytest.approx(want)
+
+
+def test_intra_sends_a_triple_to_its_document_once(spark):
+    rows = [(d, i, f"e{d}-{i}", ("part_of", "uses")[i % 2], f"e{d % 7}") for d in range(200) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, triple_idx int, s string, r string, o string")
+    assert shuffled(spark, lambda: weighting.intra_raw(df).count()) < 2.5 * len(rows)
+
+
 def test_brands_of_orders_are_dealt_by_rows(spark, sf, monkeypatch):
     want = set(graph_queries.brand_triples(spark, sf).collect())
     monkeypatch.setattr(graph_queries, "TASK_ROWS", 500)

@@ -9,6 +9,10 @@ found. No text meets a phrase with which it shares no word.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,13 +74,94 @@ def holders(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     return found.distinct().join(docs, "doc_id").where(F.contains("text", F.col("phrase"))).select("phrase", "doc_id")
 
 
+#: Tokens, grams or pairs that a worker holds before it sends them on.
+HELD = 1 << 17
+_SPACE = re.compile(rb"[\t-\r]")
+
+
+def _tokens(text: bytes, longest: int) -> Iterator[bytes]:
+    """The words of a text, and its stretches without a blank that hold other white space; long ones as windows that overlap by the longest phrase."""
+    found = set(text.split())
+    end = -1
+    for m in _SPACE.finditer(text):
+        if m.start() > end:
+            begin, end = text.rfind(b" ", 0, m.start()) + 1, text.find(b" ", m.start())
+            end = len(text) if end < 0 else end
+            found.add(text[begin:end])
+    for x in found:
+        if len(x) <= max(4 * longest, 256):
+            yield x
+        else:
+            whole, width = x.decode("utf-8", "surrogatepass"), max(2 * longest, 128)
+            for i in range(0, max(1, len(whole) - longest + 1), width - longest + 1):
+                yield whole[i : i + width].encode("utf-8", "surrogatepass")
+
+
+def _firsts(rows: DataFrame, column: str, each: Callable[[bytes], Iterable[bytes]], name: str) -> DataFrame:
+    """What ``each`` finds in the strings of a column, with the smallest doc_id; minima are taken in the workers first."""
+    kind = dict(rows.dtypes)["doc_id"]
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: dict[bytes, object] = {}
+
+        def sent() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(first), pa.binary()).cast(pa.string()), pa.array(list(first.values()), ids)], names=[name, "doc_id"])
+
+        for batch in items:
+            ids = batch.column("doc_id").type
+            for doc_id, value in zip(batch.column("doc_id").to_pylist(), batch.column(column).cast(pa.binary()).to_pylist(), strict=True):
+                for x in each(value):
+                    if x not in first or doc_id < first[x]:
+                        first[x] = doc_id
+                if len(first) >= HELD:
+                    yield sent()
+                    first.clear()
+        if first:
+            yield sent()
+
+    return rows.select("doc_id", column).mapInArrow(run, f"{name} string, doc_id {kind}").groupBy(name).agg(F.min("doc_id").alias("doc_id"))
+
+
+def _short_grams(token: bytes) -> set[bytes]:
+    x = token.decode("utf-8", "surrogatepass")
+    return {x[i : i + n].encode("utf-8", "surrogatepass") for n in (1, 2) for i in range(len(x) - n + 1)}
+
+
+def _token_grams(tokens: DataFrame) -> DataFrame:
+    """Tokens with their distinct stretches of ``GRAM`` characters."""
+    kind = dict(tokens.dtypes)["doc_id"]
+
+    def run(items: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in items:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                grams = [list({x[i : i + GRAM] for i in range(len(x) - GRAM + 1)}) for x in batch.column("token").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("doc_id"), pa.array(grams, pa.list_(pa.string()))], names=["token", "doc_id", "grams"])
+
+    return tokens.select("token", "doc_id").mapInArrow(run, f"token string, doc_id {kind}, grams array<string>").select("token", "doc_id", F.explode("grams").alias("gram"))
+
+
 def first_holders(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """phrase and the smallest doc_id that holds it.
 
-    For a single word the vocabulary with each word's first document is enough, however common it is."""
+    A phrase without a blank lies within a token of a text (see ``_tokens``), and a token's first
+    document is enough, however common it is; so each text is read once, and what is
+    looked through afterwards are the distinct tokens. Phrases of one or two characters are grams
+    themselves; longer ones are looked up by their rarest gram. Phrases with blanks go by ``holders``."""
     docs = docs.select("doc_id", "text").where("text is not null")
-    single = phrases.where(~F.col("phrase").rlike("\\s") & (F.col("phrase") != "")).select("phrase").distinct()
-    first = cut_lineage(vocabulary(docs).groupBy("word").agg(F.min("doc_id").alias("doc_id")), "first-words")
-    met = words_with(first, single.select(F.col("phrase").alias("part"))).join(first, "word").select(F.col("part").alias("phrase"), "doc_id")
-    several = holders(docs, phrases.where(F.col("phrase").rlike("\\s")))
-    return met.union(several).groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))
+    asked = phrases.select("phrase").where("phrase <> ''").distinct()
+    plain = cut_lineage(asked.where(~F.contains("phrase", F.lit(" "))).withColumn("n", F.char_length("phrase")), "plain-phrases")
+    several = holders(docs, asked.where(F.contains("phrase", F.lit(" "))))
+    longest = plain.agg(F.max("n")).first()[0]
+    if longest is None:
+        return several.groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))
+    tokens = cut_lineage(_firsts(docs, "text", lambda text: _tokens(text, longest), "token"), "first-tokens")
+    met = several
+    if not plain.where(F.col("n") < GRAM).isEmpty():
+        met = met.union(_firsts(tokens, "token", _short_grams, "phrase").join(plain.where(F.col("n") < GRAM).select("phrase"), "phrase").select("phrase", "doc_id"))
+    own = plain.where(F.col("n") >= GRAM).select("phrase", F.explode(_grams(F.col("phrase"), GRAM)).alias("gram"))
+    counts = _token_grams(tokens).join(own.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = own.join(counts, "gram", "left").groupBy("phrase").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    rarest = cut_lineage(rarest, "rarest-grams")
+    long = _token_grams(tokens).join(rarest, "gram").where(F.contains("token", F.col("phrase"))).select("phrase", "doc_id")
+    return met.union(long).groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))

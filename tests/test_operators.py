@@ -719,3 +719,20 @@ def test_brands_of_orders_are_dealt_by_rows(spark, sf, monkeypatch):
     plan = weighting.bridge_entities(found)._jdf.queryExecution().sparkPlan().toString()
     dealt = next(i for i, x in enumerate(plan.splitlines()) if "REPARTITION_BY_NUM" in x and "l_orderkey" in x and f", {-(-lines // 500)})" in x)
     assert not any("Aggregate" in x for x in plan.splitlines()[dealt:])
+
+
+def test_first_holders_look_at_distinct_tokens(spark):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice(["alpha", "be", "Ñoño", "日本", "x.y"]) + draw.choice([" ", " ", "\n", "\r\n", "\t ", "\u00a0", "\u2003", ""]) for _ in range(draw.randrange(30))) for _ in range(80)] + ["z" * 3000 + "needle" + "z" * 3000, "a\nb" * 900 + "pin\n", ""]
+    known = ["alpha", "be\nÑoño", "\nbe", "本\r\n日", "日", "x.", "be\u00a0be", "needle", "zneedlez", "bpin\n", "\n", "be alpha", "alpha\t be", "absent\nhere", "oñ", "a\nba\nb", "qq", "\t"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    want = {p: min(i for i, t in enumerate(texts) if p in t) for p in known if any(p in t for t in texts)}
+    asked = spark.createDataFrame([(p,) for p in known], "phrase string")
+    assert {r.phrase: r.doc_id for r in phrases.first_holders(docs, asked).collect()} == want
+
+
+def test_first_holders_write_no_rows_of_all_texts(spark):
+    words = [f"word{i}" for i in range(50)]
+    docs = spark.createDataFrame([(d, " ".join(words) + "\nlast") for d in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(w,) for w in [*words, "word49\nlast"]], "phrase string")
+    assert shuffled(spark, lambda: phrases.first_holders(docs, asked).count()) < 300 * 50 / 4

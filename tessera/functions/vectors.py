@@ -53,8 +53,12 @@ def _embedded(plain: list[str], dims: int, n: int) -> np.ndarray:
     begin, end = at[first], at[np.minimum(first + n, np.repeat(np.cumsum(sizes), grams))]
     crc = np.full(len(row), 0xFFFFFFFF, np.uint32)
     for k in range(int((end - begin).max(initial=0))):
-        own = begin + k < end
-        crc[own] = CRC[(crc[own] ^ data[begin[own] + k]) & 0xFF] ^ (crc[own] >> np.uint32(8))
+        own = np.flatnonzero(begin + k < end)
+        if len(own) == len(row):  # as the first bytes of all grams of n characters are
+            crc = CRC[(crc ^ data[begin + k]) & 0xFF] ^ (crc >> np.uint32(8))
+        else:
+            some = crc[own]
+            crc[own] = CRC[(some ^ data[begin[own] + k]) & 0xFF] ^ (some >> np.uint32(8))
     crc ^= np.uint32(0xFFFFFFFF)
     signs = np.where(crc >> np.uint32(20) & 1, 1.0, -1.0)
     sums = np.bincount(row * dims + crc % dims, signs, len(plain) * dims).reshape(-1, dims)

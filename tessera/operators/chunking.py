@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from tessera.functions import text as fn
 
 
+#: Windows that are cut from one block of a text. A place in a string is counted from its start, so from the whole text each window would cost half of it.
+BLOCK = 32
+
+
 def window_chunks(docs: DataFrame, size: int, step: int, chunk_type: str) -> DataFrame:
-    """Fixed windows of characters; the last one may be shorter. One narrow stage."""
-    last = F.greatest(F.lit(0), F.ceil((F.char_length("text") - size) / step)).cast("int")
-    out = docs.where(F.char_length("text") > 0).select("doc_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("chunk_index"))
+    """Fixed windows of characters; the last one may be shorter. One narrow stage, linear in a text of common length."""
+    n = F.char_length("text")
+    last = F.greatest(F.lit(0), F.ceil((F.col("n") - size) / step)).cast("int")
+    out = docs.where(n > 0).select("doc_id", "text", n.alias("n")).select("doc_id", "text", "n", last.alias("last"))
+    out = out.select("doc_id", "text", "n", "last", F.explode(F.sequence(F.lit(0), F.floor(F.col("last") / BLOCK).cast("int"))).alias("block"))
+    out = out.select("doc_id", "n", "last", (F.col("block") * BLOCK).alias("first"), F.substr("text", F.col("block") * (BLOCK * step) + 1, F.lit((BLOCK - 1) * step + size)).alias("part"))
+    out = out.select("doc_id", "n", "first", "part", F.explode(F.sequence(F.col("first"), F.least("last", F.col("first") + (BLOCK - 1)))).alias("chunk_index"))
     start = F.col("chunk_index") * step
-    out = out.select("doc_id", "chunk_index", F.lit(chunk_type).alias("chunk_type"), start.alias("start_char"), F.least(start + size, F.char_length("text")).alias("end_char"), F.substr("text", start + 1, F.lit(size)).alias("chunk"))
+    out = out.select("doc_id", "chunk_index", F.lit(chunk_type).alias("chunk_type"), start.alias("start_char"), F.least(start + size, F.col("n")).alias("end_char"), F.substr("part", (F.col("chunk_index") - F.col("first")) * step + 1, F.lit(size)).alias("chunk"))
     return out.withColumn("chunk_id", fn.chunk_id(F.col("chunk"), F.col("doc_id"), F.col("chunk_index"))).withColumn("chunk_size", F.char_length("chunk"))
 
 

@@ -11,8 +11,12 @@ from tessera.functions import vectors as v
 
 
 def build_store(chunks: DataFrame, embed: Callable[[Column], Column] = v.hashing_embedding) -> DataFrame:
-    """Chunks with unit vectors; each distinct text is embedded once, chunks without a direction are left out."""
-    texts = chunks.select(F.col("chunk").alias("text")).distinct().withColumn("emb", embed(F.col("text"))).where(v.norm(F.col("emb")) > 1e-9)
+    """Chunks with unit vectors; each distinct text is embedded once, chunks without a direction are left out.
+
+    A condition on an embedding would be moved below the distinct texts, and by the join to the chunks
+    as well, and all of them be embedded there too; it doesn't pass an explode."""
+    texts = chunks.select(F.col("chunk").alias("text")).distinct().withColumn("emb", embed(F.col("text")))
+    texts = texts.select("text", F.explode(F.array("emb")).alias("emb")).where(v.norm(F.col("emb")) > 1e-9)
     return chunks.join(texts, chunks["chunk"] == texts["text"]).drop("text")
 
 

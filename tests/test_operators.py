@@ -7,6 +7,7 @@ import zipfile
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -736,3 +737,29 @@ def test_first_holders_write_no_rows_of_all_texts(spark):
     docs = spark.createDataFrame([(d, " ".join(words) + "\nlast") for d in range(300)], "doc_id long, text string")
     asked = spark.createDataFrame([(w,) for w in [*words, "word49\nlast"]], "phrase string")
     assert shuffled(spark, lambda: phrases.first_holders(docs, asked).count()) < 300 * 50 / 4
+
+
+def test_each_text_is_embedded_once(spark):
+    chunks = spark.createDataFrame([(i, f"{i}", f"text {i % 40}") for i in range(200)] + [(999, "none", "")], "doc_id long, chunk_id string, chunk string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(x):
+        @F.pandas_udf("array<double>")
+        def run(texts):
+            calls.add(len(texts))
+            return pd.Series([vectors.embedded(t) if t else [0.0] * 64 for t in texts])
+
+        return run(x)
+
+    rows = retrieval.build_store(chunks, embed).collect()
+    assert len(rows) == 200 and all(r.emb == pytest.approx(vectors.embedded(r.chunk)) for r in rows)
+    assert calls.value == 41
+
+
+def test_windows_of_long_texts(spark):
+    texts = ["", "x", *("".join(chr(97 + i * i % 23) if i % 7 else "ñ" for i in range(k)) for k in (319, 320, 321, 6720, 6721, 13_000))]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")
+    for size, step in ((320, 200), (512, 462), (5, 7)):
+        want = {(d, i, i * step, min(i * step + size, len(t)), t[i * step : i * step + size]) for d, t in enumerate(texts) if t for i in range(max(0, -((size - len(t)) // step)) + 1)}
+        got = chunking.window_chunks(docs, size, step, "semantic").select("doc_id", "chunk_index", "start_char", "end_char", "chunk").collect()
+        assert {tuple(r) for r in got} == want and len(got) == len(want)
